@@ -60,6 +60,16 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
+OP10 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM p),
+g AS (SELECT payload_digest, max(page_id) AS keeper FROM d WHERE payload_bytes >= 1000 GROUP BY ALL HAVING count(*) > 1)
+SELECT page_id, payload_bytes, d.payload_digest,
+       CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest AND payload_bytes >= 1000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op7_decontamination": OP7}
+    return {"op1_quality_rules": OP1, "op7_decontamination": OP7, "op10_warc": OP10}
