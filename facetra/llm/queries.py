@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from facetra.llm import decontaminate as dc
 from facetra.llm import near_dedup, packing, sharding, warc
+from facetra.llm import quality_model as qm
 from facetra.llm import quality_rules as qr
 from facetra.llm.common import read
 
@@ -41,6 +42,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = qm.train(docs, read(spark, sf_dir, "labels"))
+    return qm.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.read(warc.write(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
