@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetra.llm import decontaminate as dc
+from facetra.llm import language_id as li
 from facetra.llm import near_dedup, packing, sharding, warc
 from facetra.llm import quality_model as qm
 from facetra.llm import quality_rules as qr
@@ -36,6 +37,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return li.identify(docs.drop("lang"), li.train(docs), keep=["doc_id"]).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = dc.decontaminate(docs, read(spark, sf_dir, "benchmark"), keep=["doc_id"])
