@@ -33,6 +33,14 @@ HELD_MODULUS = 5
 UND = "und"
 
 
+def _squash(a: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """a / (1 + |a|) in place: an S-shaped curve like tanh, at a fraction of its time; gates take (1 + it) / 2."""
+    np.abs(a, out=room)
+    room += 1
+    a /= room
+    return a
+
+
 @dataclass
 class Network:
     """table: bytes to gates (update, reset, candidate), one of each direction; inner: state to gates; out: states to languages."""
@@ -53,27 +61,24 @@ class Network:
         return cls(langs, {k: v.astype(kind) for k, v in p.items()})
 
     def _run(self, d: str, x: np.ndarray, valid: np.ndarray | None, keep: list | None) -> Iterator[tuple[int, np.ndarray]]:
-        """(position, states) of one direction; x: bytes (window, side). keep: gets what the way back needs."""
+        """(position, states) of one direction; x: bytes (window, side) as indices. keep: gets what the way back needs."""
         table, inner = self.p[f"table_{d}"], self.p[f"inner_{d}"]
         h = np.zeros((x.shape[1], inner.shape[1]), inner.dtype)
-        half = inner.dtype.type(0.5)
+        own, room = np.empty_like(h), np.empty_like(h)
+
+        def gate(k: int, y: np.ndarray) -> np.ndarray:
+            y += np.take(table[k], x[t], axis=0, out=own, mode="clip")
+            return _squash(y, room)
+
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            z = h @ inner[0]
-            z += table[0][x[t]]
-            z *= half
-            np.tanh(z, out=z)
+            z = gate(0, h @ inner[0])
             z += 1
-            z *= half
-            r = h @ inner[1]
-            r += table[1][x[t]]
-            r *= half
-            np.tanh(r, out=r)
+            z *= 0.5
+            r = gate(1, h @ inner[1])
             r += 1
-            r *= half
+            r *= 0.5
             u = h @ inner[2]
-            n = r * u
-            n += table[2][x[t]]
-            np.tanh(n, out=n)
+            n = gate(2, r * u)
             before = h
             h = h - n
             h *= z
@@ -127,9 +132,9 @@ class Network:
             dh = np.zeros_like(states[d][0])
             for t, before, z, r, u, n in reversed(keep[d]):
                 dh = dh + errors[t] @ out.T
-                dz = dh * (before - n) * z * (1 - z)
-                dn = dh * (1 - z) * (1 - n * n)
-                dr = dn * u * r * (1 - r)
+                dz = dh * (before - n) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+                dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
+                dr = dn * u * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
                 du = dn * r
                 for k, e in enumerate((dz, dr, dn)):
                     np.add.at(g[f"table_{d}"][k], x[t], e)
@@ -151,7 +156,7 @@ def fit(texts: list[tuple[str, bytes]], hidden: int = HIDDEN, steps: int = STEPS
     v = {k: np.zeros_like(w) for k, w in net.p.items()}
     for step in range(1, steps + 1):
         y = np.arange(BATCH) % len(langs)
-        x = np.full((BATCH, TRAIN_WINDOW), 32, np.uint8)
+        x = np.full((BATCH, TRAIN_WINDOW), 32, np.intp)
         for i, k in enumerate(y):
             t = by[k][r.integers(len(by[k]))]
             at = r.integers(max(1, len(t) - TRAIN_WINDOW + 1))
@@ -189,7 +194,7 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     x, lengths, owner = _windows(texts)
     for lo in range(0, len(x), SIDE):
         part, n = x[lo : lo + SIDE], lengths[lo : lo + SIDE]
-        seen = np.ascontiguousarray(part[:, : n.max()].T)
+        seen = np.ascontiguousarray(part[:, : n.max()].T, dtype=np.intp)
         sums = net.probabilities(seen, n).sum(0).T
         np.add.at(total, owner[lo : lo + SIDE], sums)
     return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
@@ -200,7 +205,7 @@ def positions(net: Network, text: str) -> list[str]:
     raw = text.encode("utf-8", "replace")
     out: list[str] = []
     for lo in range(0, len(raw), WINDOW):
-        x = np.frombuffer(raw[lo : lo + WINDOW], np.uint8)[:, None]
+        x = np.frombuffer(raw[lo : lo + WINDOW], np.uint8)[:, None].astype(np.intp)
         out += [net.langs[k] for k in net.probabilities(x, np.array([len(x)]))[:, :, 0].argmax(1)]
     return out
 
