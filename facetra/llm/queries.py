@@ -10,6 +10,7 @@ from facetra.llm import language_id as li
 from facetra.llm import near_dedup, packing, sharding, warc
 from facetra.llm import quality_model as qm
 from facetra.llm import quality_rules as qr
+from facetra.llm import toxicity as tx
 from facetra.llm.common import read
 
 
@@ -48,6 +49,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = tx.train(docs, read(spark, sf_dir, "labels"))
+    return tx.score(docs, model, keep=["doc_id"]).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = qm.train(docs, read(spark, sf_dir, "labels"))
