@@ -35,6 +35,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM f
 """
 
+OP3 = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '<null>') || chr(1) || turn || chr(1) || coalesce(text, '<null>') || chr(2) AS k,
+         '<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS s,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(k, '' ORDER BY place) AS k, string_agg(s, '' ORDER BY place) AS rendered
+  FROM t GROUP BY conv_id),
+one AS (SELECT k, n_turns, rendered, min(conv_id) AS conv_id, count(*)::BIGINT AS n_logged FROM c GROUP BY k, n_turns, rendered)
+SELECT conv_id, n_turns, n_logged, rendered FROM one a
+WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.n_turns > a.n_turns AND starts_with(b.k, a.k))
+"""
+
 OP7 = r"""
 WITH norm AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -72,4 +86,4 @@ FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest AND payload_bytes >= 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op7_decontamination": OP7, "op10_warc": OP10}
+    return {"op1_quality_rules": OP1, "op3_chat_formatting": OP3, "op7_decontamination": OP7, "op10_warc": OP10}
