@@ -6,11 +6,12 @@ with equal sets meet by fingerprint; one of them stands for all from there on. B
 of the packed signatures estimate the similarity (corrected for chance agreement of two bits), and pairs that could
 reach the threshold are confirmed on the full sets of words, as exact integers.
 
-Pairs are not expanded within a bucket. Round one compares each member with one pivot of its bucket; confirmed links
-merge into components. Round two takes another pivot in the buckets that still hold several components. Only what is
-still apart then is compared across components, block by block with numpy, so a large group of copies, which is one
-component after round one, never makes all its pairs. Links within a component cannot change it, and no other pair of
-a bucket is left out.
+Pairs are not expanded within a bucket. First, each document meets one pivot: the member of its buckets that shares most
+buckets with others. Confirmed links merge into components, and only what is still apart within a bucket is compared:
+buckets of up to ``SMALL`` members as pairs, larger ones in blocks inside a task, which hold the members' packed
+signatures and full sets, skip what is connected by then and emit no more than a spanning forest of confirmed links. So a
+large group of copies makes rows in proportion to its members. Links within a component cannot change it, and no other
+pair of a bucket is left out.
 
 Two sets of similarity 0.75 share no band with probability (1 - 0.75^5)^48, under 3 in a million.
 
@@ -43,8 +44,8 @@ MINIMA = BANDS * ROWS
 #: Low bits of each minimum that are kept; estimates below the margin cannot belong to similar sets.
 BITS = 2
 MARGIN = 0.55
-#: Members of a bucket that meet in one block of round two.
-BLOCK = 1024
+#: Members of a bucket that are compared as pairs of rows, and members of a larger one's block.
+SMALL, BLOCK = 8, 1024
 #: Shingles worked on at once.
 CHUNK = 1 << 16
 #: Bytes of a text whose words are hashed at once.
@@ -289,22 +290,69 @@ def components(links: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFram
     )
 
 
-def _rest_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block of a bucket that are in different components and may be similar."""
-    sigs = np.stack([np.asarray(p, np.int64) for p in rows["packed"]]).view(np.uint64)
-    rep, comp = rows["rep"].to_numpy(), rows["component"].to_numpy()
+def _near_rows(packed: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Estimated similarity of row i with others."""
+    x = packed[others] ^ packed[i]
+    differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)
+    return ((1 - differ / MINIMA) - 0.25) / 0.75
+
+
+def _sides(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     left = np.flatnonzero(rows["side"].to_numpy() == 0)
-    right = left if rows["same"].iloc[0] else np.flatnonzero(rows["side"].to_numpy() == 1)
+    return left, left if rows["same"].iloc[0] else np.flatnonzero(rows["side"].to_numpy() == 1)
+
+
+def _involved(rows: pd.DataFrame) -> pd.DataFrame:
+    """Members of a block that may be similar to one of another component."""
+    packed = np.stack([np.asarray(p, np.int64) for p in rows["packed"]]).view(np.uint64)
+    comp = rows["component"].to_numpy()
+    left, right = _sides(rows)
+    found = np.zeros(len(rows), bool)
+    for i in left:
+        others = right[comp[right] != comp[i]]
+        if len(others):
+            near = others[_near_rows(packed, i, others) >= MARGIN]
+            found[near] = True
+            found[i] |= len(near) > 0
+    return rows[found]
+
+
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the confirmed links of a block, over the components so far."""
+    packed = np.stack([np.asarray(p, np.int64) for p in rows["packed"]]).view(np.uint64)
+    sets = [np.asarray(x, np.int64) for x in rows["hashes"]]
+    rep, comp = rows["rep"].to_numpy(), rows["component"].to_numpy()
+    left, right = _sides(rows)
+    _, group = np.unique(comp, return_inverse=True)  # group numbers, renumbered as they merge
     out = []
     for i in left:
-        others = right[(comp[right] != comp[i])]
-        if not len(others):
-            continue
-        x = sigs[others] ^ sigs[i]
-        differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)
-        near = others[((1 - differ / MINIMA) - 0.25) / 0.75 >= MARGIN]
-        out += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in near]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+        others = right[group[right] != group[i]]
+        near = _near_rows(packed, i, others)
+        for j in others[np.argsort(-near, kind="stable")][: int((near >= MARGIN).sum())]:
+            if group[i] != group[j]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if WHOLE * both >= PART * (len(sets[i]) + len(sets[j]) - both):
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                    group[group == group[j]] = group[i]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def full_sets(texts: DataFrame) -> DataFrame:
+    """rep, hashes: all shingles of a text as sorted 64-bit hashes."""
+    ship(texts.sparkSession)
+    narrow = texts.select("rep", F.col("text").cast("string").alias("text"))
+    schema = StructType([narrow.schema[0], *StructType.fromDDL("hashes array<long>")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from facetra.llm import near_dedup as own
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                sets = [own.shingle_hashes((t.as_py() or "").encode("utf-8", "replace")).view(np.int64) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], schema.names)
+
+    return narrow.mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -317,9 +365,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     reps = stored(reps.select("rep", "print_a", "print_b", "n_shingles", "s.packed", "s.bands"), "reps")
 
     keyed = reps.select("rep", "packed", F.explode("bands").alias("key")).select("rep", "key")
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot"), F.max("rep").alias("second")).where(F.col("n") > 1)
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     members = stored(keyed.join(buckets, "key"), "members")
-    used = members.select("rep").distinct()
+    met = stored(members.groupBy("rep").agg(F.sum("n").alias("met")), "met")  # how many others a document meets
+    used = met.select("rep")
     sigs = stored(reps.join(used, "rep", "left_semi").select("rep", "packed"), "packed")
     texts = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("text"))
 
@@ -328,37 +377,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         first, other = sigs.select(F.col("rep").alias("a"), F.col("packed").alias("x")), sigs.select(F.col("rep").alias("b"), F.col("packed").alias("y"))
         return pairs.join(first, "a").join(other, "b").where(estimate(F.col("x"), F.col("y")) >= MARGIN).select("a", "b")
 
-    links = stored(_confirmed(near(members.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))), texts), "confirmed")
+    # first: each document and the pivot that meets most others
+    pivots = members.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", F.col("rep").alias("pivot"))).alias("p"))
+    chosen = members.join(pivots, "key").where(F.col("p.pivot") != F.col("rep")).groupBy("rep").agg(F.max("p").alias("p"))
+    tested = stored(near(chosen.select(F.col("p.pivot").alias("a"), F.col("rep").alias("b"))), "tested")
+    links = stored(_confirmed(tested, texts), "confirmed")
     group = stored(components(links, used), "components")
 
-    def apart(group: DataFrame) -> DataFrame:
-        """Members of buckets that hold more than one component."""
-        own = members.join(group, "rep")
-        mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-        return own.join(mixed, "key", "left_semi")
-
-    # round two: another pivot for the members that are not in its component
-    left = apart(group).join(group.select(F.col("rep").alias("second"), F.col("component").alias("c2")), "second")
-    more = near(left.where(F.col("component") != F.col("c2")).select(F.col("second").alias("a"), F.col("rep").alias("b")))
-    again = stored(_confirmed(more.join(links, ["a", "b"], "left_anti"), texts), "confirmed")
-    if not again.isEmpty():
-        links = links.union(again)
-        group = stored(components(links, used), "components")
-
-    # what is still apart: all pairs across components of a bucket, in blocks
-    left = apart(group).where(F.col("n") > 2).join(sigs, "rep")
-    n_blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
-    dealt = left.withColumns({"blocks": n_blocks}).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # then what is still apart within a bucket
+    own = members.join(group, "rep")
+    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    left = stored(own.join(mixed, "key", "left_semi"), "apart")
+    listed = left.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "component"))).alias("m"))
+    two = F.flatten(
+        F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y, j: (j > i) & (x["component"] != y["component"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))))
+    )
+    few = near(listed.select(F.inline(two))).join(tested, ["a", "b"], "left_anti")
+    more = stored(_confirmed(few, texts), "confirmed")
+
+    large = left.where(F.col("n") > SMALL).join(sigs, "rep").withColumn("blocks", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int"))
+    dealt = large.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.select("key", "rep", "component", "packed", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     dealt = dealt.select(
         "key", "rep", "component", "packed", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"),
         (F.col("own") > F.col("with")).cast("int").alias("side"), (F.col("own") == F.col("with")).alias("same"),
     )
+    involved = stored(dealt.groupBy("key", "lo", "hi").applyInPandas(_involved, dealt.schema), "involved")
+    sets = stored(full_sets(texts.join(involved.select("rep").distinct(), "rep", "left_semi")), "sets")
     id_type = reps.schema["rep"].dataType.simpleString()
-    pairs = dealt.groupBy("key", "lo", "hi").applyInPandas(_rest_pairs, f"a {id_type}, b {id_type}").distinct()
-    last = stored(_confirmed(pairs.join(links, ["a", "b"], "left_anti"), texts), "confirmed")
-    if not last.isEmpty():
-        group = stored(components(links.union(last), used), "components")
+    inside = involved.join(sets, "rep").groupBy("key", "lo", "hi").applyInPandas(_block_links, f"a {id_type}, b {id_type}")
+    more = stored(more.union(inside).distinct(), "confirmed")
+    if not more.isEmpty():
+        group = stored(components(links.union(more), used), "components")
 
     of = reps.join(group, "rep", "left").select("print_a", "print_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
     full = signed.drop("packed", "bands").join(of.withColumn("_set", F.lit(True)), ["print_a", "print_b", "n_shingles"], "left")
