@@ -89,7 +89,7 @@ def corroboration(labels: DataFrame, by: list[str]) -> DataFrame:
 
 
 def dates_valid(df: DataFrame, date: str = "date", key: str = "id", sentinel: str = "1970-01-01") -> DataFrame:
-    bad = df.where(F.col(date).isNotNull() & (F.try_to_date(F.col(date), F.lit("yyyy-MM-dd")).isNull() | (F.col(date) == sentinel)))
+    bad = df.where(F.col(date).isNotNull() & (F.try_to_date(F.col(date), "yyyy-MM-dd").isNull() | (F.col(date) == sentinel)))
     return _rows(bad, "date", F.col(key), F.lit("a date"), F.col(date))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetra.functions.text import record_id
@@ -120,6 +120,6 @@ def with_text(records: DataFrame, layer: DataFrame) -> DataFrame:
     return records.join(t, ["month", "id"], "left")
 
 
-def line_key(line) -> F.Column:
+def line_key(line: Column) -> Column:
     """A record's key without parsing the whole line."""
     return F.get_json_object(line, "$.doc_id")
