@@ -51,7 +51,7 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e",
 }
-COST = {"leet": 1.0, "drop_sign": 5.0, "break_sign": 4.0, "drop_gap": 0.3, "keep_gap": 1.5, "repeat": 0.5}
+COST = {"leet": 1.0, "drop_sign": 5.0, "break_sign": 4.0, "drop_gap": 0.3, "keep_gap": 3.0, "repeat": 0.5}
 
 _SIGNS = "".join(re.escape(c) for c in LEET)
 _SEED = re.compile(rf"[{_SIGNS}](?=[^\W\d_])|(?<=[^\W\d_])[0-9@$](?![{_SIGNS}\w])")
