@@ -41,8 +41,10 @@ def overlaps(mine: DataFrame, theirs: DataFrame, only: DataFrame, per_topic: int
     """
     large = top(theirs, ["topic"], [F.desc("n"), "agency"], per_topic).select("topic", F.col("agency").alias("other"), F.col("n").alias("n_other"))
     pairs = mine.join(only.select("agency"), "agency", "left_semi").join(large, "topic").where(F.col("agency") != F.col("other"))
-    sums = pairs.groupBy("agency", "other").agg(F.sum(F.least("n", "n_other")).cast("long").alias("n"), F.array_join(F.sort_array(F.collect_set("topic")), ",").alias("topics"))
-    return top(sums, ["agency"], [F.desc("n"), "other"], k)
+    sums = pairs.groupBy("agency", "other").agg(F.sum(F.least("n", "n_other")).cast("long").alias("n"))
+    best = top(sums, ["agency"], [F.desc("n"), "other"], k)
+    named = pairs.select("agency", "other", "topic").join(best, ["agency", "other"]).groupBy("agency", "other", "n", "rank")  # topics of these alone
+    return named.agg(F.array_join(F.sort_array(F.collect_set("topic")), ",").alias("topics")).select("agency", "other", "n", "topics", "rank")
 
 
 def leaders(counts: DataFrame, least: int = 20, share: float = 0.3) -> DataFrame:

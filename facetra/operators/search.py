@@ -9,6 +9,8 @@ from facetra.functions.text import despaced
 
 #: Documents in a block of the block index.
 BLOCK = 4096
+#: Distinct grams of all queries up to which they are sent to every task.
+MOST_GRAMS = 100_000
 
 
 def entities(queries: DataFrame, dims: DataFrame, per_kind: int = 4, k: int = 8) -> DataFrame:
@@ -50,8 +52,12 @@ def substring_search(queries: DataFrame, docs: DataFrame, index: DataFrame, drop
     the dictionary is no condition; a query without any gram left is verified on every document.
     """
     qs = queries.select("q").distinct()
-    stats = gram_stats(index, drop_df)
-    wanted = qs.select("q", F.explode(grams(F.col("q"))).alias("gram")).join(stats, "gram")
+    asked = qs.select("q", F.explode(grams(F.col("q"))).alias("gram"))
+    own = asked.select("gram").distinct()
+    if own.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS:  # a few MB: postings of other grams go before any shuffle
+        own = F.broadcast(own)
+    index = index.join(own, "gram", "left_semi")
+    wanted = asked.join(gram_stats(index, drop_df), "gram")
     w = Window.partitionBy("q").orderBy("df", "gram")
     rare = wanted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= used).select("q", "gram")
     needed = rare.groupBy("q").agg(F.count(F.lit(1)).alias("needed"))

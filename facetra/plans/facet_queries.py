@@ -27,6 +27,11 @@ def _rec(spark: SparkSession, d: str) -> DataFrame:
     return tables.records(spark, d)
 
 
+def _plain(spark: SparkSession, d: str) -> DataFrame:
+    """Records without topics."""
+    return tables.records(spark, d, with_topics=False)
+
+
 def _closure(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.closure(tables.topics(spark, d))
 
@@ -71,12 +76,12 @@ def facet_province(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT agency, arg_max(agency_type, id) AS agency_type FROM rec WHERE agency IS NOT NULL GROUP BY agency")
 def agency_last_type(spark: SparkSession, d: str) -> DataFrame:
-    return facets.last_seen(_rec(spark, d), "agency", "agency_type")
+    return facets.last_seen(_plain(spark, d), "agency", "agency_type")
 
 
 @query("SELECT date, count(*)::BIGINT AS n FROM rec GROUP BY date")
 def count_by_day(spark: SparkSession, d: str) -> DataFrame:
-    return _rec(spark, d).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    return _plain(spark, d).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(topic)::BIGINT AS labelled, count_if(topic_c OR action_c OR govlevel_c)::BIGINT AS corroborated_any, count(*)::BIGINT AS n FROM rec")
@@ -93,7 +98,7 @@ SELECT court, stage, n, round(n / sum(n) OVER (PARTITION BY court IS NULL, stage
 def stage_counts(spark: SparkSession, d: str) -> DataFrame:
     """Court by stage with sub-totals, and each count's share of its level."""
     court = F.coalesce(F.nullif("agency_type", F.lit("HOUSEHOLD")), F.lit("?")).alias("court")
-    counts = _rec(spark, d).where("action IS NOT NULL").select(court, F.col("action").alias("stage")).rollup("court", "stage").agg(F.count(F.lit(1)).alias("n"))
+    counts = _plain(spark, d).where("action IS NOT NULL").select(court, F.col("action").alias("stage")).rollup("court", "stage").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
 
     level = Window.partitionBy(F.col("court").isNull(), F.col("stage").isNull())
@@ -104,14 +109,14 @@ def stage_counts(spark: SparkSession, d: str) -> DataFrame:
 def action_year(spark: SparkSession, d: str) -> DataFrame:
     """Flagged actions and levels per year, one column each."""
     a, g = GAZETTE.dim("action"), GAZETTE.dim("govlevel")
-    return _rec(spark, d).groupBy("year").agg(
+    return _plain(spark, d).groupBy("year").agg(
         *[F.count_if(a.equals(v)).alias(n) for v, n in (("1-URGENT", "urgent"), ("2-HIGH", "high"), ("3-MEDIUM", "medium"))], F.count_if(g.equals("F")).alias("level_f")
     )
 
 
 @query("SELECT volume, part, string_agg(DISTINCT month, ',' ORDER BY month) AS months FROM rec GROUP BY volume, part")
 def volume_parts(spark: SparkSession, d: str) -> DataFrame:
-    return _rec(spark, d).groupBy("volume", "part").agg(F.array_join(F.array_sort(F.collect_set("month")), ",").alias("months"))
+    return _plain(spark, d).groupBy("volume", "part").agg(F.array_join(F.array_sort(F.collect_set("month")), ",").alias("months"))
 
 
 @query("SELECT topic, count(DISTINCT agency)::BIGINT AS n_distinct FROM ta GROUP BY topic")
@@ -121,7 +126,7 @@ def agencies_per_topic(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT part, count(*)::BIGINT AS n FROM rec WHERE date IS NOT NULL GROUP BY part")
 def part_totals(spark: SparkSession, d: str) -> DataFrame:
-    return _rec(spark, d).where("date IS NOT NULL").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return _plain(spark, d).where("date IS NOT NULL").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -130,12 +135,12 @@ SELECT date, count(*)::BIGINT AS n, count(DISTINCT part)::BIGINT AS parts, arg_m
 FROM rec WHERE date = (SELECT max(date) FROM rec) GROUP BY date
 """)
 def newest_day(spark: SparkSession, d: str) -> DataFrame:
-    return facets.newest_day(_rec(spark, d), {"urgent": GAZETTE.dim("action").equals("1-URGENT"), "final": GAZETTE.dim("govlevel").equals("F")})
+    return facets.newest_day(_plain(spark, d), {"urgent": GAZETTE.dim("action").equals("1-URGENT"), "final": GAZETTE.dim("govlevel").equals("F")})
 
 
 @query("SELECT year, month, count(*)::BIGINT AS n FROM rec GROUP BY ROLLUP (year, month)")
 def totals_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return _rec(spark, d).rollup("year", "month").agg(F.count(F.lit(1)).alias("n"))
+    return _plain(spark, d).rollup("year", "month").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -192,18 +197,18 @@ WHERE action = '2-HIGH' AND action_c AND month IN ('1997-01', '1997-02', '1998-0
 """)
 def filtered_groupby(spark: SparkSession, d: str) -> DataFrame:
     f = cf.Filters(equal={"action": "2-HIGH"}, months=("1997-01", "1997-02", "1998-05"))
-    return cf.grouped(_rec(spark, d), f, ["govlevel", "province"])
+    return cf.grouped(_plain(spark, d), f, ["govlevel", "province"])
 
 
 @query("SELECT id, date, title FROM rec WHERE replace(title, ' ', '') LIKE '%77Customer%' ORDER BY coalesce(date, '') DESC, id DESC LIMIT 600")
 def title_search(spark: SparkSession, d: str) -> DataFrame:
     """Newest 600 whose title holds a text, white space ignored."""
-    return cf.newest_matches(_rec(spark, d), cf.Filters(text="7 7 Customer")).select("id", "date", "title")
+    return cf.newest_matches(_plain(spark, d), cf.Filters(text="7 7 Customer")).select("id", "date", "title")
 
 
 @query("SELECT substring(date, 1, 7) AS bucket, count(*)::BIGINT AS n FROM rec GROUP BY 1")
 def bucket_months(spark: SparkSession, d: str) -> DataFrame:
-    return cf.bucketed(_rec(spark, d).groupBy("date").agg(F.count(F.lit(1)).alias("n")), "date", 7)
+    return cf.bucketed(_plain(spark, d).groupBy("date").agg(F.count(F.lit(1)).alias("n")), "date", 7)
 
 
 @query("SELECT ancestor AS topic, count(*)::BIGINT AS n FROM rec JOIN clo ON topic = descendant WHERE topic_c GROUP BY 1")
@@ -219,12 +224,12 @@ def topic_total(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT agency, count(*)::BIGINT AS n FROM rec WHERE agency IS NOT NULL GROUP BY 1")
 def list_counter(spark: SparkSession, d: str) -> DataFrame:
-    return _rec(spark, d).where("agency IS NOT NULL").groupBy("agency").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "agency")
+    return _plain(spark, d).where("agency IS NOT NULL").groupBy("agency").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "agency")
 
 
 @query("SELECT month, count(*)::BIGINT AS n FROM rec WHERE govlevel = 'P' AND govlevel_c GROUP BY month ORDER BY month DESC LIMIT 1")
 def nearest_period(spark: SparkSession, d: str) -> DataFrame:
-    return cf.nearest_period(_rec(spark, d), cf.Filters(equal={"govlevel": "P"}))
+    return cf.nearest_period(_plain(spark, d), cf.Filters(equal={"govlevel": "P"}))
 
 
 @query("""
@@ -232,7 +237,7 @@ def nearest_period(spark: SparkSession, d: str) -> DataFrame:
 SELECT month, n, row_number() OVER (ORDER BY month DESC) <= 6 AS taken FROM m
 """)
 def within_budget(spark: SparkSession, d: str) -> DataFrame:
-    return cf.within_budget(_rec(spark, d), cf.Filters(equal={"province": "NATION_3"}), 6)
+    return cf.within_budget(_plain(spark, d), cf.Filters(equal={"province": "NATION_3"}), 6)
 
 
 @query("""
@@ -240,7 +245,7 @@ def within_budget(spark: SparkSession, d: str) -> DataFrame:
 SELECT * FROM r WHERE rank <= 30
 """)
 def newest_per_province(spark: SparkSession, d: str) -> DataFrame:
-    return facets.newest(_rec(spark, d), "province").select("province", "id", "date", "rank")
+    return facets.newest(_plain(spark, d), "province").select("province", "id", "date", "rank")
 
 
 @query("""
@@ -250,13 +255,13 @@ SELECT key, value, n, rank, round(100 * n / greatest(1, max(n) OVER (PARTITION B
 """)
 def top_agencies(spark: SparkSession, d: str) -> DataFrame:
     """The 50 largest agencies of each province, each as a percent of the first."""
-    counts = facets.facet_counts(_rec(spark, d), "province", dims=(GAZETTE.dim("agency"),))
+    counts = facets.facet_counts(_plain(spark, d), "province", dims=(GAZETTE.dim("agency"),))
     return facets.normalised(facets.ranked_values(counts, "agency").drop("dim"), ["key"])
 
 
 @query("SELECT DISTINCT date FROM rec ORDER BY date DESC LIMIT 90")
 def newest_dates(spark: SparkSession, d: str) -> DataFrame:
-    return facets.newest_dates(_rec(spark, d), 90)
+    return facets.newest_dates(_plain(spark, d), 90)
 
 
 @query("""
@@ -265,24 +270,24 @@ l AS (SELECT id, date, page, row_number() OVER (PARTITION BY date ORDER BY coale
 SELECT id, date, page, (SELECT count(*) FROM rec r WHERE r.date = l.date)::BIGINT AS day_total, new_day FROM l
 """)
 def latest_listing(spark: SparkSession, d: str) -> DataFrame:
-    rec = _rec(spark, d).select("id", "date", "page")
+    rec = _plain(spark, d).select("id", "date", "page")
     return facets.day_runs(facets.latest(rec, 90), rec).select("id", "date", "page", "day_total", "new_day")
 
 
 @query("SELECT id, date, page FROM rec WHERE date IS NOT NULL ORDER BY date DESC, coalesce(page, 0), id LIMIT 500")
 def recent_500(spark: SparkSession, d: str) -> DataFrame:
-    return facets.recent(_rec(spark, d)).select("id", "date", "page")
+    return facets.recent(_plain(spark, d)).select("id", "date", "page")
 
 
 @query("SELECT id, govlevel FROM rec WHERE action_c AND action IN ('1-URGENT', '2-HIGH') ORDER BY govlevel <> 'F', page DESC, id LIMIT 12")
 def highlights(spark: SparkSession, d: str) -> DataFrame:
     ok = F.col("action_c") & F.col("action").isin("1-URGENT", "2-HIGH")
-    return facets.highlights(_rec(spark, d).withColumn("w", F.col("page").cast("double")), ok, F.col("govlevel") == "F", "w").select("id", "govlevel")
+    return facets.highlights(_plain(spark, d).withColumn("w", F.col("page").cast("double")), ok, F.col("govlevel") == "F", "w").select("id", "govlevel")
 
 
 @query("SELECT id, date FROM rec ORDER BY coalesce(date, '') DESC, id DESC LIMIT 50 OFFSET 100")
 def third_page(spark: SparkSession, d: str) -> DataFrame:
-    return facets.page(_rec(spark, d), newest_order(), 3).select("id", "date")
+    return facets.page(_plain(spark, d), newest_order(), 3).select("id", "date")
 
 
 @query("SELECT slug, name, parent, root_n AS n FROM (SELECT t.slug, t.name, t.parent, count(r.id)::BIGINT AS root_n FROM topics t JOIN clo ON ancestor = t.slug JOIN rec r ON r.topic = descendant AND topic_c WHERE parent IS NULL GROUP BY ALL) ORDER BY n DESC, slug LIMIT 10")
@@ -297,7 +302,7 @@ def doorways(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY province)::INT AS code, province AS value, count(*)::BIGINT AS n FROM rec WHERE province IS NOT NULL GROUP BY province")
 def dictionary_decoded(spark: SparkSession, d: str) -> DataFrame:
     """Counts by code of a dimension, decoded back to values."""
-    rec = _rec(spark, d)
+    rec = _plain(spark, d)
     codes = encode.dictionary(rec, "province")
     counts = encode.encoded(rec, "province", codes).where("province_code > 0").groupBy(F.col("province_code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
     return encode.decoded(counts.withColumn("c", F.col("code")), codes).select(F.col("c").alias("code"), "value", "n")
@@ -310,14 +315,14 @@ def row_positions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT month, (sum(n) OVER (ORDER BY month) - n)::BIGINT AS start, n FROM (SELECT month, count(*)::BIGINT AS n FROM rec GROUP BY month)")
 def month_directory(spark: SparkSession, d: str) -> DataFrame:
-    return encode.month_directory(_rec(spark, d))
+    return encode.month_directory(_plain(spark, d))
 
 
 @query("SELECT agency, substring(sha1(agency), 1, 10) AS key, count(*)::BIGINT AS n, count(*) >= 5 AS page FROM rec WHERE agency IS NOT NULL GROUP BY agency")
 def agency_index(spark: SparkSession, d: str) -> DataFrame:
     from facetra.functions.text import short_key
 
-    counts = _rec(spark, d).where("agency IS NOT NULL").groupBy("agency").agg(F.count(F.lit(1)).alias("n"))
+    counts = _plain(spark, d).where("agency IS NOT NULL").groupBy("agency").agg(F.count(F.lit(1)).alias("n"))
     return encode.sized(counts, "agency").select("agency", short_key(F.col("agency")).alias("key"), "n", "page")
 
 
@@ -329,7 +334,7 @@ r AS (SELECT feed_id, id, date, row_number() OVER (PARTITION BY feed_id ORDER BY
 SELECT feed_id, split_part(feed_id, '/', 1) AS kind, count(*)::BIGINT AS n, max(date) AS updated FROM r WHERE rank <= k GROUP BY ALL
 """)
 def feed_directory(spark: SparkSession, d: str) -> DataFrame:
-    entries = publish.feeds(_rec(spark, d), "part", ["province"])
+    entries = publish.feeds(_plain(spark, d), "part", ["province"])
     return publish.feed_directory(entries, ["all", "series", "province"])
 
 

@@ -18,6 +18,11 @@ def _rec(spark: SparkSession, d: str) -> DataFrame:
     return tables.records(spark, d)
 
 
+def _plain(spark: SparkSession, d: str) -> DataFrame:
+    """Records without topics."""
+    return tables.records(spark, d, with_topics=False)
+
+
 def _totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("key").agg(F.sum("n").cast("long").alias("total"))
 
@@ -36,13 +41,13 @@ ser AS (SELECT key, year, coalesce(n, 0)::BIGINT AS n FROM (SELECT DISTINCT key
 
 @query(_SERIES + "SELECT * FROM ser")
 def yearly_series(spark: SparkSession, d: str) -> DataFrame:
-    return trends.series(_rec(spark, d), GAZETTE.dim("action"))
+    return trends.series(_plain(spark, d), GAZETTE.dim("action"))
 
 
 @query("SELECT DISTINCT year, 'complete' AS rule FROM rec WHERE year < (SELECT substring(max(date), 1, 4) FROM rec) UNION ALL SELECT year, 'whole' FROM rec GROUP BY year HAVING count(DISTINCT month) = 12")
 def complete_and_whole_years(spark: SparkSession, d: str) -> DataFrame:
     """Two rules: years before the newest date's, and years with all twelve months."""
-    rec = _rec(spark, d)
+    rec = _plain(spark, d)
     return trends.complete_years(rec).withColumn("rule", F.lit("complete")).union(trends.whole_years(rec).withColumn("rule", F.lit("whole")))
 
 
@@ -52,7 +57,7 @@ m AS (SELECT key, coalesce(sum(n) FILTER (r > 3), 0)::BIGINT AS before, coalesce
 SELECT key, before, after, after - before AS change, CASE WHEN before >= 50 THEN round((after - before) / before, 6) END AS ratio FROM m WHERE before >= 200 OR after >= 200
 """)
 def movers(spark: SparkSession, d: str) -> DataFrame:
-    rec = _rec(spark, d)
+    rec = _plain(spark, d)
     found = trends.movers(trends.series(rec, GAZETTE.dim("action")), trends.complete_years(rec))
     return found.withColumn("ratio", F.round("ratio", 6))
 
@@ -66,7 +71,7 @@ SELECT key, before, after, change, CASE WHEN before >= 50 THEN round(change / be
 """)
 def year_over_year(spark: SparkSession, d: str) -> DataFrame:
     """Rises and falls of 1999 against 1998."""
-    found = trends.ranked_moves(trends.year_over_year(trends.series(_rec(spark, d), GAZETTE.dim("action")), "1999"))
+    found = trends.ranked_moves(trends.year_over_year(trends.series(_plain(spark, d), GAZETTE.dim("action")), "1999"))
     return found.withColumn("ratio", F.round("ratio", 6))
 
 
@@ -75,7 +80,7 @@ def year_over_year(spark: SparkSession, d: str) -> DataFrame:
 SELECT mm, coalesce(n, 0)::BIGINT AS n, mm = (SELECT mm FROM c ORDER BY n DESC, mm LIMIT 1) AS busiest FROM s LEFT JOIN c USING (mm)
 """)
 def month_profile(spark: SparkSession, d: str) -> DataFrame:
-    profile = trends.month_profile(_monthly(_rec(spark, d)))
+    profile = trends.month_profile(_monthly(_plain(spark, d)))
     best = trends.busiest(profile).select(F.col("mm").alias("best"))
     return profile.join(F.broadcast(best)).select("mm", "n", (F.col("mm") == F.col("best")).alias("busiest"))
 
@@ -88,13 +93,13 @@ SELECT year, coalesce(sum(n) FILTER (substring(month, 1, 4) = year), 0)::BIGINT
 FROM m, l WHERE substring(month, 6, 2) <= upto GROUP BY year
 """)
 def year_to_date(spark: SparkSession, d: str) -> DataFrame:
-    rec = _rec(spark, d)
+    rec = _plain(spark, d)
     return trends.year_to_date(_monthly(rec), rec.agg(F.max("date").alias("date")))
 
 
 @query(_SERIES + "SELECT coalesce(sum(n), 0)::BIGINT AS n FROM ser WHERE key IN ('1-URGENT', '2-HIGH') AND year = '1998'")
 def sum_at(spark: SparkSession, d: str) -> DataFrame:
-    return trends.sum_at(trends.series(_rec(spark, d), GAZETTE.dim("action")), ["1-URGENT", "2-HIGH"], "1998")
+    return trends.sum_at(trends.series(_plain(spark, d), GAZETTE.dim("action")), ["1-URGENT", "2-HIGH"], "1998")
 
 
 _BANDS = """
@@ -106,7 +111,7 @@ cuts AS (SELECT n AS cut FROM o, range(1, 5) b WHERE i = (b.range * k) // 5)
 
 @query(_BANDS + "SELECT province, n, (SELECT count(*) FROM cuts WHERE cut <= c.n)::INT AS band FROM c")
 def quantile_bands(spark: SparkSession, d: str) -> DataFrame:
-    counts = _rec(spark, d).where("province IS NOT NULL").groupBy("province").agg(F.count(F.lit(1)).alias("n"))
+    counts = _plain(spark, d).where("province IS NOT NULL").groupBy("province").agg(F.count(F.lit(1)).alias("n"))
     return trends.banded(counts, trends.quantile_cuts(counts))
 
 
@@ -115,7 +120,7 @@ def quantile_bands(spark: SparkSession, d: str) -> DataFrame:
 SELECT count(*)::BIGINT AS keys, sum(n)::BIGINT AS n, arg_max(province, (n, province)) AS largest, round(sum(n) / (SELECT count(*) FROM rec), 6) AS share FROM c
 """)
 def province_coverage(spark: SparkSession, d: str) -> DataFrame:
-    rec = _rec(spark, d)
+    rec = _plain(spark, d)
     counts = rec.where("province IS NOT NULL").groupBy("province").agg(F.count(F.lit(1)).alias("n"))
     total = rec.agg(F.count(F.lit(1)).alias("total"))
     return trends.coverage(counts.join(F.broadcast(total)), "province", F.lit(None).cast("double")).drop("share").join(F.broadcast(total)).select(
@@ -128,7 +133,7 @@ SELECT r_name AS region, province, count(*)::BIGINT AS n FROM rec JOIN nation ON
 """)
 def region_subtotals(spark: SparkSession, d: str) -> DataFrame:
     nation = tables.table(spark, d, "nation").join(tables.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("province"), F.col("r_name").alias("region"))
-    counts = _rec(spark, d).groupBy("province").agg(F.count(F.lit(1)).alias("n")).join(nation, "province")
+    counts = _plain(spark, d).groupBy("province").agg(F.count(F.lit(1)).alias("n")).join(nation, "province")
     return counts.rollup("region", "province").agg(F.sum("n").cast("long").alias("n"))
 
 
@@ -137,7 +142,7 @@ def region_subtotals(spark: SparkSession, d: str) -> DataFrame:
 SELECT province, n, row_number() OVER (ORDER BY n DESC, province)::INT AS rank, round(n / sum(n) OVER (), 6) AS share FROM c
 """)
 def province_ranks(spark: SparkSession, d: str) -> DataFrame:
-    counts = _rec(spark, d).where("province IS NOT NULL").groupBy("province").agg(F.count(F.lit(1)).alias("n"))
+    counts = _plain(spark, d).where("province IS NOT NULL").groupBy("province").agg(F.count(F.lit(1)).alias("n"))
     return trends.ranked_shares(counts, "province")
 
 
@@ -147,7 +152,7 @@ _PAIR = ", ".join(f"count_if(year = '{y}')::BIGINT AS n_{s}, count_if(year = '{y
 @query(f", p AS (SELECT {_PAIR} FROM rec WHERE province = 'NATION_3') SELECT *, CASE WHEN n_before <> 0 THEN floor(100 * (n_now - n_before) / n_before + 0.5)::BIGINT END AS change FROM p")
 def dashboard_pair(spark: SparkSession, d: str) -> DataFrame:
     """A year and the year before under one narrowing, in one pass."""
-    rec = _rec(spark, d).where("province = 'NATION_3'")
+    rec = _plain(spark, d).where("province = 'NATION_3'")
     rules = F.col("action_c") & F.col("action").isin("1-URGENT", "2-HIGH")
     parts = []
     for y, s in (("1999", "now"), ("1998", "before")):
@@ -160,7 +165,7 @@ def dashboard_pair(spark: SparkSession, d: str) -> DataFrame:
 def daily_metrics(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("action_c") & F.col("action").isin("1-URGENT", "2-HIGH", "3-MEDIUM")
     g = F.col("govlevel_c") & F.col("govlevel").isin("F", "O")
-    return _rec(spark, d).groupBy("date").agg(F.count_if(a).alias("three"), F.count_if(g).alias("levels"))
+    return _plain(spark, d).groupBy("date").agg(F.count_if(a).alias("three"), F.count_if(g).alias("levels"))
 
 
 # ---- authorities
@@ -173,7 +178,7 @@ s AS (SELECT f.key, value, n, total, n / total AS share, row_number() OVER (PART
 
 
 def _agencies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    counts = facets.facet_counts(_rec(spark, d), "province", dims=(GAZETTE.dim("agency"),)).where("dim = 'agency'").drop("dim")
+    counts = facets.facet_counts(_plain(spark, d), "province", dims=(GAZETTE.dim("agency"),)).where("dim = 'agency'").drop("dim")
     return counts, _totals(counts)
 
 
@@ -233,7 +238,7 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 @query(_BYSEG + "SELECT * FROM ld")
 def leaders(spark: SparkSession, d: str) -> DataFrame:
     """Leading customer segment of each topic and whole year."""
-    return authority.leaders(_segments(spark, d).join(trends.whole_years(_rec(spark, d)), "year", "left_semi"), share=0.2)
+    return authority.leaders(_segments(spark, d).join(trends.whole_years(_plain(spark, d)), "year", "left_semi"), share=0.2)
 
 
 @query(_BYSEG + """
@@ -244,7 +249,7 @@ LEFT JOIN seg s ON s.topic = la.topic AND s.year = la.year AND s.agency = la.was
 WHERE r = 1 AND coalesce(s.n, 0) >= greatest(1, 0.1 * was_n)
 """)
 def leader_changes(spark: SparkSession, d: str) -> DataFrame:
-    return authority.leader_changes(_segments(spark, d), trends.whole_years(_rec(spark, d)), share=0.2)
+    return authority.leader_changes(_segments(spark, d), trends.whole_years(_plain(spark, d)), share=0.2)
 
 
 @query("""
@@ -340,7 +345,7 @@ SELECT cite, coalesce(arg_max(id, (pg, date, id)) FILTER (page IS NOT NULL AND p
 """)
 def citations_as_of(spark: SparkSession, d: str) -> DataFrame:
     """The record that each cited page belongs to."""
-    return lookup.resolve(_cites(spark, d), _rec(spark, d))
+    return lookup.resolve(_cites(spark, d), _plain(spark, d))
 
 
 @query("""
@@ -350,12 +355,12 @@ SELECT c_custkey AS id, month FROM customer JOIN g ON c_custkey BETWEEN lo AND h
 def months_of_ids(spark: SparkSession, d: str) -> DataFrame:
     """Months of 1996 whose id range holds a number."""
     ids = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    return lookup.months_of(ids, lookup.id_ranges(_rec(spark, d)).where("month LIKE '1996%'"))
+    return lookup.months_of(ids, lookup.id_ranges(_plain(spark, d)).where("month LIKE '1996%'"))
 
 
 @query("SELECT year, month, min(id) AS lo, max(id) AS hi FROM rec GROUP BY ALL")
 def id_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.id_ranges(_rec(spark, d))
+    return lookup.id_ranges(_plain(spark, d))
 
 
 @query("""
@@ -364,7 +369,7 @@ SELECT id, max((p, id)) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDIN
 FROM p WINDOW w AS (PARTITION BY volume, part ORDER BY p)
 """)
 def issue_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.neighbours_in_issue(_rec(spark, d))
+    return lookup.neighbours_in_issue(_plain(spark, d))
 
 
 @query("""
@@ -374,7 +379,7 @@ FROM rec w JOIN rec r ON w.volume = r.volume AND w.part = r.part AND w.id <> r.i
 def issue_siblings(spark: SparkSession, d: str) -> DataFrame:
     """Siblings of the records whose number is a wealthy customer's."""
     wanted = tables.table(spark, d, "customer").where("c_acctbal > 9900").select(F.col("c_custkey").alias("id"))
-    return lookup.siblings(_rec(spark, d), wanted)
+    return lookup.siblings(_plain(spark, d), wanted)
 
 
 @query("""
@@ -483,7 +488,7 @@ FROM rec
 """)
 def cited_records(spark: SparkSession, d: str) -> DataFrame:
     c = [F.col(x) for x in ("volume", "part", "page")]
-    return _rec(spark, d).select("id", text.coordinates(*c).alias("coords"), dates.era_date(F.col("date"), short=True).alias("dated"))
+    return _plain(spark, d).select("id", text.coordinates(*c).alias("coords"), dates.era_date(F.col("date"), short=True).alias("dated"))
 
 
 @query("""
@@ -492,7 +497,7 @@ SELECT id, volume, page || ' ง' AS part, (id % 90 + 1)::INT AS page FROM c
 """)
 def parsed_citations(spark: SparkSession, d: str) -> DataFrame:
     """Citations composed in Thai digits and parsed back."""
-    rec = _rec(spark, d)
+    rec = _plain(spark, d)
     part = F.concat(F.col("page").cast("string"), F.lit(" ง"))
     s = text.thai_digits(text.coordinates(F.col("volume"), part, (F.col("id") % 90 + 1)))
     return rec.select("id", text.parse_citation(s).alias("c")).select("id", "c.volume", "c.part", "c.page")
@@ -504,7 +509,7 @@ SELECT 'cut_name' AS "check", a.key, arg_max(b.key, (b.n, b.key)) AS expected, a
 JOIN c b ON b.n > 15 AND starts_with(b.key, a.key) AND b.key <> a.key GROUP BY a.key, a.n
 """)
 def names_cut_short(spark: SparkSession, d: str) -> DataFrame:
-    counts = _rec(spark, d).groupBy(F.col("agency").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    counts = _plain(spark, d).groupBy(F.col("agency").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return quality.names_cut_short(counts.union(spark.createDataFrame([("Customer#00000", 1)], "key string, n long")), rare=5, frequent=15)
 
 
@@ -525,7 +530,7 @@ UNION ALL SELECT 'id_year', id::VARCHAR, year, substring(id::VARCHAR, 1, 4) FROM
 """)
 def check_report(spark: SparkSession, d: str) -> DataFrame:
     """Several checks together; every row is something wrong."""
-    rec = _rec(spark, d)
+    rec = _plain(spark, d)
     lines = tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     return quality.together(
         quality.duplicates(rec, ["volume", "part", "page"], "coordinates"), quality.one_date_per_issue(rec),
@@ -546,7 +551,7 @@ SELECT year AS a, strftime(l_shipdate, '%Y') AS b, count(*)::BIGINT AS n FROM re
 def year_contingency(spark: SparkSession, d: str) -> DataFrame:
     """Year of the record against year of its lines, where they differ."""
     lines = tables.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.date_format("l_shipdate", "yyyy").alias("y"))
-    return quality.two_way(_rec(spark, d).select("id", "year").join(lines, "id").where(F.col("year") != F.col("y")), F.col("year"), F.col("y"))
+    return quality.two_way(_plain(spark, d).select("id", "year").join(lines, "id").where(F.col("year") != F.col("y")), F.col("year"), F.col("y"))
 
 
 @query("""
@@ -556,7 +561,7 @@ FROM a FULL JOIN b ON a.year = b.year AND a.id = b.id GROUP BY 1
 """)
 def layer_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Records with and without any line, by year."""
-    rec = _rec(spark, d).select("year", "id")
+    rec = _plain(spark, d).select("year", "id")
     lines = tables.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")).join(rec, "id")
     return quality.layer_coverage(rec, lines, "id", "year")
 
@@ -584,7 +589,7 @@ def differing_keys(spark: SparkSession, d: str) -> DataFrame:
 SELECT feed_id, rank, id, date, 'เล่ม ' || volume || ' ตอนที่ ' || part || CASE WHEN page <> 0 THEN ' หน้า ' || page ELSE '' END || ' · ' || title AS entry FROM r WHERE rank <= 50
 """)
 def feed_entries(spark: SparkSession, d: str) -> DataFrame:
-    return publish.feed_entries(_rec(spark, d).withColumn("feed_id", F.concat(F.lit("series/"), "part")))
+    return publish.feed_entries(_plain(spark, d).withColumn("feed_id", F.concat(F.lit("series/"), "part")))
 
 
 @query("SELECT r_name, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_name COLLATE NOCASE)::INT AS place FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -33,33 +33,32 @@ def headlines(found: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(first).select("id", F.col("h.slug").alias("topic"), (~F.col("h.n")).alias("topic_c"))
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The unified record model over the star schema."""
+def records(spark: SparkSession, sf_dir: str, with_topics: bool = True) -> DataFrame:
+    """The unified record model over the star schema. Without topics the lines are not read."""
     orders = table(spark, sf_dir, "orders")
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     date = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return (
-        orders.join(people, F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .join(headlines(labels(spark, sf_dir)), F.col("o_orderkey") == F.col("id"), "left")
-        .select(
-            F.col("o_orderkey").alias("id"),
-            date.alias("date"),
-            F.substring(date, 1, 7).alias("month"),
-            F.substring(date, 1, 4).alias("year"),
-            F.col("c_name").alias("agency"),
-            F.col("c_mktsegment").alias("agency_type"),
-            F.col("n_name").alias("province"),
-            F.col("o_orderpriority").alias("action"),
-            F.col("o_orderstatus").alias("govlevel"),
-            "topic",
-            F.coalesce("topic_c", F.lit(False)).alias("topic_c"),
-            (F.col("o_orderkey") % 5 != 0).alias("action_c"),
-            (F.col("o_orderkey") % 7 != 0).alias("govlevel_c"),
-            (F.substring(date, 1, 4).cast("int") - 1994).alias("volume"),
-            F.col("o_orderpriority").alias("part"),
-            (F.col("o_orderkey") % 500).cast("int").alias("page"),
-            F.concat_ws(" ", F.lit("Order"), F.col("o_orderkey").cast("string"), "c_name").alias("title"),
-        )
+    rows = orders.join(people, F.col("o_custkey") == F.col("c_custkey"), "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    topic = []
+    if with_topics:
+        rows = rows.join(headlines(labels(spark, sf_dir)), F.col("o_orderkey") == F.col("id"), "left")
+        topic = ["topic", F.coalesce("topic_c", F.lit(False)).alias("topic_c")]
+    return rows.select(
+        F.col("o_orderkey").alias("id"),
+        date.alias("date"),
+        F.substring(date, 1, 7).alias("month"),
+        F.substring(date, 1, 4).alias("year"),
+        F.col("c_name").alias("agency"),
+        F.col("c_mktsegment").alias("agency_type"),
+        F.col("n_name").alias("province"),
+        F.col("o_orderpriority").alias("action"),
+        F.col("o_orderstatus").alias("govlevel"),
+        *topic,
+        (F.col("o_orderkey") % 5 != 0).alias("action_c"),
+        (F.col("o_orderkey") % 7 != 0).alias("govlevel_c"),
+        (F.substring(date, 1, 4).cast("int") - 1994).alias("volume"),
+        F.col("o_orderpriority").alias("part"),
+        (F.col("o_orderkey") % 500).cast("int").alias("page"),
+        F.concat_ws(" ", F.lit("Order"), F.col("o_orderkey").cast("string"), "c_name").alias("title"),
     )
