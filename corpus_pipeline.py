@@ -16,7 +16,7 @@ from facetra.llm import quality_rules as qr
 from facetra.llm.common import read, stored
 
 #: A document whose language is less certain than this is rejected, as is one without a letter.
-LEAST_CERTAIN = 0.5
+LEAST_CERTAIN = 0.4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

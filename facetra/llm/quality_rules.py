@@ -31,7 +31,7 @@ RULES = {
     "few_words": "n_words < 10",
     "repeated_windows": "100 * n_repeat_words > 20 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
+    "duplicate_lines": "n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines",
     "word_length": "2 * word_chars < 5 * n_words OR word_chars > 12 * n_words",
     "shouting": "2 * n_upper > word_chars",
 }

@@ -26,7 +26,7 @@ f AS (
   SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END
     + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
-    + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
     + CASE WHEN 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words THEN 16 ELSE 0 END
     + CASE WHEN 2 * n_upper > word_chars THEN 32 ELSE 0 END)::BIGINT AS failure_bits
   FROM b)
