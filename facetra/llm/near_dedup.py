@@ -377,11 +377,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         first, other = sigs.select(F.col("rep").alias("a"), F.col("packed").alias("x")), sigs.select(F.col("rep").alias("b"), F.col("packed").alias("y"))
         return pairs.join(first, "a").join(other, "b").where(estimate(F.col("x"), F.col("y")) >= MARGIN).select("a", "b")
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
+
+    def narrowed(ids: DataFrame) -> DataFrame:
+        """The texts of some representatives, stored, so that whole texts of all documents are shuffled but once a phase."""
+        return stored(texts.join(ids.distinct(), "rep", "left_semi"), "texts")
+
     # first: each document and the pivot that meets most others
     pivots = members.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", F.col("rep").alias("pivot"))).alias("p"))
     chosen = members.join(pivots, "key").where(F.col("p.pivot") != F.col("rep")).groupBy("rep").agg(F.max("p").alias("p"))
     tested = stored(near(chosen.select(F.col("p.pivot").alias("a"), F.col("rep").alias("b"))), "tested")
-    links = stored(_confirmed(tested, texts), "confirmed")
+    links = stored(_confirmed(tested, narrowed(ends(tested))), "confirmed")
     group = stored(components(links, used), "components")
 
     # then what is still apart within a bucket
@@ -392,8 +399,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     two = F.flatten(
         F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y, j: (j > i) & (x["component"] != y["component"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))))
     )
-    few = near(listed.select(F.inline(two))).join(tested, ["a", "b"], "left_anti")
-    more = stored(_confirmed(few, texts), "confirmed")
+    few = stored(near(listed.select(F.inline(two))).join(tested, ["a", "b"], "left_anti"), "few")
 
     large = left.where(F.col("n") > SMALL).join(sigs, "rep").withColumn("blocks", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int"))
     dealt = large.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -403,7 +409,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         (F.col("own") > F.col("with")).cast("int").alias("side"), (F.col("own") == F.col("with")).alias("same"),
     )
     involved = stored(dealt.groupBy("key", "lo", "hi").applyInPandas(_involved, dealt.schema), "involved")
-    sets = stored(full_sets(texts.join(involved.select("rep").distinct(), "rep", "left_semi")), "sets")
+    inner = involved.select("rep").distinct()
+    needed = narrowed(ends(few).union(inner))
+    more = _confirmed(few, needed)
+    sets = stored(full_sets(needed.join(inner, "rep", "left_semi")), "sets")
     id_type = reps.schema["rep"].dataType.simpleString()
     inside = involved.join(sets, "rep").groupBy("key", "lo", "hi").applyInPandas(_block_links, f"a {id_type}, b {id_type}")
     more = stored(more.union(inside).distinct(), "confirmed")
