@@ -6,7 +6,8 @@ text of the corpus. Passages with one reading stay as they are. The restored tex
 beginnings that labelled rows show to be toxic.
 
 Three jobs: counts of trigrams (at most 32,768 sums), document frequencies of words in a bounded sample of labelled rows
-(pre-aggregated in tasks), and one scoring pass over whole texts.
+(pre-aggregated in tasks), and one scoring pass over whole texts. Evidence is tested where the frequencies are counted, so
+that only features that pass reach the driver, however many others are more frequent.
 
 Defined results: null, empty and wordless texts get the model's base score; labels other than 0 and 1 and null labels
 are not learned from, and without both classes nothing is toxic; of rows that share an id one is learned from; repeated
@@ -23,17 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from facetra.llm.common import crc_mod, ship
+from facetra.llm.common import crc_mod, ship, stored
 from facetra.llm.quality_model import training_rows
 
 #: Labelled rows of each class that words are learned from, at most.
 SAMPLE = 6000
-#: Words and word beginnings that the model may hold, at most.
-FEATURES = 20_000
 #: Evidence (log likelihood ratio) from which a feature counts.
 EVIDENCE = 20.0
 THRESHOLD = 0.7
@@ -212,8 +211,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[f] for f in names], pa.int64()) for c in n]], ["f", "n0", "n1"])
 
     counted = rows.mapInArrow(run, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    got = counted.where((F.col("n1") > 2) | (F.col("f") == "")).orderBy(F.col("f") != "", F.desc("n1"), "f").limit(FEATURES).collect()
-    return Model(lm, weigh({r["f"]: (r["n0"], r["n1"]) for r in got}))
+    counted = stored(counted.where((F.col("n1") > 2) | (F.col("f") == "")), "features")
+    total = counted.where("f = ''").first()  # one row
+    if not (total and total["n0"] and total["n1"]):
+        return Model(lm, {})
+    got = counted.where((F.col("f") != "") & evident(total["n0"], total["n1"])).collect()
+    return Model(lm, weigh({"": (total["n0"], total["n1"])} | {r["f"]: (r["n0"], r["n1"]) for r in got}))
+
+
+def evident(all0: int, all1: int) -> Column:
+    """Whether n0 and n1 can pass ``weigh``, which decides; a hair wider, as logarithms may differ in their last bits."""
+    n0, n1 = F.col("n0"), F.col("n1")
+    e1, e0 = (n0 + n1) * all1 / F.lit(float(all0 + all1)), (n0 + n1) * all0 / F.lit(float(all0 + all1))
+    llr = 2 * (n1 * F.log(n1 / e1) + F.when(n0 > 0, n0 * F.log(n0 / e0)).otherwise(0.0))
+    p1, p0 = (n1 + 0.5) / (all1 + 1), (n0 + 0.5) / (all0 + 1)
+    return (n1 * all0 > n0 * all1) & (llr >= EVIDENCE - 1e-6) & (p1 > RATIO * p0 * (1 - 1e-9))
 
 
 def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:

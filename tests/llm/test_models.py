@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from helpers import DOCS, odd_texts, prose
@@ -104,6 +106,14 @@ def test_toxicity_learns_words_and_sees_through_disguise(spark):
     assert tx.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_a_rare_word_below_many_frequent_ones(spark):
+    common = " ".join("".join(x) for x in itertools.islice(itertools.product("bcdfghjklmnpr", repeat=4), 24_000) if "".join(x)[:3] != x[0] * 3 and "".join(x)[1:] != x[1] * 3)
+    rows = [(i, common + (" zqvx" if i % 4 == 0 else ""), i % 2 ^ 1) for i in range(120)]  # in half of the toxic rows
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = tx.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert set(model.weights) == {"zqvx"}
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     model = tx.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
