@@ -369,6 +369,13 @@ def months_of_ids(spark: SparkSession, d: str) -> DataFrame:
     return lookup.months_of(ids, lookup.id_ranges(_plain(spark, d)).where("month LIKE '1996%'"))
 
 
+@query()
+def months_of_ids_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every month whose id range holds a number; tests hold it against brute force."""
+    ids = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return lookup.months_of(ids, lookup.id_ranges(_plain(spark, d)))
+
+
 @query("SELECT year, month, min(id) AS lo, max(id) AS hi FROM rec GROUP BY ALL")
 def id_ranges(spark: SparkSession, d: str) -> DataFrame:
     return lookup.id_ranges(_plain(spark, d))

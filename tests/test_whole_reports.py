@@ -23,3 +23,13 @@ def test_every_citation_is_resolved(spark, sf_dir):
     got = pairs(rq.citations_as_of_all(spark, sf_dir))
     assert got == sorted(want) and len(got) == tables.table(spark, sf_dir, "orders").count()
     assert set(pairs(rq.citations_as_of(spark, sf_dir))) < set(got)
+
+
+def test_ids_find_months_of_every_year(spark, sf_dir):
+    span = defaultdict(list)
+    for r in tables.records(spark, sf_dir, with_topics=False).select("month", "id").collect():
+        span[r.month].append(r.id)
+    ids = [r.c_custkey for r in tables.table(spark, sf_dir, "customer").select("c_custkey").collect()]
+    got = pairs(rq.months_of_ids_all(spark, sf_dir))
+    assert got == sorted((i, m) for i in ids for m, own in span.items() if min(own) <= i <= max(own))
+    assert {m[:4] for _, m in got} > {"1996"} and set(pairs(rq.months_of_ids(spark, sf_dir))) < set(got)
