@@ -456,6 +456,25 @@ def substring_search(spark: SparkSession, d: str) -> DataFrame:
     return search.substring_search(qs, docs, search.trigram_index(docs))
 
 
+#: Characters of a piece of an item.
+PIECE = 40
+
+
+@query()
+def substring_search_whole(spark: SparkSession, d: str) -> DataFrame:
+    """item_id, piece, q, doc_id: each benchmark item in pieces that cover it to its end, all looked up; brute force in tests.
+
+    The last piece ends with the item and may overlap the one before, so that none but a short item's is short.
+    """
+    docs = tables.table(spark, d, "documents")
+    n = F.length("text")
+    items = tables.table(spark, d, "benchmark").where(n > 0)
+    cut = items.select("item_id", "text", n.alias("n"), F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(PIECE))).alias("piece", "at"))
+    start = F.greatest(F.least("at", F.col("n") - PIECE), F.lit(0)) + 1
+    pieces = cut.select("item_id", "piece", F.substring("text", start, F.lit(PIECE)).alias("q"))
+    return pieces.join(search.substring_search(pieces.select("q"), docs, search.trigram_index(docs)), "q").select("item_id", "piece", "q", "doc_id")
+
+
 # ---- links
 
 _LINKS = r"""

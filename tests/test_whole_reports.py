@@ -33,3 +33,19 @@ def test_ids_find_months_of_every_year(spark, sf_dir):
     got = pairs(rq.months_of_ids_all(spark, sf_dir))
     assert got == sorted((i, m) for i in ids for m, own in span.items() if min(own) <= i <= max(own))
     assert {m[:4] for _, m in got} > {"1996"} and set(pairs(rq.months_of_ids(spark, sf_dir))) < set(got)
+
+
+def test_whole_items_are_searched(spark, sf_dir, tmp_path):
+    item = "It starts here and goes on for a while, then tells something quite different at its very end: 😀 zebra."
+    items = [(1, item), (2, "short"), (3, item[:80]), (4, ""), (5, None)]
+    docs = [(10, "said: " + item[55:]), (11, item), (12, "a short one"), (13, item[:50]), (14, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in items:
+        for k, at in enumerate(range(0, len(t or ""), 40)):
+            q = t[max(0, min(at, len(t) - 40)) :][:40]
+            want += [(i, k, q, j) for j, text in docs if q in (text or "")]
+    got = pairs(rq.substring_search_whole(spark, str(tmp_path)))
+    assert got == sorted(want) and (1, 2, item[-40:], 10) in got
+    assert 10 not in {r.doc_id for r in rq.substring_search(spark, str(tmp_path)).collect()}
