@@ -1,7 +1,7 @@
 """Near-duplicates by b-bit MinHash.
 
 ``signatures`` reads each text once and gives, per document, the size of its set of five-word shingles, a fingerprint of
-the set, the low two bits of 240 minima packed into eight longs and one key per band of five whole minima. Documents
+the set, two hashed bits of each of 240 minima packed into eight longs and one key per band of five whole minima. Documents
 with equal sets meet by fingerprint; one of them stands for all from there on. Band keys generate candidates, bit counts
 of the packed signatures estimate the similarity (corrected for chance agreement of two bits), and pairs that could
 reach the threshold are confirmed on the full sets of words, as exact integers.
@@ -41,7 +41,7 @@ SHINGLE = 5
 PART, WHOLE = 75, 100
 BANDS, ROWS = 48, 5
 MINIMA = BANDS * ROWS
-#: Low bits of each minimum that are kept; estimates below the margin cannot belong to similar sets.
+#: Bits of each minimum that are kept. The estimate of a pair of similarity 0.75 lies over five standard deviations above the margin.
 BITS = 2
 MARGIN = 0.55
 #: Members of a bucket that are compared as pairs of rows, and members of a larger one's block.
@@ -154,9 +154,14 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def packed(found: np.ndarray) -> np.ndarray:
-    """The low BITS of the minima of each set, in longs."""
+    """BITS of the minima of each set, in longs.
+
+    They come from a hash of minimum and function: the low bits of a * x + b themselves depend on those of x alone, so
+    that two elements would agree by chance in all minima or in none.
+    """
     per = 64 // BITS
-    low = (found & np.uint32((1 << BITS) - 1)).astype(np.uint64)
+    seeds = _mix(np.arange(1, MINIMA + 1, dtype=np.uint64))[:, None]
+    low = _mix(found + seeds) & np.uint64((1 << BITS) - 1)
     longs = -(-MINIMA // per)
     out = np.zeros((longs, found.shape[1]), np.uint64)
     for k in range(MINIMA):
