@@ -1,40 +1,49 @@
 """Near-duplicates by b-bit MinHash.
 
-``signatures`` reads each text once and gives, per document, the size of its set of five-word shingles, a fingerprint of
-the set, two hashed bits of each of 240 minima packed into eight longs and one key per band of five whole minima. Documents
-with equal sets meet by fingerprint; one of them stands for all from there on. Band keys generate candidates, bit counts
-of the packed signatures estimate the similarity (corrected for chance agreement of two bits), and pairs that could
-reach the threshold are confirmed on the full sets of words, as exact integers.
-
-Pairs are not expanded within a bucket. First, each document meets one pivot: the member of its buckets that shares most
-buckets with others. Confirmed links merge into components, and only what is still apart within a bucket is compared:
-buckets of up to ``SMALL`` members as pairs, larger ones in blocks inside a task, which hold the members' packed
-signatures and full sets, skip what is connected by then and emit no more than a spanning forest of confirmed links. So a
-large group of copies makes rows in proportion to its members. Links within a component cannot change it, and no other
-pair of a bucket is left out.
+``signatures`` reads each text once and gives, per document, the size of its set of five-word shingles, a digest of its
+sequence of words, two hashed bits of each of 240 minima packed into eight longs and one key per band of five whole
+minima. Documents with equal sequences of words meet by digest (SHA-256); one of them stands for all from there on. Band
+keys generate candidates, bit counts of the packed signatures estimate the similarity (corrected for chance agreement of
+two bits), and pairs that could reach the threshold are confirmed on their texts, as exact integers over whole sets of
+shingles, not of hashes.
+
+Pairs are not expanded within a bucket. First, each document meets one pivot, the smallest member of most of its buckets.
+Confirmed links merge into components, and only what is still apart within a bucket is compared: buckets of up to
+``SMALL`` members as pairs; of larger ones the members outside the bucket's largest component with that component and
+with each other, in blocks inside a task. Blocks hold packed signatures and hashed sets, skip what is connected by then
+and emit no more than a spanning forest, whose links are confirmed on texts too. So a large group of copies makes rows in
+proportion to its members. Links within a component cannot change it, and no other pair of a bucket is left out.
+
+Words are hashed one by one (BLAKE2b), and shingles by sums of word hashes times random odd factors, so that words of any
+structure differ. Should a link of a block fail on the texts all the same, the blocks are compared again under another key.
 
 Two sets of similarity 0.75 share no band with probability (1 - 0.75^5)^48, under 3 in a million.
 
 Defined results: A-Z are lower-cased; a text with fewer words than five is one shingle of all its words; null and
 wordless texts have an empty set and are linked with nothing, so they are kept; repeated rows get equal results; rows
-that share an id follow their own sets, and representatives that share an id count as one document; rows with a null id
-are kept, outside of components; further columns are not read; an empty table gives an empty table.
+that share an id follow their own sets, and representatives that share an id count as one document (give rows ids of
+their own to keep them apart); rows with a null id are kept, outside of components; further columns are not read; an
+empty table gives an empty table. A task holds one text and its set at a time, and a block's hashed sets.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from facetra.llm.common import ship, stored
+from facetra.llm.common import ship
+from facetra.storage import clean, mark, stored
 
 SHINGLE = 5
 #: Linked from intersection / union = PART / WHOLE on.
@@ -46,26 +55,27 @@ BITS = 2
 MARGIN = 0.55
 #: Members of a bucket that are compared as pairs of rows, and members of a larger one's block.
 SMALL, BLOCK = 8, 1024
+#: Pairs of one document that are confirmed side by side.
+SLICE = 256
 #: Shingles worked on at once.
 CHUNK = 1 << 16
-#: Bytes of a text whose words are hashed at once.
-SEGMENT = 1 << 22
+#: Bytes of a text whose words are looked up at once, and of the texts of one batch of signatures.
+SEGMENT, BATCH = 1 << 22, 1 << 23
+#: Distinct words that a task remembers.
+REMEMBERED = 1_000_000
 
 _GAP = re.compile(rb"[ \t-\r]")
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 @functools.cache
 def _constants() -> tuple[np.ndarray, ...]:
-    """Byte values (A-Z as a-z), multipliers of the shingle's words, and the 240 hash functions; all from fixed seeds."""
+    """Multipliers of the shingle's words, and the 240 hash functions; all from fixed seeds."""
     r = np.random.default_rng(20_240_101)
-    values = r.integers(1, 2**63, 256, dtype=np.uint64)
-    values[65:91] = values[97:123]
     steps = r.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
     a = r.integers(1, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     b = r.integers(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32)
-    return values, steps, a, b
+    return steps, a, b
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,57 +85,80 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    base = 0x9E3779B97F4A7C15
-    up = np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)
-    down = np.cumprod(np.full(n, pow(base, -1, 1 << 64), np.uint64), dtype=np.uint64)
-    return up, down
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word; long texts are taken in segments that end at a space."""
-    parts, lo = [], 0
-    while lo < len(raw) or not parts:
-        end = _GAP.search(raw, lo + SEGMENT) if lo + SEGMENT < len(raw) else None
-        hi = end.start() if end else len(raw)
-        parts.append(_segment_hashes(raw[lo:hi]))
-        lo = max(hi, lo + 1)
-    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+class Words(dict):
+    """Word -> its number; ``hashes`` holds a 64-bit hash of the word of each number."""
 
+    def __init__(self, key: int = 0):
+        self.key, self.hashes = key.to_bytes(4, "big"), np.empty(1 << 16, np.uint64)
 
-def _segment_hashes(raw: bytes) -> np.ndarray:
-    """From running sums over the bytes."""
-    data = np.frombuffer(raw, np.uint8)
-    edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).view(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    values, *_ = _constants()
-    up, down = _powers(1 << max(12, len(data).bit_length()))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[data] * up[: len(data)], dtype=np.uint64)))
-    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        if n == len(self.hashes):
+            self.hashes = np.concatenate((self.hashes, np.empty(n, np.uint64)))
+        self.hashes[n] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        self[word] = n
+        return n
 
 
-def shingle_hashes(raw: bytes) -> np.ndarray:
-    """Distinct hashes of the shingles, sorted."""
-    w = word_hashes(raw)
+def numbers(raw: bytes, known: Words) -> tuple[np.ndarray, bytes]:
+    """The numbers of a text's words, and a digest of their sequence; long texts are taken in segments that end at a space."""
+    if len(known) > REMEMBERED:
+        known.clear()  # numbers are compared within a text only
+    parts, digest, lo = [np.zeros(0, np.int64)], hashlib.sha256(), 0
+    while lo < len(raw):
+        end = _GAP.search(raw, lo + SEGMENT) if lo + SEGMENT < len(raw) else None
+        hi = end.start() if end else len(raw)
+        words = raw[lo:hi].translate(_LOWER).split()
+        parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+        if words:
+            digest.update(b" ".join(words) + b" ")
+        lo = hi
+    return np.concatenate(parts), digest.digest()
+
+
+def hashed_set(ids: np.ndarray, known: Words) -> tuple[np.ndarray, int]:
+    """Distinct hashes of the shingles, sorted, and how many shingles there are. Shingles with equal hashes are compared
+    word by word for the count."""
+    w = known.hashes[ids]
     if not len(w):
-        return w
-    _, steps, *_ = _constants()
+        return w, 0
+    steps, *_ = _constants()
     if len(w) < SHINGLE:
-        return _mix((w * steps[: len(w)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(w)))
+        return _mix((w * steps[: len(w)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(w))), 1
     n = len(w) - SHINGLE + 1
     x = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
         x += w[j : j + n] * steps[j]
-    return np.unique(_mix(x + np.uint64(SHINGLE)))
+    x = _mix(x + np.uint64(SHINGLE))
+    found = np.sort(x)
+    again = found[1:] == found[:-1]
+    if not again.any():
+        return found, n
+    order = np.argsort(x, kind="stable")
+    first, second = order[:-1][again], order[1:][again]
+    found = found[np.concatenate(([True], ~again))]
+    if all((ids[first + j] == ids[second + j]).all() for j in range(SHINGLE)):
+        return found, len(found)
+    return found, len(np.unique(np.lib.stride_tricks.sliding_window_view(ids, SHINGLE), axis=0))
+
+
+def shingle_hashes(raw: bytes, known: Words | None = None) -> np.ndarray:
+    """Distinct hashes of the shingles, sorted."""
+    known = Words() if known is None else known
+    return hashed_set(numbers(raw, known)[0], known)[0]
+
+
+def shingles(text: str | None) -> set:
+    """The set of shingles itself: five words joined by a space, which no word holds."""
+    w = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
+    if len(w) < SHINGLE:
+        return {b" ".join(w)} if w else set()
+    return set(map(b" ".join, zip(*[w[j:] for j in range(SHINGLE)], strict=False)))
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
     """240 minima (uint32) of each non-empty set; worked on in chunks that stay in the cache."""
-    _, _, a, b = _constants()
+    _, a, b = _constants()
     out = np.full((MINIMA, len(sets)), 0xFFFFFFFF, np.uint32)
     buffer = np.empty(CHUNK, np.uint32)
 
@@ -182,6 +215,20 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 SIGNATURE = "n_shingles long, print_a long, print_b long, packed array<long>, bands array<long>"
 
 
+def batched(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose second column, texts, stays within BATCH bytes, a longer text alone."""
+    for whole in batches:
+        lo, size = 0, 0
+        lengths = [0 if n is None else n for n in pc.binary_length(whole.column(1)).to_pylist()]
+        for i, n in enumerate(lengths):
+            if i > lo and (size + n > BATCH or i - lo == rows):
+                yield whole.slice(lo, i - lo)
+                lo, size = i, 0
+            size += n
+        if lo < whole.num_rows:
+            yield whole.slice(lo)
+
+
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and SIGNATURE per row; packed and bands are null for an empty set."""
     ship(docs.sparkSession)
@@ -191,26 +238,26 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from facetra.llm import near_dedup as own
 
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                sets = [own.shingle_hashes((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column(1)]
-                some = np.flatnonzero([len(s) > 0 for s in sets])
-                found = own.minima([sets[i] for i in some])
-                wide = np.zeros((len(sets), -(-own.MINIMA * own.BITS // 64)), np.uint64)
-                keys = np.zeros((len(sets), own.BANDS), np.uint64)
-                wide[some], keys[some] = own.packed(found), own.band_keys(found)
-                none = pa.array(np.array([len(s) == 0 for s in sets]))
-                lists = []
-                for m in (wide, keys):
-                    values = pa.array(m.view(np.int64).reshape(-1))
-                    offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * m.shape[1])
-                    lists.append(pa.ListArray.from_arrays(offsets, values, mask=none))
-                prints = [[int(own._mix(s + np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for s in sets] for k in (1, 2)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(p, pa.int64()) for p in prints], *lists],
-                    schema.names,
-                )
+        known = own.Words()
+        for batch in own.batched(batches):
+            read = [own.numbers((t.as_py() or "").encode("utf-8", "replace"), known) for t in batch.column(1)]
+            found = [own.hashed_set(ids, known) for ids, _ in read]
+            some = np.flatnonzero([n > 0 for _, n in found])
+            least = own.minima([found[i][0] for i in some])
+            wide = np.zeros((len(found), -(-own.MINIMA * own.BITS // 64)), np.uint64)
+            keys = np.zeros((len(found), own.BANDS), np.uint64)
+            wide[some], keys[some] = own.packed(least), own.band_keys(least)
+            none = pa.array(np.array([n == 0 for _, n in found]))
+            lists = []
+            for m in (wide, keys):
+                values = pa.array(m.view(np.int64).reshape(-1))
+                offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * m.shape[1])
+                lists.append(pa.ListArray.from_arrays(offsets, values, mask=none))
+            prints = np.frombuffer(b"".join(d[:16] for _, d in read), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([n for _, n in found], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), *lists],
+                schema.names,
+            )
 
     return narrow.mapInArrow(run, schema)
 
@@ -227,47 +274,51 @@ def estimate(a, b):
     return ((1 - differ / F.lit(float(MINIMA))) - chance) / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those linked on full sets. Rows of one a come together, so its set is made once."""
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those linked on full sets.
+
+    The texts of a's partners meet in slices of about SLICE, each with a's own text in front, so that a text moves once
+    per pair and a's own once per slice, and no task gets all partners of one document.
+    """
     ship(pairs.sparkSession)
-    b = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    rows = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+    slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SLICE))).cast("int").alias("slices"))
+    dealt = pairs.join(slices, "a").select("a", F.pmod(F.xxhash64("b"), "slices").cast("int").alias("slice"), "b")
+    asked = dealt.select(F.col("b").alias("rep"), "a", "slice", F.lit(True).alias("partner")).union(
+        dealt.select("a", "slice").distinct().select("a", "a", "slice", F.lit(False))
+    )
+    rows = texts.join(asked, "rep").select("a", "slice", "partner", "rep", "text")
+    rows = rows.repartition("a", "slice").sortWithinPartitions("a", "slice", "partner", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from facetra.llm import near_dedup as own
 
-        last, own_set = None, set()
+        last, mine = None, []
         for batch in batches:
             keep = []
-            for i, (x, ta, tb) in enumerate(zip(batch.column(0), batch.column(2), batch.column(3), strict=True)):
-                if (key := (x.as_py(), ta.as_py())) != last:
-                    last, own_set = key, own.shingles(key[1])
-                other = own.shingles(tb.as_py())
-                both = len(own_set & other)
-                if own.WHOLE * both >= own.PART * (len(own_set) + len(other) - both):
+            for i, (a, slice_, partner, text) in enumerate(zip(*[batch.column(k) for k in (0, 1, 2, 4)], strict=True)):
+                key, found = (a.as_py(), slice_.as_py()), own.shingles(text.as_py())
+                if key != last:
+                    last, mine = key, []
+                if not partner.as_py():
+                    mine += [found] if found not in mine else []
+                elif any(own.linked(len(found & s), len(found), len(s)) for s in mine):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 3)], ["a", "b"])
 
-    return rows.mapInArrow(run, StructType([rows.schema["a"], rows.schema["b"]]))
+    kind = pairs.schema["a"].dataType.simpleString()
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+def linked(both: int, one: int, other: int) -> bool:
+    return WHOLE * both >= PART * (one + other - both)
 
 
-def shingles(text: str | None) -> set:
-    """The set of shingles itself: five words joined by a space, which no word holds."""
-    w = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-    if len(w) < SHINGLE:
-        return {b" ".join(w)} if w else set()
-    return set(map(b" ".join, zip(*[w[j:] for j in range(SHINGLE)], strict=False)))
-
-
-def components(links: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """rep, component (smallest rep reachable) for every node, by large-star and small-star steps on (a, b) links.
 
     A step needs only the minimum of each node's neighbours, an aggregate, and one join; links are stored after each
-    pair of steps, and the loop ends when they stop changing.
+    pair of steps, and the loop ends when they stop changing, after a number of rounds that grows with the logarithm of
+    the longest chain.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -281,15 +332,14 @@ def components(links: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFram
         return out.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     edges = links.select("a", "b").where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    state = None
-    for _ in range(rounds):
+    state, at = None, mark()
+    while True:
         edges = stored(star(star(edges, True), False), "links")
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         if now == state or not now[0]:
             break
         state = now
-    else:
-        raise RuntimeError("components did not settle")
+        clean(at, edges)
     return nodes.join(edges.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left").select(
         "rep", F.coalesce("component", "rep").alias("component")
     )
@@ -323,9 +373,9 @@ def _involved(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the confirmed links of a block, over the components so far."""
+    """A spanning forest of the links of a block by its hashed sets, over the components so far."""
     packed = np.stack([np.asarray(p, np.int64) for p in rows["packed"]]).view(np.uint64)
-    sets = [np.asarray(x, np.int64) for x in rows["hashes"]]
+    sets = [np.asarray(x, np.int64).view(np.uint64) for x in rows["hashes"]]
     rep, comp = rows["rep"].to_numpy(), rows["component"].to_numpy()
     left, right = _sides(rows)
     _, group = np.unique(comp, return_inverse=True)  # group numbers, renumbered as they merge
@@ -335,15 +385,14 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
         near = _near_rows(packed, i, others)
         for j in others[np.argsort(-near, kind="stable")][: int((near >= MARGIN).sum())]:
             if group[i] != group[j]:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if WHOLE * both >= PART * (len(sets[i]) + len(sets[j]) - both):
+                if linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])):
                     out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
                     group[group == group[j]] = group[i]
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def full_sets(texts: DataFrame) -> DataFrame:
-    """rep, hashes: all shingles of a text as sorted 64-bit hashes."""
+def full_sets(texts: DataFrame, key: int = 0) -> DataFrame:
+    """rep, hashes: all shingles of a text as sorted 64-bit hashes under a key."""
     ship(texts.sparkSession)
     narrow = texts.select("rep", F.col("text").cast("string").alias("text"))
     schema = StructType([narrow.schema[0], *StructType.fromDDL("hashes array<long>")])
@@ -351,72 +400,89 @@ def full_sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from facetra.llm import near_dedup as own
 
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                sets = [own.shingle_hashes((t.as_py() or "").encode("utf-8", "replace")).view(np.int64) for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], schema.names)
+        known = own.Words(key)
+        for batch in own.batched(batches):
+            sets = [own.shingle_hashes((t.as_py() or "").encode("utf-8", "replace"), known).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], schema.names)
 
     return narrow.mapInArrow(run, schema)
 
 
+def _dealt(large: DataFrame) -> DataFrame:
+    """Members of large buckets, dealt to the blocks that they are compared in.
+
+    A bucket's stragglers, those outside its largest component, make blocks 0, 1 and so on, that component the blocks
+    after them. Two blocks meet unless both are of the largest component; so its members go to as many tasks as there
+    are blocks of stragglers, and no further.
+    """
+    straggler = F.col("component") != F.col("main")
+    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
+    rows = large.withColumns({"_s": blocks(F.col("n") - F.col("n_main")), "_l": blocks(F.col("n_main")), "_h": F.xxhash64("rep")})
+    own = F.when(straggler, F.pmod("_h", F.col("_s"))).otherwise(F.col("_s") + F.pmod("_h", F.col("_l"))).cast("int")
+    end = F.when(straggler, F.col("_s") + F.col("_l")).otherwise(F.col("_s")) - 1
+    met = rows.select("key", "rep", "component", "packed", own.alias("own"), F.explode(F.sequence(F.lit(0), end)).alias("with"))
+    return met.select(
+        "key", "rep", "component", "packed", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"),
+        (F.col("own") > F.col("with")).cast("int").alias("side"), (F.col("own") == F.col("with")).alias("same"),
+    )
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per row of docs."""
+    at = mark()
     signed = stored(signatures(docs, doc_id, text), "signatures")
     sets = signed.where(F.col("bands").isNotNull() & F.col("doc_id").isNotNull())
-    reps = sets.groupBy("print_a", "print_b", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.min_by(F.struct("packed", "bands"), "doc_id").alias("s")
-    )
-    reps = stored(reps.select("rep", "print_a", "print_b", "n_shingles", "s.packed", "s.bands"), "reps")
+    same = ["print_a", "print_b"]
+    reps = sets.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("packed", "bands"), "doc_id").alias("s"))
+    reps = stored(reps.select("rep", *same, "s.packed", "s.bands"), "reps")
+    texts = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("text"))
 
-    keyed = reps.select("rep", "packed", F.explode("bands").alias("key")).select("rep", "key")
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    keyed = reps.select("rep", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where(F.col("n") > 1)
     members = stored(keyed.join(buckets, "key"), "members")
-    met = stored(members.groupBy("rep").agg(F.sum("n").alias("met")), "met")  # how many others a document meets
-    used = met.select("rep")
-    sigs = stored(reps.join(used, "rep", "left_semi").select("rep", "packed"), "packed")
-    texts = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("text"))
+    sigs = stored(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "packed"), "packed")
+    used = sigs.select("rep")
 
     def near(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
         first, other = sigs.select(F.col("rep").alias("a"), F.col("packed").alias("x")), sigs.select(F.col("rep").alias("b"), F.col("packed").alias("y"))
         return pairs.join(first, "a").join(other, "b").where(estimate(F.col("x"), F.col("y")) >= MARGIN).select("a", "b")
 
-    # first: each document and the pivot that meets most others
-    pivots = members.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", F.col("rep").alias("pivot"))).alias("p"))
-    chosen = members.join(pivots, "key").where(F.col("p.pivot") != F.col("rep")).groupBy("rep").agg(F.max("p").alias("p"))
-    tested = stored(near(chosen.select(F.col("p.pivot").alias("a"), F.col("rep").alias("b"))), "tested")
-    links = stored(_confirmed(tested, texts), "confirmed")
+    # first: each document and the pivot of most of its buckets
+    chosen = members.where(F.col("pivot") != F.col("rep")).groupBy("rep").agg(F.mode("pivot", True).alias("pivot"))
+    tested = stored(near(chosen.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))), "tested")
+    links = stored(confirmed(tested, texts), "confirmed")
     group = stored(components(links, used), "components")
 
     # then what is still apart within a bucket
     own = members.join(group, "rep")
-    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    left = stored(own.join(mixed, "key", "left_semi"), "apart")
+    sizes = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    left = own.drop("pivot").join(mixed.select("key", F.col("m.component").alias("main"), F.col("m.c").alias("n_main")), "key")
+    left = stored(left, "apart")
     listed = left.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "component"))).alias("m"))
     two = F.flatten(
         F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y, j: (j > i) & (x["component"] != y["component"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))))
     )
-    few = near(listed.select(F.inline(two))).join(tested, ["a", "b"], "left_anti")
-    more = stored(_confirmed(few, texts), "confirmed")
+    few = stored(near(listed.select(F.inline(two))).join(tested, ["a", "b"], "left_anti"), "few")
+    more = stored(confirmed(few, texts), "confirmed")
 
-    large = left.where(F.col("n") > SMALL).join(sigs, "rep").withColumn("blocks", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int"))
-    dealt = large.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("key", "rep", "component", "packed", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select(
-        "key", "rep", "component", "packed", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"),
-        (F.col("own") > F.col("with")).cast("int").alias("side"), (F.col("own") == F.col("with")).alias("same"),
-    )
+    dealt = _dealt(left.where(F.col("n") > SMALL).join(sigs, "rep"))
     involved = stored(dealt.groupBy("key", "lo", "hi").applyInPandas(_involved, dealt.schema), "involved")
-    sets = stored(full_sets(texts.join(involved.select("rep").distinct(), "rep", "left_semi")), "sets")
-    id_type = reps.schema["rep"].dataType.simpleString()
-    inside = involved.join(sets, "rep").groupBy("key", "lo", "hi").applyInPandas(_block_links, f"a {id_type}, b {id_type}")
+    kind = reps.schema["rep"].dataType.simpleString()
+    for key in itertools.count():
+        full = stored(full_sets(texts.join(involved.select("rep").distinct(), "rep", "left_semi"), key), "sets")
+        forest = involved.join(full, "rep").groupBy("key", "lo", "hi").applyInPandas(_block_links, f"a {kind}, b {kind}")
+        forest = stored(forest.distinct(), "forest")
+        inside = stored(confirmed(forest, texts), "confirmed")
+        if inside.count() == forest.count():
+            break
     more = stored(more.union(inside).distinct(), "confirmed")
     if not more.isEmpty():
         group = stored(components(links.union(more), used), "components")
+    clean(at, signed, reps, group)
 
-    of = reps.join(group, "rep", "left").select("print_a", "print_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    full = signed.drop("packed", "bands").join(of.withColumn("_set", F.lit(True)), ["print_a", "print_b", "n_shingles"], "left")
+    of = reps.join(group, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    full = signed.drop("packed", "bands").join(of, same, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return full.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
