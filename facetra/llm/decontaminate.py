@@ -4,11 +4,13 @@ Words are runs of a-z, 0-9 and bytes over 0x7F after A-Z are lower-cased. Every
 of fewer words is one window) is a pattern ``" w1 ... w10 "`` of one automaton; each document is normalised the same way
 and scanned once. Matches are word ranges, which are mapped back to character offsets of the original text.
 
-Items are cut into blocks of at most ``block_bytes`` of window text, so that the automaton in a task has a fixed bound;
-one block is the usual case. With more, each block is a scan of its own and the ranges are merged per row.
+Windows are cut in Spark and dealt by hash to blocks of about ``block_bytes``, so that what reaches the driver at once, is
+broadcast and makes the automaton in a task has a fixed bound; one block is the usual case. With more, each block is a
+scan of its own over the stored result of the one before, and the ranges are merged per row.
 
-Defined results: a null or wordless text has no words and no hits; null or wordless items are left out; items with equal
-texts or equal ids are each counted once per id; repeated document rows are scanned row by row; other columns pass through.
+Defined results: a null or wordless text has no words and no hits; null or wordless items are left out, and without any
+other item nothing is hit; items with equal texts or equal ids are each counted once per id; repeated document rows are
+scanned row by row; other columns pass through, but for those with the names of results, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from facetra.llm.common import ship
+from facetra.llm.common import fresh, ship
+from facetra.storage import stored
 
 WINDOW = 10
 #: Window text in one automaton; about 30 times as much memory in a task.
@@ -44,33 +47,35 @@ def windows(words: list[bytes]) -> list[bytes]:
     return [b" ".join(words[i : i + WINDOW]) for i in range(max(1, len(words) - WINDOW + 1))]
 
 
-def _blocks(items: list[tuple[str, str]], block_bytes: int) -> list[dict[str, list[str]]]:
-    """Pattern -> item ids, cut into blocks."""
-    blocks: list[dict[str, list[str]]] = [{}]
-    size = 0
-    for key, text in items:
-        for w in dict.fromkeys(windows(normalised(text))):
-            pattern = f" {w.decode('latin-1')} "
-            if size + len(pattern) > block_bytes and blocks[-1]:
-                blocks.append({})
-                size = 0
-            ids = blocks[-1].setdefault(pattern, [])
-            size += len(pattern) if not ids else 8
-            if key not in ids[-1:]:
-                ids.append(key)
-    return blocks
-
-
-def _automaton(key: str, patterns: dict[str, list[str]]):
+def patterns(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """pattern, item: the distinct windows of every item, padded with a space on either side."""
+    ship(items.sparkSession)
+    rows = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text")).dropna()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from facetra.llm import decontaminate as own
+
+        for batch in batches:
+            for key, t in zip(*batch.columns, strict=True):
+                found = [f" {w.decode('latin-1')} " for w in dict.fromkeys(own.windows(own.normalised(t.as_py())))]
+                for lo in range(0, len(found), 10_000):
+                    part = found[lo : lo + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([key.as_py()] * len(part), pa.string())], ["pattern", "item"])
+
+    return rows.mapInArrow(run, "pattern string, item string").distinct()
+
+
+def _automaton(key: str, block: dict[str, list[str]]):
+    """The automaton of a block; None without a pattern."""
     if key not in _AUTOMATA:
         import ahocorasick
 
         _AUTOMATA.clear()  # one at a time
         a = ahocorasick.Automaton()
-        for p, ids in patterns.items():
+        for p, ids in block.items():
             a.add_word(p, (len(p), ids))
         a.make_automaton()
-        _AUTOMATA[key] = a
+        _AUTOMATA[key] = a if block else None
     return _AUTOMATA[key]
 
 
@@ -78,7 +83,7 @@ def scan(text: str | None, automaton) -> tuple[int, list[tuple[int, int]], set[s
     """Number of words, merged ranges [first, last) of hit words, ids of items with a window here."""
     words = normalised(text)
     line = f" {b' '.join(words).decode('latin-1')} "
-    ends = list(automaton.iter(line)) if words else []
+    ends = list(automaton.iter(line)) if words and automaton is not None else []
     if not ends:
         return len(words), [], set()
     gaps = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
@@ -107,12 +112,12 @@ RANGES = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 OUT = "n_words long, hit_ranges array<struct<first:long,last:long>>, hit_items array<string>"
 
 
-def _scan_block(docs: DataFrame, text: str, patterns: dict[str, list[str]], keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns in keep) with the columns of OUT."""
-    key = hashlib.sha1(repr(sorted(patterns.items())).encode()).hexdigest()
-    sent = docs.sparkSession.sparkContext.broadcast(patterns)  # at most BLOCK_BYTES of windows
+def _scan_block(docs: DataFrame, text: str, block: dict[str, list[str]], names: list[str], keep: list[str]) -> DataFrame:
+    """The columns of docs in keep, with the columns of OUT under these names."""
+    key = hashlib.sha1(repr(sorted(block.items())).encode()).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast(block)  # about BLOCK_BYTES
     place = docs.columns.index(text)
-    kept = [i for i, c in enumerate(docs.columns) if keep is None or c in keep]
+    kept = [i for i, c in enumerate(docs.columns) if c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from facetra.llm import decontaminate as own
@@ -126,10 +131,13 @@ def _scan_block(docs: DataFrame, text: str, patterns: dict[str, list[str]], keep
                 pa.array([[{"first": a, "last": b} for a, b in r] for r in ranges], own.RANGES),
                 pa.array([sorted(i) for i in items], pa.list_(pa.string())),
             ]
-            names = [batch.schema.names[i] for i in kept]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *new], [*names, "n_words", "hit_ranges", "hit_items"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *new], [*[batch.schema.names[i] for i in kept], *names])
+
+    fields = [StructField(n, f.dataType) for n, f in zip(names, StructType.fromDDL(OUT), strict=True)]
+    return docs.mapInArrow(run, StructType([*[docs.schema[i] for i in kept], *fields]))
 
-    return docs.mapInArrow(run, StructType([*[docs.schema[i] for i in kept], *StructType.fromDDL(OUT)]))
+
+RESULTS = ("n_words", "hit_ranges", "hit_items", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def decontaminate(
@@ -137,18 +145,34 @@ def decontaminate(
     block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None,
 ) -> DataFrame:
     """docs (or its columns in keep) with n_words, hit_ranges (merged word ranges), hit_items (ids, sorted as strings), n_hit, n_items,
-    items_sha256, contaminated. An input column with such a name is replaced."""
+    items_sha256, contaminated. An input column with such a name is replaced; keep cannot name one."""
     ship(docs.sparkSession)
-    new = {"n_words", "hit_ranges", "hit_items", "n_hit", "n_items", "items_sha256", "contaminated"}
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
-    rows = items.select(F.col(item_id).cast("string"), item_text).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
-    blocks = _blocks(sorted(map(tuple, rows.toLocalIterator(prefetchPartitions=True))), block_bytes)
-    if len(blocks) == 1:
-        found = _scan_block(docs, text, blocks[0], keep)
-    else:
-        found = _merged(docs, text, blocks)
+    columns = [c for c in docs.columns if c not in RESULTS or c == text]
+    wanted = [c for c in (columns if keep is None else keep) if c not in RESULTS]
+    found = docs.select(*[F.col(f"`{c}`") for c in columns])
+    dealt = patterns(items, item_id, item_text)
+    cost = F.length("pattern") + F.length("item") + 8
+    total = dealt.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-total // block_bytes))
+    if n_blocks > 1:
+        dealt = stored(dealt.withColumn("block", F.pmod(F.xxhash64("pattern", "item"), F.lit(n_blocks))), "patterns")
+    last = [fresh(docs.columns, f.name) for f in StructType.fromDDL(OUT)]
+    for k in range(n_blocks):
+        block: dict[str, list[str]] = {}
+        for r in (dealt.where(F.col("block") == k) if n_blocks > 1 else dealt).toLocalIterator():  # about block_bytes
+            block.setdefault(r["pattern"], []).append(r["item"])
+        end = k == n_blocks - 1
+        if k == 0:
+            found = _scan_block(found, text, block, last, wanted if end else columns)
+        else:
+            new = [fresh([*found.columns, *docs.columns], f"new_{c}") for c in last]
+            one = _scan_block(found, text, block, new, [*wanted, *last] if end else found.columns)
+            found = one.withColumns({last[1]: _merged(last[1], new[1]), last[2]: F.array_sort(F.array_union(last[2], new[2]))}).drop(*new)
+        if not end:
+            found = stored(found, "scanned")
+    body = [F.col(f"`{c}`") for c in wanted]
+    found = found.select(*body, *[F.col(c).alias(n.name) for c, n in zip(last, StructType.fromDDL(OUT), strict=True)])
     n_hit = F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"])
-    found = found if keep is None else found.select(*keep, "n_words", "hit_ranges", "hit_items")
     return found.withColumns(
         {
             "n_hit": n_hit,
@@ -159,27 +183,18 @@ def decontaminate(
     )
 
 
-def _merged(docs: DataFrame, text: str, blocks: list[dict[str, list[str]]]) -> DataFrame:
-    """One scan a block, one after the other over the same rows, so that ranges meet in their row without a shuffle."""
-    found = docs
-    for k, patterns in enumerate(blocks):
-        one = _scan_block(found, text, patterns)
-        if k:
-            joined = F.array_sort(F.concat("_ranges", "hit_ranges"))
-            start = F.array().cast("array<struct<first:bigint,last:bigint>>")
-            merge = F.aggregate(
-                joined,
-                start,
-                lambda a, r: F.when(
-                    (F.size(a) > 0) & (r["first"] <= F.get(a, F.size(a) - 1)["last"]),
-                    F.concat(
-                        F.slice(a, F.lit(1), F.size(a) - 1),
-                        F.array(F.struct(F.get(a, F.size(a) - 1)["first"].alias("first"), F.greatest(F.get(a, F.size(a) - 1)["last"], r["last"]).alias("last"))),
-                    ),
-                ).otherwise(F.concat(a, F.array(r))),
-            )
-            one = one.withColumns({"hit_ranges": merge, "hit_items": F.array_sort(F.array_union("_items", "hit_items"))}).drop("_ranges", "_items")
-        if k < len(blocks) - 1:
-            one = one.withColumnsRenamed({"hit_ranges": "_ranges", "hit_items": "_items"}).drop("n_words")
-        found = one
-    return found
+def _merged(one: str, other: str) -> Column:
+    """Two lists of ranges as one of disjoint ranges."""
+    start = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    end = lambda a: F.get(a, F.size(a) - 1)
+    return F.aggregate(
+        F.array_sort(F.concat(one, other)),
+        start,
+        lambda a, r: F.when(
+            (F.size(a) > 0) & (r["first"] <= end(a)["last"]),
+            F.concat(
+                F.slice(a, F.lit(1), F.size(a) - 1),
+                F.array(F.struct(end(a)["first"].alias("first"), F.greatest(end(a)["last"], r["last"]).alias("last"))),
+            ),
+        ).otherwise(F.concat(a, F.array(r))),
+    )
