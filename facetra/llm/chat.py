@@ -3,8 +3,8 @@
 Logs often hold a conversation many times, once after each turn. A turn's hash covers its place, role and text, and the
 running sum of the hashes up to a turn names the prefix that ends there. A conversation whose whole name is the name of
 a proper prefix of another is dropped by an anti-join, equal conversations keep the one with the smallest id, and what
-stays is rendered. Sums run in chunks of turns, so one very long conversation is spread over tasks; its hashes are
-narrow, and its text meets only when it is rendered.
+stays is rendered. Sums run in chunks of turn numbers, so one very long conversation is spread over tasks, and its text
+meets only when it is rendered.
 
 Native DataFrame functions only. Defined results: turns are placed by turn, then role, then text, nulls first; a null
 role is rendered as ``user``, a null text as empty; rows with a null conversation id are left out; repeated rows are
@@ -32,11 +32,11 @@ def prefixes(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     rows = turns.where(F.col(conv_id).isNotNull()).select(
         F.col(f"`{conv_id}`").alias("conv_id"), F.col(f"`{turn}`").cast("long").alias("turn"), F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("text")
     )
-    narrow = rows.select("conv_id", "turn", *_names("turn")).withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK))
+    hashed = rows.withColumns({f"h{k}": h for k, h in zip((1, 2), _names("turn"), strict=True)}).withColumn("chunk", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK))
     by = ["conv_id", "chunk"]
-    order = ["turn", "h1", "h2"]
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = narrow.select(*by, F.count(F.lit(1)).over(run).alias("place"), *[F.sum(h).over(run).alias(h) for h in ("h1", "h2")])
+    narrow = hashed.select(*by, "h1", "h2")
+    run = Window.partitionBy(*by).orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)  # the order of ``render``
+    inner = hashed.select(*by, F.count(F.lit(1)).over(run).alias("place"), *[F.sum(h).over(run).alias(h) for h in ("h1", "h2")])
     sums = narrow.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(f"s{h}") for h in ("h1", "h2")])
     before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conv_id")
