@@ -2,7 +2,9 @@
 
 The network is trained on the driver by backpropagation through time, on windows of a bounded sample of labelled texts,
 and predicts a language at every byte; a document's probabilities are the mean over all its bytes. Texts are read whole,
-in windows of ``WINDOW`` bytes that run through the network side by side.
+in windows of ``WINDOW`` bytes that run through the network side by side, ``PART`` bytes of texts at a time, so that a
+very long text takes time but no more memory. The sample counts distinct texts, and only cut-outs of ``TRAIN_WINDOW``
+characters from all over them leave the tasks: at most ``SAMPLE`` x ``CUTS`` for each language.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with no learned language every text is
 ``und``; ties go to the first language in alphabetical order; repeated rows are predicted each; null languages are not
@@ -21,14 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from facetra.llm.common import crc_mod, ship
+from facetra.llm.common import crc_mod, fresh, ship
 
 HIDDEN = 8
 #: Labelled texts of each language that the network is trained on, about and at most.
 SAMPLE = 400
 STEPS, BATCH, TRAIN_WINDOW, RATE = 300, 96, 48, 0.02
+#: Cut-outs of a text for training.
+CUTS = 24
 #: Bytes of a window, and windows side by side, when predicting.
 WINDOW, SIDE = 128, 4096
+#: Bytes of texts at once; a multiple of WINDOW.
+PART = 1 << 22
 HELD_MODULUS = 5
 UND = "und"
 
@@ -191,12 +197,28 @@ def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     """Mean probabilities over all bytes of each text (text, language)."""
     total = np.zeros((len(texts), len(net.langs)))
-    x, lengths, owner = _windows(texts)
-    for lo in range(0, len(x), SIDE):
-        part, n = x[lo : lo + SIDE], lengths[lo : lo + SIDE]
-        seen = np.ascontiguousarray(part[:, : n.max()].T, dtype=np.intp)
-        sums = net.probabilities(seen, n).sum(0).T
-        np.add.at(total, owner[lo : lo + SIDE], sums)
+
+    def run(pieces: list[bytes], of: list[int]) -> None:
+        x, lengths, owner = _windows(pieces)
+        owner = np.array(of)[owner]
+        for lo in range(0, len(x), SIDE):
+            part, n = x[lo : lo + SIDE], lengths[lo : lo + SIDE]
+            seen = np.ascontiguousarray(part[:, : n.max()].T, dtype=np.intp)
+            sums = net.probabilities(seen, n).sum(0).T
+            np.add.at(total, owner[lo : lo + SIDE], sums)
+
+    pieces, of, size = [], [], 0
+    for i, t in enumerate(texts):
+        for lo in range(0, len(t), PART):
+            piece = t[lo : lo + PART]
+            if size + len(piece) > PART:
+                run(pieces, of)
+                pieces, of, size = [], [], 0
+            pieces.append(piece)
+            of.append(i)
+            size += len(piece)
+    if pieces:
+        run(pieces, of)
     return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
@@ -211,28 +233,32 @@ def positions(net: Network, text: str) -> list[str]:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Network:
-    """Learns from rows with a language whose crc32 of the id is not 0 modulo 5: per language those with small hashes."""
+    """Learns from rows with a language whose crc32 of the id is not 0 modulo 5: per language the distinct texts with small
+    hashes, however often each occurs."""
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_mod("doc_id", HELD_MODULUS) != 0))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    distinct = F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(distinct).collect()}  # a row per language
     scale = 1 << 31
     limit = F.lit(0)
     for name, n in counts.items():
-        limit = F.when(F.col("lang") == name, F.lit(min(scale, int(1.2 * sample / n * scale)))).otherwise(limit)
+        limit = F.when(F.col("lang") == name, F.lit(min(scale, int(1.3 * sample / max(n, 1) * scale)))).otherwise(limit)
     picked = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(scale))).where(F.col("h") < limit)
-    got = picked.groupBy("h", "lang").agg(F.min("text").alias("text")).collect()  # equal texts once
+    one = picked.groupBy("lang", "h").agg(F.min("text").alias("text"))  # equal texts once
+    room = F.greatest(F.length("text") - TRAIN_WINDOW, F.lit(0)) + 1
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(CUTS)), lambda i: F.substring("text", (F.pmod(F.xxhash64("h", i), room) + 1).cast("int"), F.lit(TRAIN_WINDOW)))
     by: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], r["h"])):
-        by.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "replace"))
-    return fit([(name, t) for name, texts in by.items() for t in texts[:sample]])
+    for r in sorted(one.select("lang", "h", cuts.alias("cuts")).collect()):
+        by.setdefault(r["lang"], []).append([c.encode("utf-8", "replace") for c in r["cuts"]])
+    return fit([(name, c) for name, texts in by.items() for cut in texts[:sample] for c in cut])
 
 
 def identify(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns in keep) with held_out, lang_pred and score."""
     ship(docs.sparkSession)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "lang_pred", "score", "_body")]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "lang_pred", "score")]
     body = F.when(F.col(f"`{text}`").rlike(r"\p{L}"), F.col(f"`{text}`").cast("string"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], (crc_mod(f"`{doc_id}`", HELD_MODULUS) == 0).alias("held_out"), body.alias("_body"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], (crc_mod(f"`{doc_id}`", HELD_MODULUS) == 0).alias("held_out"), body.alias(fresh(docs.columns, "body")))
     schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("lang_pred string, score double")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
