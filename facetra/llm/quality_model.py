@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetra.llm.common import crc_mod, let
+from facetra.llm.common import crc_mod, fresh, let
 
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE = 6000
@@ -167,18 +167,23 @@ def fit(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = STATISTICS, seed:
     return Model(names, tuple(rules[some[i]] for i in kept), tuple(float(w[i]) for i in kept), b)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, sample: int, doc_id: str = "doc_id") -> DataFrame:
-    """Up to ``sample`` labelled rows of each class outside the held-out fold, those with the smallest hashes of id and text."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, sample: int, doc_id: str = "doc_id") -> tuple[DataFrame, dict[int, int]]:
+    """Up to ``sample`` labelled rows of each class outside the held-out fold, those whose ids have the smallest hashes, and
+    the numbers of labels of each class. A bound on the hash leaves little more than the sample before it is ordered."""
     known = labels.select(F.col(doc_id), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & (crc_mod(doc_id, modulus) != held))
-    known = known.groupBy(doc_id).agg(F.max("_y").alias("_y"))
-    picked = [known.where(F.col("_y") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(sample) for y in (0, 1)]
-    return docs.join(F.broadcast(picked[0].union(picked[1])), doc_id)  # at most 2 * sample ids
+    known = known.groupBy(doc_id).agg(F.max("_y").alias("_y")).withColumn("_h", F.pmod(F.xxhash64(doc_id), F.lit(1 << 31)))
+    counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}  # two rows
+    picked = known.limit(0)
+    for y, n in counts.items():
+        limit = (1 << 31) if n <= sample else int((1.2 * sample + 100) / n * (1 << 31))
+        picked = picked.union(known.where((F.col("_y") == y) & (F.col("_h") < limit)).orderBy("_h", doc_id).limit(sample))
+    return docs.join(F.broadcast(picked.drop("_h")), doc_id), counts  # at most 2 * sample ids
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     """Learns from rows whose crc32 of the id is not 0 modulo 5."""
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = training_rows(narrow, labels.withColumnRenamed(doc_id, "doc_id"), label, 5, 0, sample)
+    rows, _ = training_rows(narrow, labels.withColumnRenamed(doc_id, "doc_id"), label, 5, 0, sample)
     each = rows.groupBy("doc_id").agg(F.min(F.struct("_y", statistics(F.col("text")).alias("s"))).alias("r"))  # one row an id
     got = sorted(each.select("doc_id", "r._y", "r.s.*").collect())
     x = np.array([[r[n] for n in STATISTICS] for r in got], float).reshape(len(got), len(STATISTICS))
@@ -187,11 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with held_out, score and predicted; input columns with these names are replaced."""
-    new = {"held_out", "score", "predicted", "_s"}
-    columns = [c for c in docs.columns if c not in new]
-    with_s = docs.select(*[F.col(f"`{c}`") for c in columns], statistics(F.col(f"`{text}`")).alias("_s"))
+    columns, s = [c for c in docs.columns if c not in {"held_out", "score", "predicted"}], fresh(docs.columns, "s")
+    with_s = docs.select(*[F.col(f"`{c}`") for c in columns], statistics(F.col(f"`{text}`")).alias(s))
     expression = model.expression()
     for n in STATISTICS:
-        expression = expression.replace(f"`{n}`", f"_s.`{n}`")
+        expression = expression.replace(f"`{n}`", f"{s}.`{n}`")
     out = with_s.select(*[F.col(f"`{c}`") for c in columns], (crc_mod(f"`{doc_id}`", 5) == 0).alias("held_out"), F.expr(expression).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -7,7 +7,11 @@ beginnings that labelled rows show to be toxic.
 
 Three jobs: counts of trigrams (at most 32,768 sums), document frequencies of words in a bounded sample of labelled rows
 (pre-aggregated in tasks), and one scoring pass over whole texts. Evidence is tested where the frequencies are counted, so
-that only features that pass reach the driver, however many others are more frequent.
+that only features that pass reach the driver, however many others are more frequent. A text with evidence starts from the
+share of toxic labels, one without any gets the share of toxic ones among such texts, both learned.
+
+Time and memory grow in proportion to a passage's length: where a lattice has one state left, its reading so far is
+settled, and a stretch that stays ambiguous for ``STRETCH`` signs is settled there.
 
 Defined results: null, empty and wordless texts get the model's base score; labels other than 0 and 1 and null labels
 are not learned from, and without both classes nothing is toxic; of rows that share an id one is learned from; repeated
@@ -17,6 +21,8 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,8 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from facetra.llm.common import crc_mod, ship, stored
+from facetra.llm.common import crc_mod, fresh, ship
 from facetra.llm.quality_model import training_rows
+from facetra.storage import clean, mark, stored
 
 #: Labelled rows of each class that words are learned from, at most.
 SAMPLE = 6000
@@ -40,10 +47,13 @@ THRESHOLD = 0.7
 RATIO = 20
 #: A beginning counts if so many words with it do.
 WORDS = 3
-#: Score of a text without any feature.
+#: Score of a text without any feature where labels are of one class or missing.
 BASE = 0.04
 MODULUS, HELD = 3, 1
-REMEMBERED = 200_000
+#: Passages that a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 200_000, 256
+#: Ambiguous signs in a row that one lattice holds.
+STRETCH = 4096
 
 #: Signs and the letters that they stand for.
 LEET = {
@@ -61,6 +71,8 @@ _SPACED = re.compile(
 _DRAWN = re.compile(r"\b\w*([^\W\d_])\1\1\w*")
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1*", re.S)
+_PLAIN = re.compile(r"[a-z]{3,4096}")
+_THRICE = re.compile(r"([a-z])\1\1")
 
 #: Symbols: 0 a gap, 1-26 a-z, 27-30 other letters (by bytes), 31 anything else.
 _SYMBOL = np.array(
@@ -103,56 +115,99 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 5 * p2) / (counts.sum(2, keepdims=True) + 5)).astype(np.float32)
 
 
+@functools.lru_cache(1 << 16)
 def _code(c: str) -> int:
     return int(_SYMBOL[c.encode("utf-8", "replace")[0]])
 
 
-def readings(passage: str) -> list[list[tuple[str, float]]]:
-    """The lattice: for each run of one character its readings and their costs."""
-    out = []
-    for m in _RUN.finditer(passage):
-        c, n = m[1], len(m[0])
-        if c.isalpha():
-            out.append([(m[0], 0.0)] if n < 3 else [(c, COST["repeat"]), (c * 2, COST["repeat"])])
-        elif c in LEET:
-            ways = [(x * k, COST["leet"] * min(n, 2)) for x in LEET[c] for k in {1, min(n, 2)}]
-            out.append([*ways, ("", COST["drop_sign"]), (" ", COST["break_sign"])])
+def _ways(run: str) -> list[tuple[str, float]]:
+    """Readings of a run of one character and their costs."""
+    c, n = run[0], len(run)
+    if c.isalpha():
+        return [(run, 0.0)] if n < 3 else [(c, COST["repeat"]), (c * 2, COST["repeat"])]
+    if c in LEET:
+        ways = [(x * k, COST["leet"] * min(n, 2)) for x in LEET[c] for k in {1, min(n, 2)}]
+        return [*ways, ("", COST["drop_sign"]), (" ", COST["break_sign"])]
+    return [("", COST["drop_gap"]), (" ", COST["keep_gap"])]
+
+
+def readings(passage: str) -> Iterator[list[tuple[str, float]]]:
+    """The lattice: for each run of one character its readings and their costs. After two runs of plain letters, which
+    leave one state, the rest of a word comes as one."""
+    at = 0
+    while at < len(passage):
+        plain = _PLAIN.match(passage, at)
+        end = at
+        if plain:
+            drawn = _THRICE.search(passage, at, plain.end())
+            end = drawn.start() if drawn else plain.end()
+            while at < end < len(passage) and passage[end] == passage[end - 1]:  # not within a run
+                end -= 1
+        for _ in range(2 if end > at else 1):
+            if at < len(passage):
+                m = _RUN.match(passage, at)
+                yield _ways(m[0])
+                at = m.end()
+        if at < end:
+            yield [(passage[at:end], 0.0)]
+            at = end
+
+
+def restore(passage: str, model) -> str:
+    """The likeliest reading of a passage (Viterbi over the last two symbols). Paths are chains of back pointers, which
+    end where a single state is left."""
+    out: list[str] = []
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    depth = 0
+    for ways in itertools.chain(readings(passage), [[(" ", 0.0)]]):
+        if len(best) == 1 and len(ways) == 1:  # nothing to choose
+            (x, y), (_, path) = next(iter(best.items()))
+            for c in ways[0][0][-2:]:
+                x, y = y, _code(c)
+            best = {(x, y): (0.0, (path, ways[0][0]))}
         else:
-            out.append([("", COST["drop_gap"]), (" ", COST["keep_gap"])])
-    return out
-
-
-def restore(passage: str, model: np.ndarray) -> str:
-    """The likeliest reading of a passage (Viterbi over the last two symbols)."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for ways in [*readings(passage), [(" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, said) in best.items():
-            for text, extra in ways:
-                x, y, total = a, b, cost + extra
-                for c in text:
-                    z = _code(c)
-                    if not (z == 0 and y == 0):
-                        total -= float(model[x, y, z])
-                    x, y = y, z
-                if (x, y) not in new or total < new[x, y][0]:
-                    new[x, y] = (total, said + text)
-        best = new
-    return min(best.values())[1].strip()
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in best.items():
+                for text, extra in ways:
+                    x, y, total = a, b, cost + extra
+                    for c in text:
+                        z = _code(c)
+                        if not (z == 0 and y == 0):
+                            total -= model[x][y][z]
+                        x, y = y, z
+                    if (x, y) not in new or total < new[x, y][0]:
+                        new[x, y] = (total, (path, text))
+            best = new
+        depth += 1
+        if len(best) == 1 or depth == STRETCH:
+            state = min(best, key=lambda s: (best[s][0], s))
+            out.append(_said(best[state][1]))
+            best, depth = {state: (0.0, None)}, 0
+    return ("".join(out) + _said(min(best.values(), key=lambda v: v[0])[1])).strip()
+
+
+def _said(path: tuple | None) -> str:
+    parts = []
+    while path is not None:
+        path, text = path
+        parts.append(text)
+    return "".join(reversed(parts))
 
 
 class Restorer:
     """Restores whole texts; remembers passages."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.known = model, {}
+        self.model, self.known = model.tolist(), {}
 
     def _passage(self, m: re.Match) -> str:
         said = self.known.get(m[0])
         if said is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            said = self.known[m[0]] = restore(m[0], self.model)
+            said = restore(m[0], self.model)
+            if len(m[0]) <= LONGEST:
+                self.known[m[0]] = said
         return said
 
     def _token(self, m: re.Match) -> str:
@@ -176,47 +231,75 @@ def features(text: str) -> set[str]:
 class Model:
     lm: np.ndarray
     weights: dict[str, float]  # feature -> log odds that it adds
-    base: float = BASE
+    prior: float = BASE  # of a text with a feature, before its evidence
+    base: float = BASE  # score of a text without one
 
     def __post_init__(self):
         self.starts = {f[:4] for f in self.weights}
         self.restorer = Restorer(self.lm)
 
-    def score(self, text: str | None) -> float:
-        """Log odds of the base rate and of each distinct word, taken from its most specific feature."""
-        restored = self.restorer(text or "")
-        total = float(np.log(self.base / (1 - self.base)))
+    def evidence(self, restored: str) -> list[float]:
+        """What each distinct word of a restored text adds, from its most specific feature."""
+        found = []
         for w in sorted({w for w in _WORD.findall(restored) if w[:4] in self.starts}):
-            total += next((self.weights[f] for f in (w, w[:5] + "*", w[:4] + "*") if f in self.weights and (f == w or len(w) >= len(f))), 0.0)
-        return float(1 / (1 + np.exp(-total)))
+            found += [self.weights[f] for f in (w, w[:5] + "*", w[:4] + "*") if f in self.weights and (f == w or len(w) >= len(f))][:1]
+        return found
+
+    def score(self, text: str | None) -> float:
+        found = self.evidence(self.restorer(text or ""))
+        return float(1 / (1 + np.exp(-np.log(self.prior / (1 - self.prior)) - sum(found)))) if found else self.base
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     """Counts trigrams over all docs; learns features from labelled rows whose crc32 of the id is not 1 modulo 3."""
     lm = log_model(trigram_counts(docs, text))
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = training_rows(narrow, labels.withColumnRenamed(doc_id, "doc_id"), label, MODULUS, HELD, sample).where(F.col("text").isNotNull())
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("_y", "text")).alias("r")).select("r._y", "r.text")
+    rows, labelled = training_rows(narrow, labels.withColumnRenamed(doc_id, "doc_id"), label, MODULUS, HELD, sample)
+    rows = rows.where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("_y", "text")).alias("r")).select("r._y", "r.text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from facetra.llm import toxicity as own
 
         restorer = own.Restorer(lm)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([restorer(t.as_py()) for t in batch.column(1)], pa.string())], ["y", "text"])
+
+    at = mark()
+    read = stored(rows.mapInArrow(restored, "y int, text string"), "restored")  # at most 2 * sample rows
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from facetra.llm import toxicity as own
+
         for batch in batches:
             n: tuple[Counter, Counter] = (Counter(), Counter())
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n[y].update(own.features(restorer(t.as_py())))
+                n[y].update(own.features(t.as_py()))
                 n[y][""] += 1  # documents
             names = sorted(n[0] | n[1])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[f] for f in names], pa.int64()) for c in n]], ["f", "n0", "n1"])
 
-    counted = rows.mapInArrow(run, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = read.mapInArrow(counts, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counted = stored(counted.where((F.col("n1") > 2) | (F.col("f") == "")), "features")
     total = counted.where("f = ''").first()  # one row
     if not (total and total["n0"] and total["n1"]):
+        clean(at)
         return Model(lm, {})
     got = counted.where((F.col("f") != "") & evident(total["n0"], total["n1"])).collect()
-    return Model(lm, weigh({"": (total["n0"], total["n1"])} | {r["f"]: (r["n0"], r["n1"]) for r in got}))
+    weights = weigh({"": (total["n0"], total["n1"])} | {r["f"]: (r["n0"], r["n1"]) for r in got})
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from facetra.llm import toxicity as own
+
+        known = own.Model(lm, weights)
+        for batch in batches:
+            free = [not known.evidence(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(free, pa.bool_())], ["y", "free"])
+
+    free = {r["y"]: r["n"] for r in read.mapInArrow(without, "y int, free boolean").groupBy("y").agg(F.count_if("free").alias("n")).collect()}
+    clean(at)
+    share = {y: labelled[y] * (free.get(y, 0) + 0.5) / (total[f"n{y}"] + 1) for y in (0, 1)}
+    kept_in = lambda p: float(min(0.5, max(1e-4, p)))
+    return Model(lm, weights, kept_in(labelled[1] / (labelled[0] + labelled[1])), kept_in(share[1] / (share[0] + share[1])))
 
 
 def evident(all0: int, all1: int) -> Column:
@@ -247,16 +330,16 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns in keep) with held_out, score and predicted."""
     ship(docs.sparkSession)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "score", "predicted", "_body")]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "score", "predicted")]
     held = (crc_mod(f"`{doc_id}`", MODULUS) == HELD).alias("held_out")
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], held, F.col(f"`{text}`").cast("string").alias("_body"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], held, F.col(f"`{text}`").cast("string").alias(fresh(docs.columns, "body")))
     schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("score double")])
-    lm, weights = model.lm, model.weights
+    lm, weights, prior, base = model.lm, model.weights, model.prior, model.base
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from facetra.llm import toxicity as own
 
-        known = own.Model(lm, weights)
+        known = own.Model(lm, weights, prior, base)
         for batch in batches:
             scores = [known.score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], schema.names)
