@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from facetra.llm.common import shared_dir, ship, stored
+from facetra.llm.common import ship
+from facetra.storage import new_folder, stored
 
 MIN_BYTES = 1000
 CHUNK = 1 << 16
 #: An archive is closed after so many compressed bytes, as is usual for crawls.
 ROLL_BYTES = 1 << 30
+#: Tasks that records of one payload are dealt to.
+SALTS = 32
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BREAK = b"\r\n"
@@ -115,13 +118,14 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload:
     """Writes the archives; gives the manifest (path, n_records, n_bytes), already stored."""
     spark = pages.sparkSession
     ship(spark)
-    folder = f"{shared_dir(spark)}/facetra-warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
     body = F.encode(F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumns({"digest": F.sha1("body"), "n": F.octet_length("body")})
     same = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies"))
     same = same.where((F.col("copies") > 1) & F.col("keeper").isNotNull()).drop("copies")
-    found = rows.join(same, ["digest", "n"], "left")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # a popular payload's records go to so many tasks
+    found = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(same.select("*", salt), ["digest", "n", "salt"], "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     ready = found.select("page_id", "url", "body", "keeper", revisit.alias("revisit"))
 
