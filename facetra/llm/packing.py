@@ -25,11 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from facetra.llm.common import numbered, ship, stored
+from facetra.llm.common import LANES, numbered, ship
+from facetra.storage import stored
 
 CAPACITY = 4096
 END = 2
@@ -115,12 +117,13 @@ def cut(n: int, capacity: int = CAPACITY) -> list[int]:
     full, rest = divmod(n, capacity)
     out = [capacity] * full
     while rest * FINEST >= capacity:
-        out.append(capacity // -(-capacity // rest))
+        out.append(capacity // (capacity // (rest + 1) + 1))  # the largest class length up to rest
         rest -= out[-1]
     return out + [rest] * (rest > 0)
 
 
-PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
+#: lane: where a piece is numbered; dealt out in turn, so that equal documents spread too.
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, lane int"
 
 
 def pieces(
@@ -134,7 +137,7 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from facetra.llm import packing as own
 
-        known = own.words(tokenizer)
+        known, turn = own.words(tokenizer), 97 * TaskContext.get().partitionId()
         tail = np.array([own.END], "<u4").tobytes()
         for batch in batches:
             places, rows, ids = [], [], []
@@ -144,12 +147,14 @@ def pieces(
                 for length in own.cut(len(raw) // 4, capacity):
                     part = raw[4 * start : 4 * (start + length)]
                     places.append(i)
-                    rows.append((start, length, zlib.crc32(part), len(raw) // 4))
+                    rows.append((start, length, zlib.crc32(part), len(raw) // 4, turn % LANES))
+                    turn += 1
                     if with_ids:
                         ids.append(np.frombuffer(part, "<i4"))
                     start += length
-            columns = zip(*rows, strict=True) if rows else [()] * 4
-            arrays = [batch.column(0).take(pa.array(places, pa.int64())), *[pa.array(c, pa.int64()) for c in columns]]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.int32()]
+            arrays = [batch.column(0).take(pa.array(places, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]]
             if with_ids:
                 arrays.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
@@ -178,7 +183,7 @@ def _first_fit(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(found: DataFrame, doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """Pieces with sequence_id and offset. ``found`` is read more than once: give a stored table."""
     order = [F.col(doc_id), "start", "ids_crc32"]
-    p = numbered(found, ["length"], order, "idx", F.xxhash64(doc_id, "start", "ids_crc32"))
+    p = numbered(found, ["length"], order, "idx", F.col("lane"))
     per = F.floor(F.lit(capacity) / F.col("length"))
     sizes = found.groupBy("length").agg(F.count(F.lit(1)).alias("_n")).withColumn("_per", per).withColumn("_full", F.floor(F.col("_n") / F.col("_per")))
     before = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)  # over at most 127 classes
