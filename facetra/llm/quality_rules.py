@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetra.llm.common import let
+from facetra.llm.common import fresh, let
 
 SPACE = r"[ \x09-\x0D]+"
 #: A repeated window is so many words long.
@@ -26,7 +26,8 @@ WINDOW = 5
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_repeat_words")
 
-#: Rule name -> condition of failure over the measurements (SQL). The order fixes the bits; append only.
+#: Rule name -> condition of failure over the measurements (SQL). The order fixes the bits; append only. Up to two repeated
+#: lines are a refrain, a signature or a heading, which clean short texts have too; what repeats more must not exceed 30 %.
 RULES = {
     "few_words": "n_words < 10",
     "repeated_windows": "100 * n_repeat_words > 20 * n_words",
@@ -101,9 +102,9 @@ def measurements(text: Column) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with all measurements and ``failure_bits`` (a bit per rule of RULES)."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES and c not in ("failure_bits", "_measured")]
-    measured = docs.select(*others, measurements(F.col(text)).alias("_measured"))
-    flat = measured.select(*[c for c in measured.columns if c != "_measured"], "_measured.*")
+    others, m = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES and c != "failure_bits"], fresh(docs.columns, "measured")
+    measured = docs.select(*others, measurements(F.col(f"`{text}`")).alias(m))
+    flat = measured.select(*[F.col(f"`{c}`") for c in measured.columns if c != m], f"{m}.*")
     bits = [F.when(F.expr(rule), F.lit(BITS[name])).otherwise(F.lit(0)) for name, rule in RULES.items()]
     total = bits[0]
     for b in bits[1:]:

@@ -23,6 +23,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of op1 removes, from bit patterns."""
+    return qr.ablations(qr.ledger(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -78,4 +83,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {n: f for n, f in globals().items() if n.startswith("op") and n[2:3].isdigit()} | {"pipeline": pipeline}
+    found = {n: f for n, f in globals().items() if n.startswith("op") and n[2:3].isdigit()}
+    return found | {"quality_ablations": quality_ablations, "pipeline": pipeline}

@@ -35,6 +35,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM f
 """
 
+ABLATIONS = f"""
+WITH bits AS (SELECT failure_bits AS b FROM ({OP1})),
+rules AS (SELECT unnest(['few_words', 'repeated_windows', 'symbols', 'duplicate_lines', 'word_length', 'shouting']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS bit)
+SELECT rule, count_if(b & bit <> 0)::BIGINT AS n_failed, count_if(b = bit)::BIGINT AS n_only_this, count_if(b & ~bit = 0)::BIGINT AS n_kept_without
+FROM rules, bits GROUP BY rule
+"""
+
 OP3 = r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '<null>') || chr(1) || turn || chr(1) || coalesce(text, '<null>') || chr(2) AS k,
@@ -86,4 +93,4 @@ FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest AND payload_bytes >= 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op3_chat_formatting": OP3, "op7_decontamination": OP7, "op10_warc": OP10}
+    return {"op1_quality_rules": OP1, "quality_ablations": ABLATIONS, "op3_chat_formatting": OP3, "op7_decontamination": OP7, "op10_warc": OP10}
