@@ -32,18 +32,23 @@ def test_cuts_cover_a_document(n):
 
 
 def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
     rows, df = docs(spark)
     found = packing.pieces(df, with_ids=True).collect()
     got = packing.pack_documents(df).collect()
     w = packing.words()
     want = Counter()
+    whole = Tokenizer.from_file(packing.vocabulary())
     for i, t in rows:
-        raw = np.frombuffer(w.encode(t or ""), "<u4").tolist() + [packing.END]
-        start = 0
-        for length in packing.cut(len(raw)):
+        raw = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+        assert raw[:-1] == np.frombuffer(w.encode(t or ""), "<u4").tolist()
+        start, left = 0, len(raw)
+        while left:  # whole sequences, then the largest 4096 // k that fits, then what is under a 64th
+            length = 4096 if left >= 4096 else left if left < 64 else next(4096 // k for k in range(1, 65) if 4096 // k <= left)
             part = raw[start : start + length]
             want[(i, start, length, zlib.crc32(np.array(part, "<u4").tobytes()), len(raw))] += 1
-            start += length
+            start, left = start + length, left - length
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
     assert Counter((r.doc_id, r.start, tuple(r.ids)) for r in found) and all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in found)
     bins = defaultdict(list)
@@ -98,6 +103,49 @@ def test_plan_covers_every_rank_once():
     assert {s: len(x) for s, x in seen.items()} == counts and max(load.values()) - min(load.values()) <= 1
 
 
+def test_equal_rows_are_numbered_in_many_lanes(spark):
+    found = packing.pieces(spark.createDataFrame([(1, "same text here")] * 600, "doc_id long, text string").coalesce(1))
+    lanes = Counter(r.lane for r in found.collect())
+    assert len(lanes) == 256 and max(lanes.values()) <= 3
+
+
+def walked(counts, nodes, shards):
+    """The ring key by key: each key starts at its slot; a key that finds its shard full goes on clockwise."""
+    total = sum(counts.values())
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    places = sorted(nodes)
+    load, moved = Counter(), 0
+    keys = [(next((p for p in places if p >= slot), places[0])) for slot in sorted(counts) for _ in range(counts[slot])]
+    late = []
+    for p in keys:  # at home, where there is room
+        if load[nodes[p]] < room[nodes[p]]:
+            load[nodes[p]] += 1
+        else:
+            late.append(p)
+    for p in late:
+        at = places.index(p)
+        while load[nodes[places[at % len(places)]]] == room[nodes[places[at % len(places)]]]:
+            at += 1
+        load[nodes[places[at % len(places)]]] += 1
+        moved += 1
+    return load, moved
+
+
+def test_plan_agrees_with_a_plain_walk_of_the_ring():
+    r = np.random.default_rng(3)
+    for shards in (3, 10, 40):
+        nodes = sharding.ring(shards, 8)
+        places = sorted(nodes)
+        counts = {int(s): int(n) for s, n in zip(r.choice(8192, 300, replace=False), r.integers(1, 40, 300), strict=True)} | {17: 5000}
+        load, moved = walked(counts, nodes, shards)
+        got, home = Counter(), 0
+        for slot, first, end, s in sharding.plan(counts, nodes, shards):
+            got[s] += end - first
+            home += (end - first) * (s == nodes[next((p for p in places if p >= slot), places[0])])
+        assert +got == +load
+        assert sum(counts.values()) - home == moved  # no more keys leave their shard than must
+
+
 def pages(spark):
     big, other = "<p>" + "x" * 1200 + "</p>", "é" * 700
     rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (9, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", other), (None, "u", big), (7, "u", other), (8, "u", "z" * 300_000)]
@@ -133,6 +181,43 @@ def test_reader_takes_any_chunk_and_refuses_damage():
         warc.parse(content[:-6])
 
 
+def test_one_popular_page_is_dealt_to_many_tasks(spark):
+    body = "<p>" + "y" * 2000
+    df = spark.createDataFrame([(i, f"http://h/{i}", body) for i in range(400)], "page_id long, url string, html string")
+    manifest = warc.write(df)
+    got = warc.read(manifest).collect()
+    assert sum(r.record_type == "response" for r in got) == 1 and {r.refers_to for r in got} == {399, None} and len(got) == 400
+
+
+def maximal_logs(rows):
+    """By comparing all conversations: conv_id -> (turns, equal logs, text)."""
+    logs = defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            logs[c].append((t is not None, t or 0, r is not None, r or "", x is not None, x or ""))
+    logs = {c: tuple(sorted(x)) for c, x in logs.items()}
+    out = {}
+    for c, log in logs.items():
+        equal = [k for k, other in logs.items() if other == log]
+        if c == min(equal) and not any(len(o) > len(log) and o[: len(log)] == log for o in logs.values()):
+            text = "".join(f"<|im_start|>{r if has else 'user'}\n{x}<|im_end|>\n" for _, _, has, r, _, x in log)
+            out[c] = (len(log), len(equal), text)
+    return out
+
+
+def test_tied_turns_collapse_as_they_are_rendered(spark):
+    r = np.random.default_rng(2)
+    rows = []
+    for c in range(60):
+        base = [(int(t), ["user", "assistant", None][r.integers(3)], [None, "", "a", "b", f"x{r.integers(4)}"][r.integers(5)]) for t in sorted(r.integers(0, 4, r.integers(1, 6)))]
+        rows += [(2 * c, *t) for t in base]
+        last = base[-1][0]
+        rows += [(2 * c + 1, *t) for t in [*base, (last, "user", f"y{r.integers(9)}")]]  # the longer copy ties with its last turn
+    rows += [(500, None, "user", "n"), (501, None, "user", "n"), (501, None, "user", "n"), (None, 0, "user", "lost")]
+    got = chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()
+    assert {x.conv_id: (x.n_turns, x.n_logged, x.rendered) for x in got} == maximal_logs(rows)
+
+
 def test_only_maximal_conversations_stay(spark):
     logs = {
         1: [("user", "a"), ("assistant", "b")],

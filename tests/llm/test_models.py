@@ -1,4 +1,6 @@
 import itertools
+import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -61,6 +63,42 @@ def test_odd_texts_and_pooling(spark, net):
     assert li.identify(spark.createDataFrame([], "doc_id long, text string"), net).count() == 0
 
 
+def test_network_equals_a_plain_forward_pass(net, monkeypatch):
+    """One byte after the other, in plain loops, both ways, windows apart."""
+    s = lambda a: a / (1 + np.abs(a))
+    text = (spoken("fr", 1, 60) + " é").encode()
+
+    def states(d, part):
+        h = np.zeros(li.HIDDEN)
+        table, inner, out = net.p[f"table_{d}"].astype(float), net.p[f"inner_{d}"].astype(float), []
+        for b in part if d == "f" else reversed(part):
+            z, r = (1 + s(table[0, b] + h @ inner[0])) / 2, (1 + s(table[1, b] + h @ inner[1])) / 2
+            n = s(table[2, b] + r * (h @ inner[2]))
+            h = z * h + (1 - z) * n
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    total = np.zeros(len(net.langs))
+    for lo in range(0, len(text), li.WINDOW):
+        part = text[lo : lo + li.WINDOW]
+        for f, b in zip(states("f", part), states("b", part), strict=True):
+            a = np.exp(f @ net.p["out_f"] + b @ net.p["out_b"] + net.p["bias"])
+            total += a / a.sum()
+    assert len(text) > 2 * li.WINDOW and np.allclose(li.pooled(net, [text])[0], total / len(text), atol=1e-4)
+    monkeypatch.setattr(li, "PART", li.WINDOW)
+    assert np.allclose(li.pooled(net, [text, b"", text[:9]])[0], total / len(text), atol=1e-4)
+
+
+def test_copies_of_one_text_do_not_hide_a_language(spark):
+    rows = [(i, spoken("de", 7, 40), "de") for i in range(6000)] + [(10_000 + i, spoken("de", 100 + i, 40), "de") for i in range(40)]
+    rows += [(20_000 + i, spoken("en", i, 40), "en") for i in range(600)]
+    learned = li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert learned.langs == ("de", "en")
+    fresh = [(i, spoken(lang, 5000 + i, 40), lang) for i, lang in enumerate(["de", "en"] * 20)]
+    got = li.identify(spark.createDataFrame(fresh, "doc_id long, text string, lang string"), learned).collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.9
+
+
 def test_training_without_languages(spark):
     df = spark.createDataFrame([(1, "some text", None, "s", 1)], DOCS)
     assert [r.lang_pred for r in li.identify(df, li.train(df)).collect()] == [li.UND]
@@ -102,7 +140,9 @@ def test_toxicity_learns_words_and_sees_through_disguise(spark):
     assert held and all(p == y for p, y in held)
     more = [(1000, "such a grumb1ex f r o b n i t z"), *[(2000 + i, t) for i, t in enumerate(odd_texts())]]
     out = {r.doc_id: r for r in tx.score(spark.createDataFrame(more, "doc_id long, text string"), model).collect()}
-    assert out[1000].score > 0.7 and all(out[2000 + i].score == pytest.approx(tx.BASE) for i in range(len(odd_texts())))
+    assert out[1000].score > 0.7 and all(out[2000 + i].score == pytest.approx(model.base) for i in range(len(odd_texts())))
+    train = [y for i, _, y in rows if not got[i].held_out]
+    assert model.prior == pytest.approx(np.mean(train)) and model.base < 0.02
     assert tx.score(docs.limit(0), model).count() == 0
 
 
@@ -114,6 +154,62 @@ def test_toxicity_learns_a_rare_word_below_many_frequent_ones(spark):
     assert set(model.weights) == {"zqvx"}
 
 
+def reading_cost(path, model):
+    """Of a whole reading, symbol by symbol; gaps after gaps are free."""
+    total, x, y = 0.0, 0, 0
+    for text, extra in [*path, (" ", 0.0)]:
+        total += extra
+        for c in text:
+            b = c.encode()[0]
+            z = 0 if c.isspace() else (b | 32) - 96 if c.isascii() and c.isalpha() else 27 + b % 4 if b > 127 else 31
+            total -= 0 if z == 0 and y == 0 else float(model[x, y, z])
+            x, y = y, z
+    return total
+
+
+def test_restored_passages_are_the_likeliest_of_all_readings():
+    r = np.random.default_rng(4)
+    model = tx.log_model(r.integers(0, 50, (32, 32, 32)).astype(float))
+    for _ in range(150):
+        passage = "".join(r.choice(list("abco0134$@ .-é"), r.integers(2, 9)))
+        passage = passage.replace("o", "ooo") if r.random() < 0.3 else passage
+        ways = [tx._ways(m[0]) for m in tx._RUN.finditer(passage)]
+        best = min(itertools.product(*ways), key=lambda path: reading_cost(path, model))
+        said = tx.restore(passage, model)
+        assert reading_cost(best, model) == pytest.approx(min(reading_cost(p, model) for p in itertools.product(*ways) if "".join(t for t, _ in p).strip() == said), abs=1e-3), passage
+
+
+def test_a_token_of_megabytes_takes_seconds_and_long_stretches_are_settled():
+    import time
+
+    r = np.random.default_rng(1)
+    model = tx.log_model(r.integers(0, 50, (32, 32, 32)).astype(float))
+    restorer = tx.Restorer(model)
+    began = time.time()
+    blob = "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 1_000_000))
+    assert len(restorer(blob)) > 800_000
+    assert len(restorer("a" + "01" * 20_000)) > 0 and len(restorer("ab" * 100_000 + "ccc0")) > 0
+    assert time.time() - began < 30
+
+
+def test_scores_follow_from_counts_of_words(spark):
+    """A plain scorer: counts in Python, without disguise."""
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = tx.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in tx.score(docs, model).collect()}
+    train = [(t, y) for i, t, y in rows if not got[i].held_out]
+    n1 = sum(y for _, y in train)
+    n0 = len(train) - n1
+    for word in ("grumblex", "frobnitz"):
+        a, b = sum(word in t for t, y in train if y), sum(word in t for t, y in train if not y)
+        assert model.weights[word] == pytest.approx(np.log((a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))))
+    for i, t, _ in rows:
+        odds = [model.weights[w] for w in set(t.split()) if w in model.weights]
+        want = 1 / (1 + (n0 / n1) * np.exp(-sum(odds))) if odds else model.base
+        assert got[i].score == pytest.approx(want)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     model = tx.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -135,6 +231,22 @@ def test_quality_rules_compile_to_the_same_scores(spark):
     assert qm.score(docs.limit(0), model).count() == 0
 
 
+def test_statistics_are_recomputed_in_plain_python(spark):
+    texts = [*odd_texts(), "A b, c.\n\nA b, c.\n x|y ## 12 !! ÀÉ", prose(1, 50).upper() + "\n" + prose(2, 5)]
+    for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", qm.statistics(F.col("text")).alias("s")).collect():
+        t = r.text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        n, chars, m = max(1, len(w)), max(1, sum(map(len, w))), max(1, len(lines))
+        of = lambda kind: sum(unicodedata.category(c) == kind for c in t)
+        want = {
+            "words": len(w), "word_length": chars / n, "upper": of("Lu") / chars, "digits": of("Nd") / chars, "symbols": sum(c in "#*$%&|<>" for c in t) / n,
+            "pipes": t.count("|") / n, "exclaims": t.count("!") / n, "stops": t.count(".") / n, "commas": t.count(",") / n,
+            "dup_lines": (len(lines) - len(set(lines))) / m, "lines": len(lines), "line_words": n / m, "variety": len(set(w)) / n,
+        }
+        assert {k: r.s[k] for k in qm.STATISTICS} == pytest.approx(want)
+
+
 def test_quality_with_one_class_or_none(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     none = qm.train(docs, spark.createDataFrame([], "doc_id long, quality int"))

@@ -71,6 +71,44 @@ def test_near_groups_of_repeated_null_and_no_rows(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def thue_morse(first, n=1024):
+    return "".join("ab"[(bin(i).count("1") + first) % 2] for i in range(n))
+
+
+def test_words_of_like_structure_are_not_linked(spark):
+    """Running sums modulo a power of two take these two words for one."""
+    one, other = thue_morse(0), thue_morse(1)
+    rows = [(1, " ".join([one + str(k % 7) for k in range(40)])), (2, " ".join([other + str(k % 7) for k in range(40)])), (3, " ".join([one] * 9)), (4, " ".join([other] * 9))]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_groups(rows)
+    assert all(r.kept for r in got)
+
+
+def test_a_straggler_meets_a_large_component_in_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    rows = [("k", i, 1 if i < 200 else 300 + i, [0] * 8, 203, 1, 200) for i in range(203)]
+    left = spark.createDataFrame(rows, "key string, rep long, component long, packed array<long>, n long, main long, n_main long")
+    dealt = nd._dealt(left).toPandas()
+    assert len(dealt) <= 200 + 3 * (1 + 25) and dealt[dealt["component"] == 1].groupby("rep").size().max() == 1
+    met = {(a, b) for _, g in dealt.groupby(["key", "lo", "hi"]) for a in g["rep"] for b in g["rep"] if a < b}
+    assert met >= {(a, b) for a in range(203) for b in range(max(a + 1, 200), 203)}
+
+
+def test_links_hold_on_shingles_where_hashes_collide(spark, monkeypatch):
+    known = nd.Words()
+    ids, _ = nd.numbers(b"a b c d e f a b c d e g", known)
+    known.hashes[:] = 7  # every word alike
+    assert nd.hashed_set(ids, known)[1] == 7
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long")
+    texts = [(1, prose(1, 60)), (2, prose(1, 60) + " end"), (3, prose(2, 60)), (4, None), (2, prose(9, 60))]
+    assert [tuple(r) for r in nd.confirmed(pairs, spark.createDataFrame(texts, "rep long, text string")).collect()] == [(1, 2)]
+    monkeypatch.setattr(nd, "SLICE", 2)
+    many = [(0, prose(1, 60))] + [(k, prose(1, 60) + f" end{k}" if k % 2 else prose(k, 60)) for k in range(1, 40)]
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 40)], "a long, b long")
+    got = {r.b for r in nd.confirmed(pairs, spark.createDataFrame(many, "rep long, text string")).collect()}
+    assert got == {k for k in range(1, 40) if k % 2}
+
+
 def test_signature_estimates_and_segments():
     a, b = prose(1, 300), prose(1, 270) + " " + prose(2, 30)
     sets = [nd.shingle_hashes(x.encode()) for x in (a, b)]
@@ -78,11 +116,14 @@ def test_signature_estimates_and_segments():
     packed = nd.packed(nd.minima(sets))
     true = both / (len(sets[0]) + len(sets[1]) - both)
     assert abs(nd._near_rows(packed, 0, __import__("numpy").array([1]))[0] - true) < 0.15
-    whole = nd.word_hashes(a.encode())
+    known = nd.Words()
+    whole, digest = nd.numbers(a.encode(), known)
     old, nd.SEGMENT = nd.SEGMENT, 64
-    assert (nd.word_hashes(a.encode()) == whole).all() and len(whole) == 300
+    again = nd.numbers(a.encode(), known)
+    assert (again[0] == whole).all() and len(whole) == 300
     nd.SEGMENT = old
-    assert (nd.word_hashes(a.upper().encode()) == whole).all()
+    again = nd.numbers(a.upper().replace(" ", "\n ").encode(), known)
+    assert (again[0] == whole).all() and again[1] == digest != nd.numbers(b.encode(), known)[1]
 
 
 def test_estimates_of_short_sets_keep_similar_pairs():
@@ -120,12 +161,27 @@ def test_decontamination_matches_brute_force(spark, block):
         assert sum(x["last"] - x["first"] for x in r.hit_ranges) == hit
 
 
+@pytest.mark.parametrize("items", [[], [(None, "some words here")], [(1, None), (2, ""), (3, " .!? ")]])
+def test_decontamination_without_an_item_that_has_words(spark, items):
+    rows = list(enumerate(bench_docs()))
+    got = dc.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.n_words for r in got} == {i: contamination(t, [])[0] for i, t in rows}
+    assert not any(r.n_hit or r.n_items or r.contaminated or r.hit_items for r in got)
+
+
+def test_blocks_keep_clashing_columns_and_split_a_common_window(spark):
+    items = [(i, prose(77, 12) + f" own{i} words{i}") for i in range(300)]  # windows that all items share
+    docs = spark.createDataFrame([(1, "x " + prose(77, 12) + " y", "r", 5, "u")], "doc_id long, text string, hit_ranges string, _hit_ranges int, new_n_words string")
+    r = dc.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=20_000).collect()[0]
+    assert list(r.hit_items) == sorted(str(i) for i, _ in items) and r.n_hit == 12 and (r["_hit_ranges"], r["new_n_words"]) == (5, "u")
+
+
 def test_decontamination_without_items_or_rows_and_offsets(spark):
     docs = spark.createDataFrame([(1, prose(1, 5), "en", "s", 1)], DOCS)
     none = spark.createDataFrame([], "item_id long, text string")
     assert not dc.decontaminate(docs, none).collect()[0].contaminated
     assert dc.decontaminate(docs.limit(0), spark.createDataFrame(bench_items(), "item_id long, text string")).count() == 0
-    text = "Ünï, a Short — question HERE! ende"
+    text = "Ünï, a Short - question HERE! ende"
     a = dc._automaton("t", {" short question here ": ["2"]})
     n, ranges, items = dc.scan(text, a)
-    assert items == {"2"} and [text[x:y] for x, y in dc.offsets(text, ranges)] == ["Short — question HERE"]
+    assert items == {"2"} and [text[x:y] for x, y in dc.offsets(text, ranges)] == ["Short - question HERE"]
