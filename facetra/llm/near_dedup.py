@@ -7,8 +7,8 @@ keys generate candidates, bit counts of the packed signatures estimate the simil
 two bits), and pairs that could reach the threshold are confirmed on their texts, as exact integers over whole sets of
 shingles, not of hashes.
 
-Pairs are not expanded within a bucket. First, each document meets one pivot, the smallest member of most of its buckets.
-Confirmed links merge into components, and only what is still apart within a bucket is compared: buckets of up to
+Pairs are not expanded within a bucket. First, each document meets one pivot: the member of its buckets that shares most buckets
+with others. Confirmed links merge into components, and only what is still apart within a bucket is compared: buckets of up to
 ``SMALL`` members as pairs; of larger ones the members outside the bucket's largest component with that component and
 with each other, in blocks inside a task. Blocks hold packed signatures and hashed sets, skip what is connected by then
 and emit no more than a spanning forest, whose links are confirmed on texts too. So a large group of copies makes rows in
@@ -286,7 +286,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     asked = dealt.select(F.col("b").alias("rep"), "a", "slice", F.lit(True).alias("partner")).union(
         dealt.select("a", "slice").distinct().select("a", "a", "slice", F.lit(False))
     )
-    rows = texts.join(asked, "rep").select("a", "slice", "partner", "rep", "text")
+    rows = _meet(texts, asked, "rep").select("a", "slice", "partner", "rep", "text")
     rows = rows.repartition("a", "slice").sortWithinPartitions("a", "slice", "partner", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,6 +309,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def _meet(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the documents: sorted on both sides at every size, never broadcast."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def linked(both: int, one: int, other: int) -> bool:
     return WHOLE * both >= PART * (one + other - both)
 
@@ -438,28 +443,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("text"))
 
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where(F.col("n") > 1)
-    members = stored(keyed.join(buckets, "key"), "members")
-    sigs = stored(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "packed"), "packed")
-    used = sigs.select("rep")
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    members = stored(_meet(keyed, buckets, "key"), "members")
+    met = stored(members.groupBy("rep").agg(F.sum("n").alias("met")), "met")  # how many others a document meets
+    used = met.select("rep")
+    sigs = stored(_meet(reps, used, "rep", "left_semi").select("rep", "packed"), "packed")
+    texts = stored(_meet(texts, used, "rep", "left_semi"), "texts")  # whole texts move by id once; later joins have these alone
 
     def near(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
         first, other = sigs.select(F.col("rep").alias("a"), F.col("packed").alias("x")), sigs.select(F.col("rep").alias("b"), F.col("packed").alias("y"))
-        return pairs.join(first, "a").join(other, "b").where(estimate(F.col("x"), F.col("y")) >= MARGIN).select("a", "b")
+        return _meet(_meet(pairs, first, "a"), other, "b").where(estimate(F.col("x"), F.col("y")) >= MARGIN).select("a", "b")
 
-    # first: each document and the pivot of most of its buckets
-    chosen = members.where(F.col("pivot") != F.col("rep")).groupBy("rep").agg(F.mode("pivot", True).alias("pivot"))
-    tested = stored(near(chosen.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))), "tested")
+    # first: each document and the pivot that meets most others
+    pivots = _meet(members, met, "rep").groupBy("key").agg(F.max(F.struct("met", F.col("rep").alias("pivot"))).alias("p"))
+    chosen = _meet(members, pivots, "key").where(F.col("p.pivot") != F.col("rep")).groupBy("rep").agg(F.max("p").alias("p"))
+    tested = stored(near(chosen.select(F.col("p.pivot").alias("a"), F.col("rep").alias("b"))), "tested")
     links = stored(confirmed(tested, texts), "confirmed")
     group = stored(components(links, used), "components")
 
     # then what is still apart within a bucket
-    own = members.join(group, "rep")
+    own = _meet(members, group, "rep")
     sizes = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    left = own.drop("pivot").join(mixed.select("key", F.col("m.component").alias("main"), F.col("m.c").alias("n_main")), "key")
+    left = own.join(mixed.select("key", F.col("m.component").alias("main"), F.col("m.c").alias("n_main")), "key")
     left = stored(left, "apart")
+    clean(at, signed, reps, sigs, texts, met, tested, links, group, left)
     listed = left.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "component"))).alias("m"))
     two = F.flatten(
         F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y, j: (j > i) & (x["component"] != y["component"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))))
@@ -467,12 +476,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     few = stored(near(listed.select(F.inline(two))).join(tested, ["a", "b"], "left_anti"), "few")
     more = stored(confirmed(few, texts), "confirmed")
 
-    dealt = _dealt(left.where(F.col("n") > SMALL).join(sigs, "rep"))
+    dealt = _dealt(_meet(left.where(F.col("n") > SMALL), sigs, "rep"))
     involved = stored(dealt.groupBy("key", "lo", "hi").applyInPandas(_involved, dealt.schema), "involved")
     kind = reps.schema["rep"].dataType.simpleString()
     for key in itertools.count():
-        full = stored(full_sets(texts.join(involved.select("rep").distinct(), "rep", "left_semi"), key), "sets")
-        forest = involved.join(full, "rep").groupBy("key", "lo", "hi").applyInPandas(_block_links, f"a {kind}, b {kind}")
+        full = stored(full_sets(_meet(texts, involved.select("rep").distinct(), "rep", "left_semi"), key), "sets")
+        forest = _meet(involved, full, "rep").groupBy("key", "lo", "hi").applyInPandas(_block_links, f"a {kind}, b {kind}")
         forest = stored(forest.distinct(), "forest")
         inside = stored(confirmed(forest, texts), "confirmed")
         if inside.count() == forest.count():
