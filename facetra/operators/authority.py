@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from facetra.functions.text import same_body
 from facetra.operators.facets import top
 
+#: Rows of topics' largest agencies up to which they are sent to every task: some MB.
+BROADCAST = 100_000
+
 
 def shares(rows: DataFrame, totals: DataFrame, by: str = "key", value: str = "value", n: str = "n") -> DataFrame:
     """Rows with n > 0 and their share of the facet's total (not of the list), ranked."""
@@ -27,24 +30,30 @@ def concentration(rows: DataFrame, totals: DataFrame, by: str = "key", value: st
 
 
 def main_value(rows: DataFrame, totals: DataFrame, by: str = "key", value: str = "value", least: float = 0.2) -> DataFrame:
-    """The most frequent value of each facet, null where it has under ``least`` of the total."""
-    best = rows.groupBy(by).agg(F.max_by(F.struct(value, "n"), F.struct("n", value)).alias("b"))
+    """The most frequent value of each facet, null where it has under ``least`` of the total, and the share of the total
+    that has any value (covered)."""
+    best = rows.groupBy(by).agg(F.max_by(F.struct(value, "n"), F.struct("n", value)).alias("b"), F.sum("n").alias("s"))
     joined = best.join(totals.select(by, "total"), by)
-    return joined.select(by, F.when(F.col("b.n") >= least * F.col("total"), F.col(f"b.{value}")).alias("main"), F.col("b.n").alias("n"), "total")
+    return joined.select(by, F.when(F.col("b.n") >= least * F.col("total"), F.col(f"b.{value}")).alias("main"), F.col("b.n").alias("n"), "total", F.round(F.col("s") / F.col("total"), 6).alias("covered"))
 
 
 def overlaps(mine: DataFrame, theirs: DataFrame, only: DataFrame, per_topic: int = 25, k: int = 6) -> DataFrame:
     """agency, other, n, topics: sum of min(mine, theirs) over shared topics.
 
     mine: (topic, agency, n) of leaf counts; theirs: the same rolled up, of which each topic's ``per_topic`` largest
-    count; only: agencies that get rows. A topic's side of the join has a fixed size, so the join grows with ``mine``.
+    count; only: agencies that get rows. A topic's side of the join has a fixed size, so the join grows with ``mine``; it is
+    broadcast up to ``BROADCAST`` rows. Counts are dealt by agency before they meet it, so pairs are made, summed and ranked
+    where their agency is and never shuffled.
     """
     large = top(theirs, ["topic"], [F.desc("n"), "agency"], per_topic).select("topic", F.col("agency").alias("other"), F.col("n").alias("n_other"))
-    pairs = mine.join(only.select("agency"), "agency", "left_semi").join(large, "topic").where(F.col("agency") != F.col("other"))
-    sums = pairs.groupBy("agency", "other").agg(F.sum(F.least("n", "n_other")).cast("long").alias("n"))
+    if large.limit(BROADCAST + 1).count() <= BROADCAST:
+        large = F.broadcast(large)
+    tasks = int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as the rows are few before they meet
+    dealt = mine.join(only.select("agency"), "agency", "left_semi").repartition(tasks, "agency")
+    pairs = dealt.join(large, "topic").where(F.col("agency") != F.col("other"))
+    sums = pairs.groupBy("agency", "other").agg(F.sum(F.least("n", "n_other")).cast("long").alias("n"), F.collect_list("topic").alias("t"))
     best = top(sums, ["agency"], [F.desc("n"), "other"], k)
-    named = pairs.select("agency", "other", "topic").join(best, ["agency", "other"]).groupBy("agency", "other", "n", "rank")  # topics of these alone
-    return named.agg(F.array_join(F.sort_array(F.collect_set("topic")), ",").alias("topics")).select("agency", "other", "n", "topics", "rank")
+    return best.select("agency", "other", "n", F.array_join(F.sort_array("t"), ",").alias("topics"), "rank")
 
 
 def leaders(counts: DataFrame, least: int = 20, share: float = 0.3) -> DataFrame:

@@ -18,7 +18,11 @@ LIFTS = {"day": ("day",), "month": ("months", "day_from", "day_to"), "year": ("m
 
 @dataclass(frozen=True)
 class Filters:
-    """Equalities by dimension, topics with all below them, a range of dates, months and a search text; None is unset."""
+    """Equalities by dimension, topics with all below them, a range of dates, months and a search text; None is unset.
+
+    Topics are a list, or ``below`` names a column that marks their rows (hierarchy.marked). The text is looked for in the
+    ``fields``, joined by spaces.
+    """
 
     equal: dict[str, str] = field(default_factory=dict)
     topics: tuple[str, ...] | None = None
@@ -27,13 +31,17 @@ class Filters:
     day_to: str | None = None
     months: tuple[str, ...] | None = None
     text: str | None = None
+    below: str | None = None
+    fields: tuple[str, ...] = ("title",)
 
-    def predicates(self, spec: CorpusSpec = GAZETTE, title: str = "title") -> dict[str, Column]:
+    def predicates(self, spec: CorpusSpec = GAZETTE) -> dict[str, Column]:
         """One predicate for each filter that is set; a null never matches and an empty list matches nothing."""
         date = F.col(spec.date)
         out = {k: spec.dim(k).equals(v) for k, v in self.equal.items() if v is not None}
         if self.topics is not None:
             out["topic"] = F.coalesce(spec.topic.value().isin(list(self.topics)), F.lit(False)) if self.topics else F.lit(False)
+        if self.below is not None:
+            out["topic"] = F.coalesce(spec.topic.value().isNotNull() & F.col(self.below), F.lit(False))
         if self.day is not None:
             out["day"] = F.coalesce(date == self.day, F.lit(False))
         if self.day_from is not None:
@@ -43,7 +51,7 @@ class Filters:
         if self.months is not None:
             out["months"] = F.coalesce(F.col(spec.month).isin(list(self.months)), F.lit(False)) if self.months else F.lit(False)
         if self.text:
-            out["text"] = F.coalesce(despaced(F.col(title)).contains(despaced(F.lit(self.text))), F.lit(False))
+            out["text"] = F.coalesce(despaced(F.concat_ws(" ", *[F.col(c).cast("string") for c in self.fields])).contains(despaced(F.lit(self.text))), F.lit(False))
         return out
 
 

@@ -36,10 +36,30 @@ def month_directory(df: DataFrame, month: str = "month") -> DataFrame:
 
 
 def positions(df: DataFrame, month: str = "month", date: str = "date", key: str = "id") -> DataFrame:
-    """df with ``position``: months in order, within a month by date and id. Rows are numbered per month only."""
-    w = Window.partitionBy(month).orderBy(F.coalesce(date, F.lit("")), key)
-    rows = df.withColumn("_o", F.row_number().over(w) - 1)
-    return rows.join(month_directory(df, month).select(month, "start"), month).withColumn("position", F.col("start") + F.col("_o")).drop("_o", "start")
+    """df with ``position``: months in order, within a month by date and id. Rows are numbered per month and date, and a
+    date starts where the dates before it end, so that no task holds a month."""
+    day = F.coalesce(date, F.lit(""))
+    rows = df.withColumns({"_d": day, "_o": F.row_number().over(Window.partitionBy(month, day).orderBy(key)) - 1})
+    sizes = df.groupBy(month, day.alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(month, "_d").rowsBetween(Window.unboundedPreceding, -1)  # over dates
+    starts = sizes.select(month, "_d", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_start"))
+    return rows.join(starts, [month, "_d"]).withColumn("position", F.col("_start") + F.col("_o")).drop("_o", "_d", "_start")
+
+
+def months_of_positions(found: DataFrame, directory: DataFrame, position: str = "position") -> DataFrame:
+    """found with month and offset of each position; directory: a row per month, sent to every task as one array."""
+    listed = F.broadcast(directory.agg(F.sort_array(F.collect_list(F.struct("start", "month", "n"))).alias("_m")))  # one row: the months
+    p = F.col(position)
+    own = F.filter("_m", lambda m: (m["start"] <= p) & (p < m["start"] + m["n"]))[0]
+    return found.join(listed).withColumn("_o", own).select(*found.columns, F.col("_o.month").alias("month"), (p - F.col("_o.start")).alias("offset"))
+
+
+def agreement(encoded_rows: DataFrame, records: DataFrame, dims: list[str], on: str = "position") -> DataFrame:
+    """dim, compared, differing: values decoded from an index against the records at the same position."""
+    both = encoded_rows.select(on, *[F.col(c).alias(f"_{c}") for c in dims]).join(records.select(on, *dims), on, "full_outer")
+    pairs = F.array(*[F.struct(F.lit(c).alias("dim"), F.col(f"_{c}").cast("string").alias("a"), F.col(c).cast("string").alias("b")) for c in dims])
+    each = both.select(F.inline(pairs))
+    return each.groupBy("dim").agg(F.count(F.lit(1)).alias("compared"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing"))
 
 
 def sized(counts: DataFrame, key: str, least: int = 5, n: str = "n") -> DataFrame:

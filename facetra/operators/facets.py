@@ -31,9 +31,25 @@ def facet_counts(df: DataFrame, key: str | None = None, spec: CorpusSpec = GAZET
 
 
 def topic_facets(df: DataFrame, tree_closure: DataFrame, spec: CorpusSpec = GAZETTE) -> DataFrame:
-    """Facets of each topic with its descendants; inside, the topic dimension still holds the leaf."""
+    """Facets of each topic with its descendants; inside, the topic dimension still holds the leaf. Rows are counted per
+    leaf before they meet its ancestors, so the tree multiplies counts and not records."""
     trusted = df.where(F.col(spec.topic.flag)) if spec.topic.flag else df
-    return facet_counts(with_ancestors(trusted, tree_closure, spec.topic.column, "facet_key"), "facet_key", spec)
+    leaf = facet_counts(trusted, spec.topic.column, spec)
+    return with_ancestors(leaf, tree_closure, "key", "_up").groupBy(F.col("_up").alias("key"), "dim", "value").agg(F.sum("n").cast("long").alias("n"))
+
+
+def newest_with_ancestors(df: DataFrame, tree_closure: DataFrame, k: int = RECENT, spec: CorpusSpec = GAZETTE) -> DataFrame:
+    """key, rank and the k newest rows of each topic with its descendants: the newest of each leaf first, then of these."""
+    trusted = df.where(F.col(spec.topic.flag)) if spec.topic.flag else df
+    leaf = newest(trusted, spec.topic.column, k, spec).drop("rank")
+    return newest(with_ancestors(leaf, tree_closure, spec.topic.column, "key"), "key", k, spec)
+
+
+def panels(counts: DataFrame, roots: DataFrame, k: int = 8) -> DataFrame:
+    """dim, value, n, rank: the k largest values of each dimension, of topics the roots only; counts: (dim, value, n)."""
+    r = roots.select(F.lit("topic").alias("dim"), F.col("slug").alias("value"), F.lit(True).alias("_root")).distinct()
+    shown = counts.where("n > 0").join(r, ["dim", "value"], "left").where((F.col("dim") != "topic") | F.col("_root")).drop("_root")
+    return top(shown, ["dim"], [F.desc("n"), "value"], k)
 
 
 def top(df: DataFrame, by: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -100,7 +116,8 @@ def newest_day(df: DataFrame, counted: dict[str, Column], parts: str = "part", s
 
 
 def highlights(df: DataFrame, eligible: Column, first: Column, weight: str, k: int = 12, spec: CorpusSpec = GAZETTE) -> DataFrame:
-    """Eligible rows: those for which ``first`` holds lead, then the heavier, then by id."""
+    """Eligible rows: those for which ``first`` holds lead, then the heavier, then by id. A day without new rules has a
+    story too: the same order over its other trusted rows, with k = 8."""
     return df.where(eligible).orderBy((~first).cast("int"), F.coalesce(F.col(weight), F.lit(0.0)).desc(), spec.id).limit(k)
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetra.operators.facets import top
 
 
+def eligible_label(least: float = 0.7) -> Column:
+    """Whether a label is corroborated or heavy enough to count in pairs."""
+    return F.col("corroborated") | (F.col("weight") >= least)
+
+
 def eligible(labels: DataFrame, least: float = 0.7) -> DataFrame:
     """id and the sorted set of its labels that are corroborated or heavy enough."""
-    ok = F.col("corroborated") | (F.col("weight") >= least)
-    return labels.where(ok).groupBy("id").agg(F.array_sort(F.collect_set("slug")).alias("slugs"))
+    return labels.where(eligible_label(least)).groupBy("id").agg(F.array_sort(F.collect_set("slug")).alias("slugs"))
 
 
 def label_pairs(sets: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -11,15 +11,18 @@ MAX_DEPTH = 12
 
 def closure(tree: DataFrame, slug: str = "slug", parent: str = "parent") -> DataFrame:
     """descendant, ancestor, depth for every node and each of its ancestors, itself (depth 0) included."""
-    up = tree.where(F.col(parent).isNotNull()).select(F.col(slug).alias("_child"), F.col(parent).alias("_up")).distinct()
-    level = tree.select(F.col(slug).alias("descendant"), F.col(slug).alias("ancestor"), F.lit(0).alias("depth")).distinct()
-    out = level
-    for depth in range(1, MAX_DEPTH + 1):
-        level = level.join(up, F.col("ancestor") == F.col("_child")).select("descendant", F.col("_up").alias("ancestor"), F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            return out
-        out = out.union(level)
-    raise ValueError(f"the tree is deeper than {MAX_DEPTH} or has a cycle")
+    found = tree.sparkSession.sql(
+        """
+        WITH RECURSIVE up (descendant, ancestor, depth) AS (
+          SELECT DISTINCT slug, slug, 0 FROM {tree}
+          UNION ALL SELECT up.descendant, t.parent, up.depth + 1 FROM up JOIN (SELECT DISTINCT slug, parent FROM {tree} WHERE parent IS NOT NULL) t ON up.ancestor = t.slug
+          WHERE up.depth <= {most})
+        SELECT * FROM up
+        """,
+        tree=tree.select(F.col(slug).alias("slug"), F.col(parent).alias("parent")), most=MAX_DEPTH,
+    )
+    deep = F.raise_error(F.lit(f"the tree is deeper than {MAX_DEPTH} or has a cycle")).cast("int")
+    return found.withColumn("depth", F.when(F.col("depth") <= MAX_DEPTH, F.col("depth")).otherwise(deep))
 
 
 def with_ancestors(df: DataFrame, tree_closure: DataFrame, column: str = "topic", out: str = "ancestor") -> DataFrame:
@@ -47,6 +50,12 @@ def descendants(tree_closure: DataFrame, nodes: list[str]) -> DataFrame:
     return tree_closure.where(match).select(F.col("descendant").alias("slug")).distinct()
 
 
+def marked(df: DataFrame, tree_closure: DataFrame, nodes: list[str], column: str = "topic", out: str = "below") -> DataFrame:
+    """df with a flag: whether a row's node is one of ``nodes`` or below it."""
+    below = descendants(tree_closure, nodes).select(F.col("slug").alias("_s"), F.lit(True).alias(out))
+    return df.join(below, F.col(column) == F.col("_s"), "left").drop("_s").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
 def tree_counts(tree: DataFrame, counts: DataFrame) -> DataFrame:
     """slug, name, parent, n (0 where none) and the sorted children of every node."""
     children = tree.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("slug")).agg(F.sort_array(F.collect_set("slug")).alias("children"))

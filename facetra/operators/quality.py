@@ -26,6 +26,21 @@ def columns_present(df: DataFrame, needed: list[str], name: str) -> DataFrame:
     return _rows(df.sparkSession.createDataFrame(missing, "k string"), "columns", F.col("k"), F.lit("present"), F.lit("missing"))
 
 
+def contract(meta: DataFrame, version: int = 1, name: str = "name") -> DataFrame:
+    """Outputs (name, contract, credit) of another contract version, or without a credited source."""
+    other = meta.where(~F.col("contract").eqNullSafe(F.lit(version)))
+    silent = meta.where(F.coalesce(F.trim("credit"), F.lit("")) == "")
+    return together(_rows(other, "contract", F.col(name), F.lit(version), F.col("contract")), _rows(silent, "credit", F.col(name), F.lit("a source"), F.col("credit")))
+
+
+def same_months(index: DataFrame, records: DataFrame, month: str = "month") -> DataFrame:
+    """An index covers exactly the months of the records."""
+    a, b = index.select(month).distinct().withColumn("_a", F.lit(True)), records.select(month).distinct().withColumn("_b", F.lit(True))
+    off = a.join(b, month, "full_outer").where(F.col("_a").isNull() | F.col("_b").isNull())
+    said = lambda c: F.when(F.col(c), "there").otherwise("missing")
+    return _rows(off, "months", F.col(month), said("_b"), said("_a"))
+
+
 def within_budget(sizes: DataFrame, budget: DataFrame) -> DataFrame:
     """sizes (name, n) against budget (name, most): too large, or not expected at all."""
     joined = sizes.join(budget, "name", "left").where(F.col("most").isNull() | (F.col("n") > F.col("most")))
@@ -117,6 +132,22 @@ def layers_differ(a: DataFrame, b: DataFrame, on: str, column: str) -> DataFrame
     return both.groupBy(F.datediff(F.try_to_date("x"), F.try_to_date("y")).alias("days")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def rule_support(both: DataFrame, volume: str, dates: list[str], offset: int, by: list[str] | None = None, slack: int = 1) -> DataFrame:
+    """layer, n, holds: for how many rows each layer's date agrees with year = volume + offset, among those that differ."""
+    rows = both.where(F.col(dates[0]) != F.col(dates[1]))
+    fits = lambda c: F.abs(F.substring(c, 1, 4).cast("int") - F.col(volume) - offset) <= slack
+    each = rows.select(*(by or []), F.inline(F.array(*[F.struct(F.lit(c).alias("layer"), fits(c).alias("ok")) for c in dates])))
+    return each.groupBy(*(by or []), "layer").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("holds"))
+
+
+def decided_class(records: DataFrame, by: tuple[str, ...] = ("volume", "number"), date: str = "date", cls: str = "cls") -> DataFrame:
+    """records with ``decided``: the class as stated, else the one class that has this date in the same volume and number;
+    null where none or several have."""
+    known = records.where(F.col(cls).isNotNull() & F.col(date).isNotNull()).groupBy(*by, date).agg(F.min(cls).alias("_lo"), F.max(cls).alias("_hi"))
+    found = records.join(known, [*by, date], "left")
+    return found.withColumn("decided", F.coalesce(cls, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")))).drop("_lo", "_hi")
+
+
 def layer_coverage(a: DataFrame, b: DataFrame, on: str, by: str) -> DataFrame:
     """by, in_a, in_b, only_a, only_b of two layers' distinct ids."""
     x = a.select(by, on).distinct().withColumn("a", F.lit(1))
@@ -127,11 +158,15 @@ def layer_coverage(a: DataFrame, b: DataFrame, on: str, by: str) -> DataFrame:
     )
 
 
-def bytes_accounted(index: DataFrame, file: str = "file", offset: str = "offset", length: str = "length") -> DataFrame:
-    """Every entry starts where the one before ends, from 0."""
+def bytes_accounted(index: DataFrame, file: str = "file", offset: str = "offset", length: str = "length", sizes: DataFrame | None = None) -> DataFrame:
+    """Every entry starts where the one before ends, from 0, and with sizes (file, size) the last ends with its file."""
     want = F.coalesce(F.lag(F.col(offset) + F.col(length)).over(Window.partitionBy(file).orderBy(offset)), F.lit(0))
     bad = index.withColumn("_w", want).where(F.col("_w") != F.col(offset))
-    return _rows(bad, "offset", F.col(file), F.col("_w"), F.col(offset))
+    found = _rows(bad, "offset", F.col(file), F.col("_w"), F.col(offset))
+    if sizes is None:
+        return found
+    ends = index.groupBy(file).agg(F.max(F.col(offset) + F.col(length)).alias("_e")).join(sizes, file, "full_outer")
+    return together(found, _rows(ends.where(~F.col("_e").eqNullSafe(F.col("size"))), "file_size", F.col(file), F.col("size"), F.col("_e")))
 
 
 def two_way(df: DataFrame, a: Column, b: Column) -> DataFrame:

@@ -18,8 +18,9 @@ def entities(queries: DataFrame, dims: DataFrame, per_kind: int = 4, k: int = 8)
 
     dims: (kind, kind_order, name, n), a table of entities.
     """
-    needle, hay = despaced(F.col("q")), despaced(F.col("name"))
-    found = dims.join(queries.select("q").distinct(), hay.contains(needle) & (needle != ""))
+    asked = queries.select("q").distinct().withColumn("_q", despaced(F.col("q"))).where("_q <> ''")
+    hay, needle = F.col("_name"), F.col("_q")
+    found = dims.withColumn("_name", despaced(F.col("name"))).join(asked, hay.contains(needle))
     order = [F.when(hay.startswith(needle), 0).otherwise(1), "kind_order", F.desc("n"), "name"]
     one = found.withColumn("_k", F.row_number().over(Window.partitionBy("q", "kind").orderBy(*order))).where(F.col("_k") <= per_kind)
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("rank") <= k).select("q", "kind", "name", "n", "rank")
@@ -45,8 +46,10 @@ def block_index(index: DataFrame, block: int = BLOCK) -> DataFrame:
     return index.groupBy("gram", F.expr(f"doc_id DIV {block}").alias("block")).agg(F.count(F.lit(1)).alias("df"))
 
 
-def substring_search(queries: DataFrame, docs: DataFrame, index: DataFrame, drop_df: int = 2, used: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """q, doc_id of documents that hold the query text.
+def substring_search(
+    queries: DataFrame, docs: DataFrame, index: DataFrame, drop_df: int = 2, used: int = 3, doc_id: str = "doc_id", text: str = "text", stats: DataFrame | None = None
+) -> DataFrame:
+    """q, doc_id of documents that hold the query text. index and stats (``gram_stats`` of it) are read best from tables.
 
     The ``used`` rarest grams of a query pick candidates, which are verified on the text. A gram that was dropped from
     the dictionary is no condition; a query without any gram left is verified on every document.
@@ -56,8 +59,10 @@ def substring_search(queries: DataFrame, docs: DataFrame, index: DataFrame, drop
     own = asked.select("gram").distinct()
     if own.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS:  # a few MB: postings of other grams go before any shuffle
         own = F.broadcast(own)
-    index = index.join(own, "gram", "left_semi")
-    wanted = asked.join(gram_stats(index, drop_df), "gram")
+    if stats is None:
+        index = index.join(own, "gram", "left_semi")
+        stats = gram_stats(index, drop_df)
+    wanted = asked.join(stats, "gram")
     w = Window.partitionBy("q").orderBy("df", "gram")
     rare = wanted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= used).select("q", "gram")
     needed = rare.groupBy("q").agg(F.count(F.lit(1)).alias("needed"))
@@ -65,5 +70,7 @@ def substring_search(queries: DataFrame, docs: DataFrame, index: DataFrame, drop
     t = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
     checked = hits.join(t, "doc_id").where(F.col("_t").contains(F.col("q")))
     free = qs.join(needed, "q", "left_anti").where(F.length("q") > 0)
+    if free.isEmpty():  # no text is read for these then
+        return checked.select("q", "doc_id")
     whole = t.join(free, F.col("_t").contains(F.col("q")))
     return checked.select("q", "doc_id").unionByName(whole.select("q", "doc_id"))
