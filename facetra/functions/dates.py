@@ -59,7 +59,7 @@ def stale(built: Column, today: Column, days: int = 3) -> Column:
 
 
 def citation(style: str, title: Column, volume: Column, part: Column, page: Column, date: Column) -> Column:
-    """A record cited in one of four styles: standard, footnote, apa, coords."""
+    """A record cited in one of four styles: standard, footnote, apa, coords. The layouts are fixed values."""
     from facetra.functions import text as tx
 
     where, when = tx.coordinates(volume, part, page), era_date(date)

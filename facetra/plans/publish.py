@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetra.functions.text import coordinates
+from facetra.functions.text import coordinates, despaced, safe_name
 from facetra.operators.facets import newest_order, top
 
 
@@ -16,15 +19,54 @@ def write_months(records: DataFrame, path: str) -> None:
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    df.write.mode("overwrite").format(kind).save(path)
+    """Write beside the folder at ``path`` (a URI) and put the new one in its place when it is whole: readers see the old
+    table or the new one, and a failed write leaves the old."""
+    new, old = (f"{path.rstrip('/')}.{x}-{uuid.uuid4().hex}" for x in ("new", "old"))
+    df.write.format(kind).save(new)
+    store, target = fs.FileSystem.from_uri(path)
+    at = lambda uri: fs.FileSystem.from_uri(uri)[1]
+    if store.get_file_info(target).type != fs.FileType.NotFound:
+        store.move(target, at(old))
+    store.move(at(new), target)
+    if store.get_file_info(at(old)).type != fs.FileType.NotFound:
+        store.delete_dir(at(old))
+
+
+def with_names(df: DataFrame, names: dict[str, DataFrame]) -> DataFrame:
+    """df with the codes of some columns replaced by names; names: column -> (slug, name). Unknown codes stay."""
+    for column, dim in names.items():
+        n = dim.select(F.col("slug").alias("_s"), F.col("name").alias("_n"))
+        df = df.join(n, F.col(column) == F.col("_s"), "left").withColumn(column, F.coalesce("_n", column)).drop("_s", "_n")
+    return df
+
+
+def for_csv(df: DataFrame, names: dict[str, DataFrame], site: str) -> DataFrame:
+    """df with names for codes, and the link of each record's page."""
+    return with_names(df, names).withColumn("link", F.concat(F.lit(f"{site.rstrip('/')}/doc/"), F.col("id").cast("string")))
+
+
+def write_csv(df: DataFrame, path: str, names: dict[str, DataFrame] | None = None) -> None:
+    """Quoted CSV with a header, with names for the codes of some columns."""
+    with_names(df, names or {}).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def slim(records: DataFrame, required: list[str], optional: list[str]) -> DataFrame:
+    """The required columns, and optional ones that are null where they are empty or false, so that JSON leaves them out."""
+    kinds = dict(records.dtypes)
+    empty = {"string": F.lit(""), "boolean": F.lit(False)}
+    return records.select(*required, *[F.nullif(c, empty[kinds[c]]).alias(c) if kinds[c] in empty else F.col(c) for c in optional])
+
+
+def province_index(records: DataFrame) -> DataFrame:
+    """province, file (a safe name), n: largest first."""
+    counts = records.where(F.col("province").isNotNull()).groupBy("province").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("province", safe_name(F.col("province")).alias("file"), "n").orderBy(F.desc("n"), "province")
 
 
-def write_csv(df: DataFrame, path: str, names: DataFrame | None = None) -> None:
-    """Quoted CSV; names: (code, name) that replaces topic codes."""
-    if names is not None:
-        n = names.select(F.col("slug").alias("_s"), F.col("name").alias("_n"))
-        df = df.join(n, F.col("topic") == F.col("_s"), "left").withColumn("topic", F.coalesce("_n", "topic")).drop("_s", "_n")
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+def named_like(entries: DataFrame, column: str, query: str) -> DataFrame:
+    """Entries whose name holds a text, white space ignored; all for an empty one."""
+    q = "".join(query.split())
+    return entries.where(despaced(F.col(column)).contains(q)) if q else entries
 
 
 def feed_entries(rows: DataFrame, feed: str = "feed_id", k: int = 50) -> DataFrame:

@@ -24,13 +24,14 @@ TEXT = (
 
 
 def _layer(spark: SparkSession, root: str, layer: str, schema: str) -> DataFrame:
-    """Rows of <root>/<layer>/<year>/<month>.jsonl with year, month and an ingest number that rises within each file."""
+    """Rows of <root>/<layer>/<year>/<month>.jsonl, or of files below year=<year>/month=<month>, with year, month and an
+    ingest number that rises within each file."""
     path = F.col("_metadata.file_path")
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(f"{root}/{layer}")
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").json(f"{root}/{layer}")
     return rows.select(
         "*",
-        F.regexp_extract(path, r"/(\d{4})/[^/]*$", 1).alias("year"),
-        F.regexp_extract(path, r"/(\d{4}-\d{2})\.jsonl$", 1).alias("month"),
+        F.regexp_extract(path, r"/(?:year=)?(\d{4})/[^/]*(?:/[^/]*)?$", 1).alias("year"),
+        F.regexp_extract(path, r"/(?:month=)?(\d{4}-\d{2})(?:\.jsonl|/[^/]*)$", 1).alias("month"),
         F.monotonically_increasing_id().alias("ingest_ord"),
     ).where("year <> ''")
 

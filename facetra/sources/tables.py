@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetra.operators.graph import eligible_label
+from facetra.operators.hierarchy import closure
+from facetra.operators.search import gram_stats, trigram_index
+from facetra.storage import derived
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame, by: str, key: str, *order: str) -> DataFrame:
+    """Clustered by a column that queries narrow down, so that scans skip row groups. A value's rows are dealt by key to
+    several files, so that a frequent one is not one task's."""
+    return df.repartition(by, F.expr(f"{key} DIV 100000")).sortWithinPartitions(by, *order)
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, slug, weight, corroborated: one row per line."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_type", "p_brand").alias("slug"))
@@ -20,7 +31,25 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """slug, name, parent of every topic."""
+    """slug, name, parent of every topic, from a derived table."""
+    return derived(spark, "topics", sf_dir, lambda: _topics(spark, sf_dir).coalesce(1))
+
+
+def topic_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """descendant, ancestor, depth, from a derived table."""
+    return derived(spark, "closure", sf_dir, lambda: closure(topics(spark, sf_dir)).coalesce(1))
+
+
+def trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trigram index of documents, from a derived table: by gram, a frequent one over several files."""
+    return derived(spark, "trigrams", sf_dir, lambda: _spread(trigram_index(table(spark, sf_dir, "documents")), "gram", "doc_id", "doc_id"))
+
+
+def trigram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, "trigram-stats", sf_dir, lambda: gram_stats(trigrams(spark, sf_dir)))
+
+
+def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
     leaf = part.select(F.concat_ws("/", "p_type", "p_brand").alias("slug"), F.col("p_brand").alias("name"), F.col("p_type").alias("parent"))
     root = part.select("p_type").distinct().select(F.col("p_type").alias("slug"), F.col("p_type").alias("name"), F.lit(None).cast("string").alias("parent"))
@@ -28,22 +57,26 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headlines(found: DataFrame) -> DataFrame:
-    """The heaviest label of each record; ties by slug, then corroborated first."""
+    """The heaviest label of each record (ties by slug, then corroborated first), and the set of its eligible labels."""
     first = F.min(F.struct((-F.col("weight")).alias("w"), "slug", (~F.col("corroborated")).alias("n"))).alias("h")
-    return found.groupBy("id").agg(first).select("id", F.col("h.slug").alias("topic"), (~F.col("h.n")).alias("topic_c"))
+    own = F.array_sort(F.collect_set(F.when(eligible_label(), F.col("slug")))).alias("slugs")
+    return found.groupBy("id").agg(first, own).select("id", F.col("h.slug").alias("topic"), (~F.col("h.n")).alias("topic_c"), "slugs")
 
 
 def records(spark: SparkSession, sf_dir: str, with_topics: bool = True) -> DataFrame:
-    """The unified record model over the star schema. Without topics the lines are not read."""
+    """The unified record model over the star schema, from a derived table by month, date and id."""
+    df = derived(spark, "records", sf_dir, lambda: _spread(_records(spark, sf_dir), "month", "id", "date", "id"))
+    return df if with_topics else df.drop("topic", "topic_c", "slugs")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     date = F.date_format("o_orderdate", "yyyy-MM-dd")
     rows = orders.join(people, F.col("o_custkey") == F.col("c_custkey"), "left").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    topic = []
-    if with_topics:
-        rows = rows.join(headlines(labels(spark, sf_dir)), F.col("o_orderkey") == F.col("id"), "left")
-        topic = ["topic", F.coalesce("topic_c", F.lit(False)).alias("topic_c")]
+    rows = rows.join(headlines(labels(spark, sf_dir)), F.col("o_orderkey") == F.col("id"), "left")
+    topic = ["topic", F.coalesce("topic_c", F.lit(False)).alias("topic_c"), F.coalesce("slugs", F.array().cast("array<string>")).alias("slugs")]
     return rows.select(
         F.col("o_orderkey").alias("id"),
         date.alias("date"),
