@@ -33,7 +33,7 @@ def _plain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _closure(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.closure(tables.topics(spark, d))
+    return tables.topic_closure(spark, d)
 
 
 def topic_agency(spark: SparkSession, d: str) -> DataFrame:
@@ -51,9 +51,10 @@ SELECT topic, n, rank, id, date FROM r WHERE rank <= 3
 """)
 def flagship_topics(spark: SparkSession, d: str) -> DataFrame:
     """Trusted records per topic with ancestors, and each topic's newest three."""
-    up = hierarchy.with_ancestors(_rec(spark, d).where("topic_c"), _closure(spark, d), out="key").select("key", "id", "date")
-    n = up.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return facets.newest(up, "key", 3).join(n, "key").select(F.col("key").alias("topic"), "n", "rank", "id", "date")
+    rec = _rec(spark, d).select("topic", "topic_c", "id", "date")
+    leaf = rec.where("topic_c").groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    n = hierarchy.roll_up(leaf, _closure(spark, d)).select(F.col("topic").alias("key"), "n")
+    return facets.newest_with_ancestors(rec, _closure(spark, d), 3).join(n, "key").select(F.col("key").alias("topic"), "n", "rank", "id", "date")
 
 
 @query(f"""
@@ -152,7 +153,7 @@ FROM topics t LEFT JOIN c ON t.slug = c.slug
 def taxonomy_counts(spark: SparkSession, d: str) -> DataFrame:
     tree = tables.topics(spark, d)
     leaf = _rec(spark, d).where("topic_c").groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-    return hierarchy.tree_counts(tree, hierarchy.roll_up(leaf, hierarchy.closure(tree))).withColumn("children", F.array_join("children", ","))
+    return hierarchy.tree_counts(tree, hierarchy.roll_up(leaf, _closure(spark, d))).withColumn("children", F.array_join("children", ","))
 
 
 @query("SELECT descendant, ancestor, depth FROM clo")
@@ -187,8 +188,8 @@ WHERE value IS NOT NULL GROUP BY ALL
 @query(_CROSS)
 def crossfilter(spark: SparkSession, d: str) -> DataFrame:
     """Total and nine facets, each with its own filters lifted, in one scan."""
-    below = tuple(r[0] for r in hierarchy.descendants(_closure(spark, d), ["ECONOMY"]).collect())  # nodes of one subtree
-    return cf.cross_filter(_rec(spark, d), cf.Filters(**FILTERS, topics=below))
+    rows = hierarchy.marked(_rec(spark, d), _closure(spark, d), ["ECONOMY"])
+    return cf.cross_filter(rows, cf.Filters(**FILTERS, below="below"))
 
 
 @query("""
@@ -295,7 +296,7 @@ def doorways(spark: SparkSession, d: str) -> DataFrame:
     """The ten largest root topics."""
     tree = tables.topics(spark, d)
     leaf = _rec(spark, d).where("topic_c").groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-    counted = hierarchy.tree_counts(tree, hierarchy.roll_up(leaf, hierarchy.closure(tree)))
+    counted = hierarchy.tree_counts(tree, hierarchy.roll_up(leaf, _closure(spark, d)))
     return counted.where("parent IS NULL AND n > 0").select("slug", "name", "parent", "n").orderBy(F.desc("n"), "slug").limit(10)
 
 

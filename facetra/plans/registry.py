@@ -39,11 +39,14 @@ ta AS (SELECT topic, agency, sum(n)::BIGINT AS n FROM rolled GROUP BY ALL)
 """
 
 
-def query(sql: str | None = None, base: bool = True) -> Callable[[Query], Query]:
+def query(sql: str | None = None, base: bool = True, also: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name; also: an earlier name that it keeps."""
+
     def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = (BASE + sql) if base else sql
+        for name in [f.__name__, *([also] if also else [])]:
+            QUERIES[name] = f
+            if sql is not None:
+                SQL[name] = (BASE + sql) if base else sql
         return f
 
     return put
