@@ -20,13 +20,13 @@ def corpus(tmp_path):
     meta = [
         {"pdf_file": "2024-000001.pdf", "doctitle": "old"},
         None,
-        {"pdf_file": "2024-000001.pdf", "doctitle": " a  title ", "bookNo": "๑๔๑", "section": "17", "category": "งพิเศษ", "publishDate": "2024-01-02", "pageNo": "4", "source_url": f"{HOST}/124930.pdf"},
-        {"pdf_file": "2024-01-05-00124930.pdf", "doctitle": "", "source_url": f"{HOST}/124930.pdf"},
+        {"pdf_file": "2024-000001.pdf", "doctitle": " a  title ", "bookNo": "๑๓๘", "section": "29", "category": "งพิเศษ", "publishDate": "2024-01-02", "pageNo": "4", "source_url": f"{HOST}/87513.pdf"},
+        {"pdf_file": "2024-01-05-00087513.pdf", "doctitle": "", "source_url": f"{HOST}/87513.pdf"},
         {"pdf_file": "2024-000003.pdf", "doctitle": "c", "source_url": f"{HOST}/7.pdf"},
     ]
     labels = [
-        {"pdf_file": "2024-000001.pdf", "volume": 1, "part": "17 ง", "publish_date": "2024-01-03", "topic": "waste", "topic_corroborated": True, "extracted": {"court": "c", "stage": ""}},
-        {"pdf_file": "2024-01-05-00124930.pdf", "volume": 141, "publish_date": "", "has_text": False, "labels": [{"slug": "waste", "axis": "topic", "weight": 0.9, "corroborated": True, "matched_by": ["x"]}]},
+        {"pdf_file": "2024-000001.pdf", "volume": 1, "part": "29 ง", "publish_date": "2024-01-03", "topic": "waste", "topic_corroborated": True, "extracted": {"court": "c", "stage": ""}},
+        {"pdf_file": "2024-01-05-00087513.pdf", "volume": 138, "publish_date": "", "has_text": False, "labels": [{"slug": "waste", "axis": "topic", "weight": 0.9, "corroborated": True, "matched_by": ["x"]}]},
         {"pdf_file": "2024-000003.pdf", "volume": 2},
     ]
     put(tmp_path / "meta/2024/2024-01.jsonl", meta)
@@ -40,17 +40,17 @@ def corpus(tmp_path):
 
 def test_layers_become_records(spark, corpus):
     got = {r.id: r for r in jsonl.load(spark, str(corpus)).collect()}
-    a, b, c = got["2024-000001"], got["2024-01-05-00124930"], got["2024-000003"]
-    assert (a.title, a.date, a.volume, a.part, a.part_class, a.page, a.topic_c) == ("a title", "2024-01-03", 141, "17 ง พิเศษ", "ง", 4, True)
+    a, b, c = got["2024-000001"], got["2024-01-05-00087513"], got["2024-000003"]
+    assert (a.title, a.date, a.volume, a.part, a.part_class, a.page, a.topic_c) == ("a title", "2024-01-03", 138, "29 ง พิเศษ", "ง", 4, True)
     assert a.extracted == {"court": "c"} and tuple(a.text_at) == (5, 6)
-    assert a.link is None and a.withheld and b.link == f"{HOST}/124930.pdf" and not b.withheld and c.link == f"{HOST}/7.pdf"
-    assert (b.title, b.date, b.volume, b.has_text, c.has_text) == ("(ไม่มีชื่อเรื่อง)", None, 141, False, None)
+    assert a.link is None and a.withheld and b.link == f"{HOST}/87513.pdf" and not b.withheld and c.link == f"{HOST}/7.pdf"
+    assert (b.title, b.date, b.volume, b.has_text, c.has_text) == ("(ไม่มีชื่อเรื่อง)", None, 138, False, None)
     assert {r.year for r in got.values()} == {"2024"}
     assert jsonl.load(spark, str(corpus), "2024", limit=1).count() == 1
     with pytest.raises(ValueError):
         jsonl.load(spark, str(corpus), "2023-2024")
     joined = {r.id: r.text for r in jsonl.with_text(jsonl.load(spark, str(corpus)), jsonl.texts(spark, str(corpus))).collect()}
-    assert joined == {"2024-000001": "body", "2024-01-05-00124930": None, "2024-000003": None}
+    assert joined == {"2024-000001": "body", "2024-01-05-00087513": None, "2024-000003": None}
     assert [len(r.signatories) for r in jsonl.texts(spark, str(corpus)).collect()] == [1]
 
 
@@ -84,10 +84,14 @@ def test_publishing(spark, tmp_path):
     publish.write_months(recs, f"{tmp_path}/months")
     back = spark.read.parquet(f"{tmp_path}/months")
     assert back.count() == 160 and back.where("year = 2024").count() == 80
-    publish.write_csv(recs.select("id", "topic"), f"{tmp_path}/csv", synthetic.topics(spark))
+    publish.write_csv(recs.select("id", "topic"), f"{tmp_path}/csv", {"topic": synthetic.topics(spark)})
     assert spark.read.csv(f"{tmp_path}/csv", header=True).where("topic = 'pollution waste'").count() == recs.where("topic = 'pollution_waste'").count()
     publish.write_table(recs.select("id"), f"{tmp_path}/t", "json")
     assert spark.read.json(f"{tmp_path}/t").count() == 160
+    publish.write_table(recs.select("id").limit(3), f"{tmp_path}/t", "json")  # in its place, with nothing left beside it
+    assert spark.read.json(f"{tmp_path}/t").count() == 3 and [p.name for p in tmp_path.glob("t*")] == ["t"]
+    listed = publish.for_csv(recs.select("id", "topic"), {"topic": synthetic.topics(spark)}, "https://example.org/").first()
+    assert listed.link == f"https://example.org/doc/{listed.id}"
     entries = publish.feeds(recs, "topic", ["agency"], least=10, newest=20, k=5)
     listed = publish.feed_directory(entries, ["all", "series", "agency"]).collect()
     assert listed[0].feed_id == "all" and listed[0].n == 20 and all(r.n <= 20 for r in listed)
