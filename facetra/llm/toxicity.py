@@ -45,6 +45,8 @@ EVIDENCE = 20.0
 THRESHOLD = 0.7
 #: A feature is at least so many times as frequent in toxic texts; chosen among 20 to 80 on the labels learned from.
 RATIO = 60
+#: The same for a feature of no clean row, whose ratio the number of clean rows bounds.
+UNSEEN = 20
 #: A beginning counts if so many words with it do.
 WORDS = 3
 #: Score of a text without any feature where labels are of one class or missing.
@@ -308,7 +310,7 @@ def evident(all0: int, all1: int) -> Column:
     e1, e0 = (n0 + n1) * all1 / F.lit(float(all0 + all1)), (n0 + n1) * all0 / F.lit(float(all0 + all1))
     llr = 2 * (n1 * F.log(n1 / e1) + F.when(n0 > 0, n0 * F.log(n0 / e0)).otherwise(0.0))
     p1, p0 = (n1 + 0.5) / (all1 + 1), (n0 + 0.5) / (all0 + 1)
-    return (n1 * all0 > n0 * all1) & (llr >= EVIDENCE - 1e-6) & (p1 > RATIO * p0 * (1 - 1e-9))
+    return (n1 * all0 > n0 * all1) & (llr >= EVIDENCE - 1e-6) & (p1 > F.when(n0 > 0, RATIO).otherwise(UNSEEN) * p0 * (1 - 1e-9))
 
 
 def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
@@ -321,7 +323,7 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
                 e1, e0 = (n0 + n1) * all1 / (all0 + all1), (n0 + n1) * all0 / (all0 + all1)
                 llr = 2 * (n1 * np.log(n1 / e1) + (n0 * np.log(n0 / e0) if n0 else 0.0))
                 p1, p0 = (n1 + 0.5) / (all1 + 1), (n0 + 0.5) / (all0 + 1)
-                if llr >= EVIDENCE and p1 > RATIO * p0:
+                if llr >= EVIDENCE and p1 > (RATIO if n0 else UNSEEN) * p0:
                     out[f] = float(np.log(p1 / p0))
     support = Counter(w[:k] + "*" for w in out if not w.endswith("*") for k in (4, 5) if len(w) > k)
     return {f: w for f, w in out.items() if not f.endswith("*") or support[f] >= WORDS}
