@@ -3,7 +3,8 @@
 Obfuscated passages (digits and signs for letters, letters spaced out, letters drawn out) become a lattice of readings,
 and Viterbi's algorithm picks the most likely one under a character trigram model, whose counts are taken over every
 text of the corpus. Passages with one reading stay as they are. The restored text is then scored by words and word
-beginnings that labelled rows show to be toxic.
+beginnings that labelled rows show to be toxic. A beginning that clean texts hold now and then, the longer the more often,
+is evidence where it is dense, that is, where it begins a share of ``DENSE`` of a text's words.
 
 Three jobs: counts of trigrams (at most 32,768 sums), document frequencies of words in a bounded sample of labelled rows
 (pre-aggregated in tasks), and one scoring pass over whole texts. Evidence is tested where the frequencies are counted, so
@@ -49,6 +50,8 @@ RATIO = 60
 UNSEEN = 20
 #: A beginning counts if so many words with it do.
 WORDS = 3
+#: Share of a text's words with one beginning from which that beginning is dense; chosen on the labels learned from.
+DENSE = 0.01
 #: Score of a text without any feature where labels are of one class or missing.
 BASE = 0.04
 MODULUS, HELD = 3, 1
@@ -224,9 +227,22 @@ class Restorer:
 
 
 def features(text: str) -> set[str]:
-    """Words of a restored text and their beginnings of four and five letters, marked with ``*``."""
-    words = set(_WORD.findall(text))
-    return words | {w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}
+    """Words of a restored text, their beginnings of four and five letters, marked with ``*``, and the dense ones of those,
+    marked with ``**``."""
+    words = Counter(_WORD.findall(text))
+    begun = beginnings(words)
+    dense = DENSE * words.total()
+    return set(words) | {b + "*" for b in begun} | {b + "**" for b, n in begun.items() if n >= dense}
+
+
+def beginnings(words: Counter) -> Counter:
+    """How many words begin with which four and five letters, and go on."""
+    begun = Counter()
+    for w, n in words.items():
+        for k in (4, 5):
+            if len(w) > k:
+                begun[w[:k]] += n
+    return begun
 
 
 @dataclass
@@ -241,10 +257,22 @@ class Model:
         self.restorer = Restorer(self.lm)
 
     def evidence(self, restored: str) -> list[float]:
-        """What each distinct word of a restored text adds, from its most specific feature."""
-        found = []
-        for w in sorted({w for w in _WORD.findall(restored) if w[:4] in self.starts}):
-            found += [self.weights[f] for f in (w, w[:5] + "*", w[:4] + "*") if f in self.weights and (f == w or len(w) >= len(f))][:1]
+        """What each distinct word of a restored text adds, from its most specific feature, and what is dense in it, once
+        for each beginning of four letters without such a word."""
+        words = Counter(_WORD.findall(restored))
+        known = Counter({w: n for w, n in words.items() if w[:4] in self.starts})
+        found, seen = [], set()
+        for w in sorted(known):
+            for f in (w, w[:5] + "*", w[:4] + "*"):
+                if f in self.weights and (f == w or len(w) >= len(f)):
+                    found.append(self.weights[f])
+                    seen.add(w[:4])
+                    break
+        begun, dense = beginnings(known), DENSE * words.total()
+        for b in sorted(begun, key=lambda b: (-len(b), b)):
+            if begun[b] >= dense and b + "**" in self.weights and b[:4] not in seen:
+                found.append(self.weights[b + "**"])
+                seen.add(b[:4])
         return found
 
     def score(self, text: str | None) -> float:
@@ -314,7 +342,8 @@ def evident(all0: int, all1: int) -> Column:
 
 
 def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Features with enough evidence for toxicity; "" has the numbers of documents."""
+    """Features with enough evidence for toxicity; "" has the numbers of documents. Words whose beginning passes where it
+    is dense, but not by itself, are left to the dense beginning."""
     all0, all1 = counts.get("", (0, 0))
     out = {}
     if all0 and all1:
@@ -325,8 +354,11 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
                 p1, p0 = (n1 + 0.5) / (all1 + 1), (n0 + 0.5) / (all0 + 1)
                 if llr >= EVIDENCE and p1 > (RATIO if n0 else UNSEEN) * p0:
                     out[f] = float(np.log(p1 / p0))
+    # a beginning that is evidence only where it is dense: its single words are not
+    alone = lambda f: any(len(f) > k and f[:k] + "**" in out for k in (4, 5)) and not any(f[:k] + "*" in out for k in (4, 5))
+    out = {f: w for f, w in out.items() if f.endswith("**") or not alone(f)}
     support = Counter(w[:k] + "*" for w in out if not w.endswith("*") for k in (4, 5) if len(w) > k)
-    return {f: w for f, w in out.items() if not f.endswith("*") or support[f] >= WORDS}
+    return {f: w for f, w in out.items() if not f.endswith("*") or f.endswith("**") or support[f] >= WORDS}
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:

@@ -210,6 +210,24 @@ def test_scores_follow_from_counts_of_words(spark):
         assert got[i].score == pytest.approx(want)
 
 
+def test_a_beginning_counts_where_it_is_dense(spark):
+    """Words that clean texts hold now and then, each in another form: toxic texts have several among few words."""
+    def formed(i, n):
+        return " ".join("gravor" + "bcdfgklmnp"[(i + j) % 10] + "aeiou"[(i * 3 + j) % 5] for j in range(n))
+
+    rows = [(i, f"{prose(i, 60)} {formed(i, 3)}" if i % 4 == 0 else f"{prose(i, 300)} {formed(i, i % 3 == 0)}", int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = tx.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert "grav**" in model.weights and "grav*" not in model.weights and not any(w.startswith("gravor") for w in model.weights)
+    got = {r.doc_id: r for r in tx.score(docs, model).collect()}
+    for i, t, y in rows:
+        words = re.findall(r"[^\W\d_]+", model.restorer(t))
+        dense = sum(w.startswith("grav") for w in words) >= tx.DENSE * len(words)
+        assert dense == y == got[i].predicted
+    long = spark.createDataFrame([(1, f"{prose(1, 5000)} {formed(1, 30)}"), (2, f"{prose(1, 1000)} {formed(1, 30)}")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in tx.score(long, model).collect()} == {1: 0, 2: 1}
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     model = tx.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
