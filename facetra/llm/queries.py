@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetra.llm import chat
+from facetra.llm import chat, collocations
 from facetra.llm import decontaminate as dc
 from facetra.llm import language_id as li
-from facetra.llm import near_dedup, packing, sharding, warc
+from facetra.llm import near_dedup, packing, secrets, sharding, warc
 from facetra.llm import quality_model as qm
 from facetra.llm import quality_rules as qr
 from facetra.llm import toxicity as tx
@@ -76,6 +76,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_all(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 

@@ -91,6 +91,61 @@ SELECT page_id, payload_bytes, d.payload_digest,
 FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest AND payload_bytes >= 1000
 """
 
+OP11 = r"""
+WITH rules AS (SELECT * FROM (VALUES
+  (0, 'assign', '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 8),
+  (1, 'access', '(AKIA[A-Z0-9]+)', 16),
+  (2, 'hex', '([0-9a-f]+)', 32),
+  (3, 'private_key', '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 1),
+  (4, 'prefixed_token', '((?:gh[opsur]_|glpat-|xox[abprs]-|sk_live_)[A-Za-z0-9_-]+)', 20),
+  (5, 'signed_token', '(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)', 30),
+  (6, 'url_login', '([a-z]+://[^\s/:@]{1,128}:[^\s/:@]{1,128}@)', 1)) r(rank, kind, pattern, least)),
+d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS blob FROM documents),
+cut AS (
+  SELECT rid, rank, kind, least, regexp_split_to_array(text, pattern) AS gaps,
+         regexp_extract_all(text, pattern, 0) AS found, regexp_extract_all(text, pattern, 1) AS parts
+  FROM d, rules),
+m AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM cut WHERE len(found) > 0),
+s AS (
+  SELECT rid, rank, kind, length(array_to_string(gaps[1:i], '') || array_to_string(found[1:i - 1], '')) AS b, length(found[i]) AS size
+  FROM m WHERE length(parts[i]) >= least),
+g AS (
+  SELECT rid, count_if(rank = 0)::BIGINT AS n_assign, count_if(rank = 1)::BIGINT AS n_access, count_if(rank = 2)::BIGINT AS n_hex,
+         coalesce(string_agg(kind || ':' || b || ':' || (b + size), ',' ORDER BY b, rank) FILTER (WHERE rank < 3), '') AS base,
+         string_agg(kind || ':' || b || ':' || (b + size), ',' ORDER BY b, rank) AS spans
+  FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, blob
+FROM d LEFT JOIN g USING (rid)
+"""
+
+OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(ws[p:p + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 100),
+cut AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+sized AS (
+  SELECT cut.lang, cut.k, cut.phrase, a, j, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score
+  FROM cut JOIN n USING (lang)
+  JOIN f x ON x.lang = cut.lang AND x.k = j AND x.phrase = array_to_string(ws[1:j], ' ')
+  JOIN f y ON y.lang = cut.lang AND y.k = cut.k - j AND y.phrase = array_to_string(ws[j + 1:cut.k], ' ')),
+scored AS (SELECT * FROM sized QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (
+  SELECT * FROM scored s WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = s.lang AND c.k > s.k AND 100 * c.a >= 100 * s.a AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+       n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "quality_ablations": ABLATIONS, "op3_chat_formatting": OP3, "op7_decontamination": OP7, "op10_warc": OP10}
+    return {"op1_quality_rules": OP1, "quality_ablations": ABLATIONS, "op3_chat_formatting": OP3, "op7_decontamination": OP7, "op10_warc": OP10, "op11_secret_scans": OP11, "op12_collocations": OP12}
