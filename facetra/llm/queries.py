@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from facetra.llm import chat, collocations
 from facetra.llm import decontaminate as dc
 from facetra.llm import language_id as li
-from facetra.llm import near_dedup, packing, secrets, sharding, warc
+from facetra.llm import near_dedup, packing, repair, secrets, sharding, warc
 from facetra.llm import quality_model as qm
 from facetra.llm import quality_rules as qr
 from facetra.llm import toxicity as tx
@@ -85,6 +85,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 

@@ -98,8 +98,8 @@ WITH rules AS (SELECT * FROM (VALUES
   (2, 'hex', '([0-9a-f]+)', 32),
   (3, 'private_key', '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 1),
   (4, 'prefixed_token', '((?:gh[opsur]_|glpat-|xox[abprs]-|sk_live_)[A-Za-z0-9_-]+)', 20),
-  (5, 'signed_token', '(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)', 30),
-  (6, 'url_login', '([a-z]+://[^\s/:@]{1,128}:[^\s/:@]{1,128}@)', 1)) r(rank, kind, pattern, least)),
+  (5, 'signed_token', '(eyJ[A-Za-z0-9_-]{8,500}\.eyJ[A-Za-z0-9_-]{8,500}\.[A-Za-z0-9_-]{8,})', 1),
+  (6, 'url_login', '([a-z]{1,16}://[^\s/:@]{1,128}:[^\s/:@]{1,128}@)', 1)) r(rank, kind, pattern, least)),
 d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS blob FROM documents),
 cut AS (
   SELECT rid, rank, kind, least, regexp_split_to_array(text, pattern) AS gaps,
@@ -147,5 +147,67 @@ FROM kept QUALIFY rank <= 2000
 """
 
 
+def _op13() -> str:
+    """A recursive walk over each conversation's rows with the best (cost, audit, text) of each state of the pattern."""
+    far = 10**9  # dearer than any path: a state that is not reached
+
+    def step(state: str, cost: str, letter: str, said: str) -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {said}}}"
+
+    def line(role: str, text: str = "text") -> str:
+        return f"chr(10) || {role} || ':' || {text}"
+
+    insert = lambda v: step(v, "3", "I", line("'assistant'" if v == "v2" else "'user'", "''"))
+    none = f"{{'c': {far}::BIGINT, 'a': '', 't': ''}}"
+    gap = f"v0, v1, least(v2, {insert('v0')}, {insert('v1')}, {insert('v3')}) AS v2, least(v3, {insert('v2')}) AS v3"
+    extra = "(CASE WHEN truncated THEN 3 ELSE 0 END)"
+    delete = lambda v: step(v, "4", "D", "''")
+    rerole = lambda v: step(v, f"(CASE WHEN free THEN 3 + {extra} ELSE {far} END)", "R", line("'assistant'" if v == "v2" else "'user'"))
+    keep = lambda v, i: step(v, f"(CASE WHEN free AND initial = '{i}' THEN {extra} ELSE {far} END)", "K", line("role"))
+    w2 = ", ".join(f"{rerole(v)}, {keep(v, 'u')}" for v in ("v0", "v1", "v3"))
+    row = f"{delete('v0')} AS v0, least({delete('v1')}, {keep('v0', 's')}) AS v1, least({delete('v2')}, {w2}) AS v2, least({delete('v3')}, {rerole('v2')}, {keep('v2', 'a')}) AS v3"
+    return rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce('=' || conv_id, '') AS conv,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes
+  FROM conversations),
+crc AS (
+  SELECT * EXCLUDE (bytes), xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, b:
+    list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 20 AS code
+  FROM k),
+d AS (
+  SELECT conv, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END))
+  FROM crc WHERE code <> 0),
+o AS (SELECT conv, turn, role, text, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (
+  SELECT *, role[1:1] AS initial, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
+         row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS seen, NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS trunc,
+         lag(role[1:1]) OVER (PARTITION BY conv ORDER BY i) || role[1:1] AS pair
+  FROM o),
+r AS (SELECT *, NOT (blank OR seen) AS free, trunc AS truncated FROM f),
+dp AS (
+  SELECT conv, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS v0, {none} AS v1, {none} AS v2, {none} AS v3 FROM (SELECT DISTINCT conv FROM r)
+  UNION ALL
+  SELECT conv, i, {row} FROM (SELECT r.conv, r.i, r.role, r.text, r.initial, r.free, r.truncated, {gap} FROM dp JOIN r ON r.conv = dp.conv AND r.i = dp.i + 1)),
+c AS (
+  SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(blank)::BIGINT AS blank,
+         count_if(seen AND NOT blank)::BIGINT AS duplicate, count_if(free AND truncated)::BIGINT AS truncated,
+         count_if(pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+  FROM r GROUP BY conv),
+best AS (SELECT c.*, least(v0, v3, {insert('v2')}) AS b FROM c JOIN dp ON dp.conv = c.conv AND dp.i = c.n)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit,
+       sha256(coalesce(b.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM k) LEFT JOIN best USING (conv)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "quality_ablations": ABLATIONS, "op3_chat_formatting": OP3, "op7_decontamination": OP7, "op10_warc": OP10, "op11_secret_scans": OP11, "op12_collocations": OP12}
+    return {
+        "op1_quality_rules": OP1, "quality_ablations": ABLATIONS, "op3_chat_formatting": OP3, "op7_decontamination": OP7, "op10_warc": OP10, "op11_secret_scans": OP11, "op12_collocations": OP12,
+        "op13_structure_repair": _op13(),
+    }
