@@ -20,12 +20,14 @@ empty table, or one without a frequent phrase, gives an empty table. A text is h
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,14 +143,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[str
         yield key, np.concatenate(found), words
 
 
-def counted(rows: DataFrame, levels: range, least: int, bloom: np.ndarray | None = None, before: np.ndarray | None = None, block: int = BLOCK) -> DataFrame:
-    """lang, phrase, k and f of phrases of ``rows`` (lang, text) with f >= least; with k = 0 the words of each language."""
-    sc = rows.sparkSession.sparkContext
-    sent = sc.broadcast((bloom, before))  # two filters of fixed size
+def packed(*filters: np.ndarray | None) -> list[bytes | None]:
+    """Filters to be sent: at most 16 MB each, far less while they hold little."""
+    return [None if f is None else zlib.compress(f.tobytes(), 1) for f in filters]
+
+
+def _unpacked(data: bytes | None) -> np.ndarray | None:
+    return None if data is None else np.frombuffer(zlib.decompress(data), np.uint64)
+
+
+def counted(rows: DataFrame, levels: range, least: int, sent: Broadcast, block: int = BLOCK) -> DataFrame:
+    """lang, phrase, k and f of phrases of ``rows`` (lang, text) with f >= least; with k = 0 the words of each language.
+    sent: the filter and the one before, packed."""
     first, end = levels.start, levels.stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, known = sent.value
+        new, known = map(_unpacked, sent.value)
         for lang, ids, words in _blocks(batches, block):
             tail = pa.scalar(lang.encode("utf-8", "replace"), pa.binary())
             out = [(pa.array([b""], pa.binary()), np.array([np.count_nonzero(ids)]))] if first == 1 else []
@@ -196,12 +206,16 @@ def frequent(
     )
     some = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(sample)) == 0).drop("key")
     rows = rows.drop("key")
-    bloom = None
+    sc, bloom = docs.sparkSession.sparkContext, None
     for k in range(1, LONGEST):
-        bloom = joined(bloom, counted(some, range(k, k + 1), max(1, round(least / sample * lowered)), bloom, None, block))
+        sent = sc.broadcast(packed(bloom, None))
+        bloom = joined(bloom, counted(some, range(k, k + 1), max(1, round(least / sample * lowered)), sent, block))
+        sent.destroy()
     parts, before, levels = [], None, range(1, LONGEST + 1)
     while True:
-        parts.append(stored(counted(rows, levels, least, bloom, before, block), "phrases"))
+        sent = sc.broadcast(packed(bloom, before))
+        parts.append(stored(counted(rows, levels, least, sent, block), "phrases"))
+        sent.destroy()
         before, bloom = bloom, joined(bloom, parts[-1])
         if np.array_equal(before, bloom):
             break
