@@ -19,45 +19,55 @@ empty table. A pair that two concurrent updates scanned counts once.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from facetra.storage import new_folder, stored
 
 
 class Rule(NamedTuple):
-    """Matches of ``pattern`` whose ``group`` has ``least`` characters or more."""
+    """Matches of ``pattern`` whose ``group`` has ``least`` characters or more. A text with a match holds one of ``hints``
+    (any case if ``folded``); texts without are passed over by plain comparison."""
 
     kind: str
     version: int
     pattern: str
-    group: int
-    least: int
+    group: int = 0
+    least: int = 1
+    hints: tuple[str, ...] = ()
+    folded: bool = False
 
     @property
     def id(self) -> str:
         return f"{self.kind}@{self.version}"
 
+    def possible(self) -> Column:
+        body = F.lower("text") if self.folded else F.col("text")
+        found = [body.contains(h) for h in self.hints]
+        return reduce(operator.or_, found) if found else F.col("text").rlike(self.pattern)
 
-#: The base patterns, in the order in which spans of one start are listed.
+
+#: The base patterns, in the order in which spans of one start are listed. Least lengths stand in the pattern
+#: where a run is taken whole or not at all; a match of ``assign`` that is too short still takes its place.
 BASE = (
-    Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", 1, r"[0-9a-f]+", 0, 32),
+    Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, ("passw", "secret", "token", "api"), True),
+    Rule("access", 1, r"AKIA[A-Z0-9]{12,}", hints=("AKIA",)),
+    Rule("hex", 1, r"[0-9a-f]{32,}"),
 )
 #: Spans beyond the base: key headers, tokens with a known head, and logins inside a URL.
 ADDED = (
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
-    Rule("prefixed_token", 1, r"(?:gh[opsur]_|glpat-|xox[abprs]-|sk_live_)[A-Za-z0-9_-]+", 0, 20),
-    Rule("signed_token", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
-    Rule("url_login", 1, r"[a-z]+://[^\s/:@]{1,128}:[^\s/:@]{1,128}@", 0, 1),
+    Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hints=("PRIVATE KEY-----",)),
+    Rule("prefixed_token", 1, r"(?:gh[opsur]_|glpat-|xox[abprs]-|sk_live_)[A-Za-z0-9_-]+", 0, 20, ("gho_", "ghp_", "ghs_", "ghu_", "ghr_", "glpat-", "xox", "sk_live_")),
+    Rule("signed_token", 1, r"eyJ[A-Za-z0-9_-]{8,500}\.eyJ[A-Za-z0-9_-]{8,500}\.[A-Za-z0-9_-]{8,}", hints=("eyJ",)),
+    Rule("url_login", 1, r"[a-z]{1,16}://[^\s/:@]{1,128}:[^\s/:@]{1,128}@", hints=("://",)),
 )
 RULES = BASE + ADDED
 
-LEDGER = StructType.fromDDL("blob STRING, rules ARRAY<STRING>, spans ARRAY<STRUCT<rule: STRING, start: BIGINT, end: BIGINT>>")
+LEDGER = "blob string, rules array<string>, spans array<struct<rule: string, start: bigint, end: bigint>>"
 
 
 def paths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,7 +89,7 @@ def _cuts(rule: Rule) -> Column:
         F.arrays_zip(sizes(F.split("text", rule.pattern, -1)).alias("gap"), whole.alias("whole")), part,
         lambda c, p: F.struct(F.lit(rule.id).alias("rule"), c["gap"].alias("gap"), c["whole"].alias("size"), (p >= rule.least).alias("counts")),
     )
-    wanted = F.array_contains("todo", rule.id) & F.col("text").rlike(rule.pattern)
+    wanted = F.array_contains("todo", rule.id) & rule.possible()
     return F.when(wanted, F.filter(cuts, lambda c: c["size"].isNotNull())).otherwise(F.array())
 
 
@@ -124,7 +134,7 @@ def digests(ledger: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule
     entry = F.when(rank.isNotNull(), F.struct("start", rank.alias("rank"), "end"))
     kind = lambda s: F.get(F.array(*[F.lit(r.kind) for r in rules]), s["rank"])
     text = lambda found: F.array_join(F.transform(found, lambda s: F.concat_ws(":", kind(s), s["start"], s["end"])), ",")
-    basic = [i for i, r in enumerate(rules) if r in base]
+    basic = [i for i, r in enumerate(rules) if r.kind in {b.kind for b in base}]
     count = lambda i: F.size(F.filter("found", lambda s: s["rank"] == i)).cast("long")
     return known.groupBy("blob").agg(F.array_sort(F.collect_list(entry)).alias("found")).select(
         "blob", *[count(i).alias(f"n_{rules[i].kind}") for i in basic],
