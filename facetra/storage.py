@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Folders of this process's stored tables, oldest first.
-_WRITTEN: list[str] = []
-_DERIVED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+class _Own(threading.local):
+    """Folders of this thread's stored tables, oldest first: runs side by side do not see each other's."""
+
+    def __init__(self):
+        self.written: list[str] = []
+
+
+_OWN = _Own()
+_DERIVED: dict[tuple[str, str, str], tuple[tuple, str, StructType]] = {}
+#: One lock for each derived table, so that two threads do not build it twice.
+_LOCKS: dict[tuple[str, str, str], threading.RLock] = {}
+_LOCK = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder for files of the caller's, which ``clean`` removes like a stored table's."""
     path = f"{shared_dir(spark)}/facetra-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _OWN.written.append(path)
     return path
 
 
@@ -43,42 +55,67 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def mark() -> int:
-    """A point in time for ``clean``."""
-    return len(_WRITTEN)
+    """A point in time of this thread for ``clean``."""
+    return len(_OWN.written)
 
 
 def clean(since: int, *keep: DataFrame) -> None:
-    """Remove what was stored since ``mark``, but for the tables that ``keep`` reads. Folders of a file system that
+    """Remove what this thread stored since ``mark``, but for the tables that ``keep`` reads. Folders of a file system that
     pyarrow does not know stay."""
-    import pyarrow as pa
-    from pyarrow import fs
-
     used = [f for df in keep for f in df.inputFiles()]
     bare = lambda p: re.sub(r"^file:/+", "/", p)
-    for path in _WRITTEN[since:]:
+    for path in _OWN.written[since:]:
         if not any(bare(f).startswith(bare(path) + "/") for f in used):
-            _WRITTEN.remove(path)
-            try:
-                store, at = fs.FileSystem.from_uri(path)
-                store.delete_dir(at)
-            except (pa.ArrowInvalid, OSError):
-                pass  # not there, or not ours to remove
+            _OWN.written.remove(path)
+            _remove(path)
+
+
+def _remove(path: str) -> None:
+    import pyarrow as pa
+    from pyarrow import fs
+
+    try:
+        store, at = fs.FileSystem.from_uri(path)
+        store.delete_dir(at)
+    except (pa.ArrowInvalid, OSError):
+        pass  # not there, or not ours to remove
+
+
+def fingerprint(spark: SparkSession, source: str) -> tuple:
+    """Name, bytes, files and time of change of every table in a folder: another where a table was replaced or added to."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return ()
+    found = []
+    for status in store.listStatus(path):
+        size = store.getContentSummary(status.getPath()) if status.isDirectory() else None
+        held = (size.getLength(), size.getFileCount()) if size else (status.getLen(), 1)
+        found.append((status.getPath().getName(), *held, status.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def derived(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` that is derived from the tables at ``source``: written on first use, read from then on in this
-    application. ``refresh`` forgets it where the source has changed."""
+    """The table ``name`` that is derived from the tables at ``source``: written on first use and read from then on in this
+    application, until the source's fingerprint changes. The folder of a table that is out of date stays until the process
+    ends, as others may still read it."""
     key = (spark.sparkContext.applicationId, name, source)
-    if key not in _DERIVED:
-        df = build()
-        path = f"{shared_dir(spark)}/facetra-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        _DERIVED[key] = (path, df.schema)
-    path, schema = _DERIVED[key]
+    with _LOCK:
+        lock = _LOCKS.setdefault(key, threading.RLock())
+    with lock:
+        now = fingerprint(spark, source)
+        if key not in _DERIVED or _DERIVED[key][0] != now:
+            df = build()
+            path = f"{shared_dir(spark)}/facetra-{name}-{uuid.uuid4().hex}"
+            atexit.register(_remove, path)
+            df.write.parquet(path)
+            _DERIVED[key] = (now, path, df.schema)
+        _, path, schema = _DERIVED[key]
     return spark.read.schema(schema).parquet(path)
 
 
 def refresh(source: str) -> None:
     """Forget what was derived from the tables at ``source``."""
     for key in [k for k in _DERIVED if k[2] == source]:
-        del _DERIVED[key]
+        _DERIVED.pop(key, None)
