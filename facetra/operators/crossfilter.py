@@ -68,30 +68,37 @@ def newest_matches(df: DataFrame, filters: Filters, k: int = 600, spec: CorpusSp
     return matching(df, filters, spec).orderBy(*newest_order(spec)).limit(k)
 
 
-def cross_filter(df: DataFrame, filters: Filters, spec: CorpusSpec = GAZETTE, dims: tuple[str, ...] | None = None) -> DataFrame:
-    """facet, value, n: the total, and per dimension the counts of its values with its own filters lifted.
+def _count(weight: Column | None) -> Column:
+    """Rows, or the sum of what they count for."""
+    return (F.count(F.lit(1)) if weight is None else F.sum(weight)).cast("long").alias("n")
+
+
+def cross_filter(df: DataFrame, filters: Filters, spec: CorpusSpec = GAZETTE, dims: tuple[str, ...] | None = None, weight: Column | None = None) -> DataFrame:
+    """facet, value, n: the total, and per dimension the counts of its values with its own filters lifted. weight: what a row
+    counts for, where rows are counts themselves (``cuboid``).
 
     One scan: each predicate is a column, each row gives the (facet, value) pairs whose other predicates hold, and one
     aggregate counts them. Rows that fail two independent filters or more are dropped before they are exploded.
     """
     dims = dims or (*[d.dim for d in spec.dims], "day")
     preds = filters.predicates(spec)
-    rows = df.withColumns({f"_p_{k}": c for k, c in preds.items()}) if preds else df
+    rows = df.withColumns({f"_p_{k}": c for k, c in preds.items()} | {"_w": F.lit(1) if weight is None else weight})
     pairs = [F.struct(F.lit("total").alias("facet"), F.when(_all([F.col(f"_p_{k}") for k in preds]), F.lit("")).alias("value"))]
     for name in dims:
         lifted = LIFTS.get(name, (name,))
         own = F.col(spec.date) if name == "day" else spec.dim(name).value()
         others = _all([F.col(f"_p_{k}") for k in preds if k not in lifted and k != name])
         pairs.append(F.struct(F.lit(name).alias("facet"), F.when(others, own.cast("string")).alias("value")))
-    each = rows.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
-    return each.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+    each = rows.select("_w", F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+    return each.groupBy("facet", "value").agg(_count(None if weight is None else F.col("_w")))
 
 
-def grouped(df: DataFrame, filters: Filters, by: list[str], spec: CorpusSpec = GAZETTE) -> DataFrame:
-    """Counts over chosen dimensions of the rows that match; flags hold per dimension and nulls are left out."""
+def grouped(df: DataFrame, filters: Filters, by: list[str], spec: CorpusSpec = GAZETTE, weight: Column | None = None) -> DataFrame:
+    """Counts over chosen dimensions of the rows that match; flags hold per dimension and nulls are left out. weight: as in
+    ``cross_filter``."""
     columns = [spec.dim(b).value().alias(b) for b in by]
-    rows = matching(df, filters, spec).select(*columns).dropna()
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    rows = matching(df, filters, spec).select(*columns, (F.lit(1) if weight is None else weight).alias("_w")).dropna()
+    return rows.groupBy(*by).agg(_count(None if weight is None else F.col("_w")))
 
 
 def bucketed(counts: DataFrame, key: str, width: int, n: str = "n") -> DataFrame:

@@ -116,11 +116,21 @@ def newest_day(df: DataFrame, counted: dict[str, Column], parts: str = "part", s
 
 
 def highlights(df: DataFrame, eligible: Column, first: Column, weight: str, k: int = 12, spec: CorpusSpec = GAZETTE) -> DataFrame:
-    """Eligible rows: those for which ``first`` holds lead, then the heavier, then by id. A day without new rules has a
-    story too: the same order over its other trusted rows, with k = 8."""
+    """Eligible rows: those for which ``first`` holds lead, then the heavier, then by id."""
     return df.where(eligible).orderBy((~first).cast("int"), F.coalesce(F.col(weight), F.lit(0.0)).desc(), spec.id).limit(k)
 
 
+def stories(df: DataFrame, rules: Column, others: Column, first: Column, weight: str, k: int = 12, k_others: int = 8, spec: CorpusSpec = GAZETTE) -> DataFrame:
+    """Each day's first k rules in the order of ``highlights``; a day without rules has a story too, the first ``k_others`` of its
+    other rows in the same order. With ``rule`` and ``rank``."""
+    order = [(~first).cast("int"), F.coalesce(F.col(weight), F.lit(0.0)).desc(), F.col(spec.id)]
+    rows = df.withColumns({"rule": F.coalesce(rules, F.lit(False)), "_other": F.coalesce(others, F.lit(False))}).where("rule OR _other")
+    by = [F.col(spec.date), F.col("rule")]
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= F.when(F.col("rule"), k).otherwise(k_others))
+    told = F.max("rule").over(Window.partitionBy(spec.date))  # over at most k + k_others rows of a day
+    return ranked.withColumn("_told", told).where(F.col("rule") | ~F.col("_told")).drop("_told", "_other")
+
+
 def normalised(counts: DataFrame, by: list[str], n: str = "n") -> DataFrame:
     """Each count as a whole percent of its list's largest (at least 1)."""
     largest = F.greatest(F.lit(1), F.max(n).over(Window.partitionBy(*by)))

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetra.operators.encode import month_directory
+from facetra.operators.ordered import with_previous
 
+#: Bytes of a file whose entries are checked in one task.
+LANE_BYTES = 1 << 26
 COLUMNS = ("check", "key", "expected", "actual")
 
 
@@ -64,17 +67,18 @@ def directory_contiguous(directory: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def sorted_within(df: DataFrame, month: str = "month", position: str = "position") -> DataFrame:
-    """Rows of a month are stored by date and id."""
+    """Rows of a month are stored by date and id. Months are checked in lanes of positions, and lanes against each other."""
     s = F.struct(F.coalesce("date", F.lit("")).alias("d"), F.col("id").alias("i"))
-    before = F.lag(s).over(Window.partitionBy(month).orderBy(position))
-    return _rows(df.withColumns({"_s": s, "_b": before}).where(F.col("_b") > F.col("_s")), "order", F.col("id"), F.col("_b.i"), F.col("_s.i"))
+    rows = with_previous(df.select(month, position, "id", s.alias("_s")), [month], position, F.col("_s"), "_b")
+    return _rows(rows.where(F.col("_b") > F.col("_s")), "order", F.col("id"), F.col("_b.i"), F.col("_s.i"))
 
 
 def names_cut_short(counts: DataFrame, key: str = "key", n: str = "n", rare: int = 40, frequent: int = 200) -> DataFrame:
     """Rare names that are a proper beginning of a frequent one."""
     few = counts.where(F.col(n) < rare).select(F.col(key).alias("short"), F.col(n).alias("n_short"))
-    many = counts.where(F.col(n) > frequent).select(F.col(key).alias("long"), F.col(n).alias("n_long"))
-    found = few.join(many, F.col("long").startswith(F.col("short")) & (F.col("long") != F.col("short")))
+    many = counts.where((F.col(n) > frequent) & (F.length(key) > 1)).select(F.col(key).alias("long"), F.col(n).alias("n_long"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("long") - 1), lambda k: F.substring("long", F.lit(1), k))
+    found = few.join(many.select("long", "n_long", F.explode(starts).alias("short")), "short")
     best = found.groupBy("short", "n_short").agg(F.max_by("long", F.struct("n_long", "long")).alias("long"))
     return _rows(best, "cut_name", F.col("short"), F.col("long"), F.col("n_short"))
 
@@ -159,9 +163,10 @@ def layer_coverage(a: DataFrame, b: DataFrame, on: str, by: str) -> DataFrame:
 
 
 def bytes_accounted(index: DataFrame, file: str = "file", offset: str = "offset", length: str = "length", sizes: DataFrame | None = None) -> DataFrame:
-    """Every entry starts where the one before ends, from 0, and with sizes (file, size) the last ends with its file."""
-    want = F.coalesce(F.lag(F.col(offset) + F.col(length)).over(Window.partitionBy(file).orderBy(offset)), F.lit(0))
-    bad = index.withColumn("_w", want).where(F.col("_w") != F.col(offset))
+    """Every entry starts where the one before ends, from 0, and with sizes (file, size) the last ends with its file. Files
+    are checked in lanes of offsets, and lanes against each other."""
+    rows = with_previous(index, [file], offset, F.col(offset) + F.col(length), "_w", LANE_BYTES)
+    bad = rows.withColumn("_w", F.coalesce("_w", F.lit(0))).where(F.col("_w") != F.col(offset))
     found = _rows(bad, "offset", F.col(file), F.col("_w"), F.col(offset))
     if sizes is None:
         return found

@@ -5,30 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetra.functions.text import despaced
+from facetra.functions.text import coordinates, despaced, parse_citation
+from facetra.operators.lookup import MODERN_ID, OLD_ID
+from facetra.storage import stored
 
 #: Documents in a block of the block index.
 BLOCK = 4096
-#: Distinct grams of all queries up to which they are sent to every task.
-MOST_GRAMS = 100_000
+#: Documents whose grams share a bit of a bitmap, and grams of a query whose bitmaps are and-ed.
+DOCS_A_BLOCK = 8
+USED = 8
+
+
+def leads(queries: DataFrame) -> DataFrame:
+    """q, kind, name: what a query names outright, a record's id or a cited page; these come before all entities."""
+    q = F.trim("q")
+    cited = parse_citation(F.col("q"))
+    hit = lambda kind, order, name: F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("lead"), name.alias("name"))
+    found = F.array(
+        F.when(q.rlike(f"{MODERN_ID}|{OLD_ID}"), hit("document", 0, q)),
+        F.when(cited.isNotNull(), hit("citation", 1, coordinates(cited["volume"], cited["part"], cited["page"]))),
+    )
+    return queries.select("q").distinct().select("q", F.inline(F.array_compact(found)))
 
 
 def entities(queries: DataFrame, dims: DataFrame, per_kind: int = 4, k: int = 8) -> DataFrame:
-    """q, kind, name, n, rank: names that hold the query, white space ignored; beginnings first, then by kind and size.
+    """q, kind, name, n, rank: what the query names outright, then names that hold it, white space ignored; beginnings first,
+    then by kind and size.
 
-    dims: (kind, kind_order, name, n), a table of entities.
+    dims: (kind, kind_order, name, n), a table of entities. Names are posted under their substrings of one to three signs, a
+    query looks up the rarest of its substrings of three signs (or itself, if it is shorter), and what is posted there is
+    compared with it: queries and names meet by equality.
     """
+    lead = leads(queries)
     asked = queries.select("q").distinct().withColumn("_q", despaced(F.col("q"))).where("_q <> ''")
     hay, needle = F.col("_name"), F.col("_q")
-    found = dims.withColumn("_name", despaced(F.col("name"))).join(asked, hay.contains(needle))
+    names = dims.withColumn("_name", despaced(F.col("name")))
+    posted = names.select("*", F.explode(F.array_distinct(F.flatten(F.array(*[grams(hay, n) for n in (1, 2, 3)])))).alias("_gram"))
+    own = F.when(F.length(needle) < 3, F.array(needle)).otherwise(grams(needle))
+    df = posted.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
+    tried = asked.select("q", "_q", F.explode(own).alias("_gram")).join(df, "_gram", "left")
+    rarest = tried.groupBy("q", "_q").agg(F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), "_gram")).alias("_gram"))
+    found = rarest.join(posted, "_gram").where(hay.contains(needle))
     order = [F.when(hay.startswith(needle), 0).otherwise(1), "kind_order", F.desc("n"), "name"]
-    one = found.withColumn("_k", F.row_number().over(Window.partitionBy("q", "kind").orderBy(*order))).where(F.col("_k") <= per_kind)
-    return one.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("rank") <= k).select("q", "kind", "name", "n", "rank")
+    place = lambda *keys, by: F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    one = found.withColumn("_k", place("q", "kind", by=order)).where(F.col("_k") <= per_kind)
+    rest = one.select("q", F.lit(2).alias("lead"), place("q", by=order).alias("at"), "kind", "name", "n")
+    first = lead.select("q", "lead", F.lit(0).alias("at"), "kind", "name", F.lit(None).cast(dims.schema["n"].dataType).alias("n"))
+    return first.unionByName(rest).withColumn("rank", place("q", by=["lead", "at"])).where(F.col("rank") <= k).select("q", "kind", "name", "n", "rank")
 
 
-def grams(text: Column) -> Column:
-    """The distinct trigrams of a text, found in one pass: a look-ahead at every place."""
-    return F.coalesce(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1))), F.array().cast("array<string>"))
+def grams(text: Column, n: int = 3) -> Column:
+    """The distinct substrings of n signs of a text, found in one pass: a look-ahead at every place."""
+    return F.coalesce(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1))), F.array().cast("array<string>"))
 
 
 def trigram_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,31 +74,76 @@ def block_index(index: DataFrame, block: int = BLOCK) -> DataFrame:
     return index.groupBy("gram", F.expr(f"doc_id DIV {block}").alias("block")).agg(F.count(F.lit(1)).alias("df"))
 
 
-def substring_search(
-    queries: DataFrame, docs: DataFrame, index: DataFrame, drop_df: int = 2, used: int = 3, doc_id: str = "doc_id", text: str = "text", stats: DataFrame | None = None
-) -> DataFrame:
-    """q, doc_id of documents that hold the query text. index and stats (``gram_stats`` of it) are read best from tables.
+def bitmap_index(index: DataFrame, block: int = DOCS_A_BLOCK) -> DataFrame:
+    """gram, bucket, blocks: for each gram the blocks of ``block`` documents that hold it, as bitmaps of 32,768 blocks. Ids are
+    places in a dense order (``ordered.numbered`` gives such), from 0."""
+    no = F.expr(f"doc_id DIV {block} + 1")
+    return index.groupBy("gram", F.bitmap_bucket_number(no).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(no)).alias("blocks"))
+
+
+def _set_bits(bits: Column) -> Column:
+    """Positions of the bits that are set in a bitmap of 4,096 bytes, through the bytes that are not zero."""
+    byte = lambda i: F.substring(bits, i + 1, F.lit(1))
+    some = F.filter(F.sequence(F.lit(0), F.lit(4095)), lambda i: byte(i) != F.lit(b"\x00"))
+    value = lambda i: F.conv(F.hex(byte(i)), 16, 10).cast("int")
+    eight = F.array(*[F.lit(1 << j) for j in range(8)])
+    own = lambda i: F.filter(F.transform(eight, lambda m, j: F.when(value(i).bitwiseAND(m) != 0, i * 8 + j)), lambda x: x.isNotNull())
+    return F.flatten(F.transform(some, own))
+
 
-    The ``used`` rarest grams of a query pick candidates, which are verified on the text. A gram that was dropped from
-    the dictionary is no condition; a query without any gram left is verified on every document.
+def conditions(queries: DataFrame, stats: DataFrame, used: int = USED) -> DataFrame:
+    """q, gram, needed: the ``used`` rarest grams of each query that are in the dictionary, and how many those are. A query
+    without any has one row with a null gram."""
+    qs = queries.select("q").distinct().where(F.length("q") > 0)
+    asked = qs.select("q", F.explode_outer(grams(F.col("q"))).alias("gram")).join(stats, "gram", "left")
+    known = asked.select("q", F.when(F.col("df").isNotNull(), F.col("gram")).alias("gram"), "df").distinct()
+    w = Window.partitionBy("q").orderBy(F.col("df").asc_nulls_last(), "gram")  # over a query's grams
+    placed = known.select("q", "gram", F.row_number().over(w).alias("r"), F.count("gram").over(Window.partitionBy("q")).alias("n"))
+    return placed.where((F.col("r") <= used) & (F.col("gram").isNotNull() | (F.col("n") == 0))).select("q", "gram", F.least("n", F.lit(used)).alias("needed"))
+
+
+def candidate_blocks(wanted: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """q, block: the blocks in which all grams of a query's ``conditions`` are, from their bitmaps alone."""
+    met = wanted.where("gram IS NOT NULL").join(bitmaps, "gram").groupBy("q", "bucket", "needed").agg(F.bitmap_and_agg("blocks").alias("b"), F.count(F.lit(1)).alias("n"))
+    some = met.where((F.col("n") == F.col("needed")) & (F.bitmap_count("b") > 0))
+    at = some.select("q", "bucket", F.explode(_set_bits(F.col("b"))).alias("at"))
+    return at.select("q", ((F.col("bucket") - 1) * 32768 + F.col("at")).alias("block"))
+
+
+def substring_search(
+    queries: DataFrame, docs: DataFrame, index: DataFrame, drop_df: int = 2, used: int = USED, doc_id: str = "doc_id", text: str = "text",
+    stats: DataFrame | None = None, bitmaps: DataFrame | None = None, block: int = DOCS_A_BLOCK,
+) -> DataFrame:
+    """q, doc_id of documents that hold the query text. index (``trigram_index``) is needed where stats (``gram_stats``) or
+    bitmaps (``bitmap_index``) are not given; these are read best from tables.
+
+    The bitmaps of a query's rarest grams are and-ed, and the documents of the blocks that are left are compared with the
+    query. A gram that was dropped from the dictionary is no condition; a query without any gram left is compared with
+    every document.
     """
-    qs = queries.select("q").distinct()
-    asked = qs.select("q", F.explode(grams(F.col("q"))).alias("gram"))
-    own = asked.select("gram").distinct()
-    if own.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS:  # a few MB: postings of other grams go before any shuffle
-        own = F.broadcast(own)
-    if stats is None:
-        index = index.join(own, "gram", "left_semi")
-        stats = gram_stats(index, drop_df)
-    wanted = asked.join(stats, "gram")
-    w = Window.partitionBy("q").orderBy("df", "gram")
-    rare = wanted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= used).select("q", "gram")
-    needed = rare.groupBy("q").agg(F.count(F.lit(1)).alias("needed"))
-    hits = index.join(rare, "gram").groupBy("q", "doc_id").agg(F.count(F.lit(1)).alias("got")).join(needed, "q").where("got = needed").select("q", "doc_id")
+    stats = gram_stats(index, drop_df) if stats is None else stats
+    bitmaps = bitmap_index(index, block) if bitmaps is None else bitmaps
+    wanted = stored(conditions(queries, stats, used), "conditions")
     t = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
-    checked = hits.join(t, "doc_id").where(F.col("_t").contains(F.col("q")))
-    free = qs.join(needed, "q", "left_anti").where(F.length("q") > 0)
+    near = candidate_blocks(wanted, bitmaps).join(t.withColumn("block", F.expr(f"doc_id DIV {block}")), "block")
+    found = near.where(F.col("_t").contains(F.col("q"))).select("q", "doc_id")
+    free = wanted.where("gram IS NULL").select("q")
     if free.isEmpty():  # no text is read for these then
-        return checked.select("q", "doc_id")
-    whole = t.join(free, F.col("_t").contains(F.col("q")))
-    return checked.select("q", "doc_id").unionByName(whole.select("q", "doc_id"))
+        return found
+    return found.unionByName(t.join(free, F.col("_t").contains(F.col("q"))).select("q", "doc_id"))
+
+
+def search_report(queries: DataFrame, docs: DataFrame, stats: DataFrame, bitmaps: DataFrame, used: int = USED, block: int = DOCS_A_BLOCK) -> DataFrame:
+    """q, candidates, found, there, recall, precision: what the bitmaps leave of the documents, what the search gives, and what a
+    look at every text gives, for a stated set of queries. recall and precision are those of the bitmaps; precision is null
+    where they leave nothing."""
+    qs = queries.select("q").distinct().where(F.length("q") > 0)
+    blocks = docs.select("doc_id", F.expr(f"doc_id DIV {block}").alias("block"))
+    left = candidate_blocks(conditions(qs, stats, used), bitmaps).join(blocks, "block").select("q", "doc_id", F.lit(1).alias("candidate"))
+    true = docs.join(qs, F.col("text").contains(F.col("q"))).select("q", "doc_id", F.lit(1).alias("true"))  # the stated queries against all texts
+    both = left.join(true, ["q", "doc_id"], "full_outer")
+    sums = both.groupBy("q").agg(F.count("candidate").alias("candidates"), F.count_if(F.col("candidate").isNotNull() & F.col("true").isNotNull()).alias("found"), F.count("true").alias("there"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    share = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 6)
+    counts = qs.join(sums, "q", "left").select("q", *[zero(c) for c in ("candidates", "found", "there")])
+    return counts.select("*", F.coalesce(share("found", "there"), F.lit(1.0)).alias("recall"), share("found", "candidates").alias("precision"))

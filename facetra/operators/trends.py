@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetra.operators.ordered import numbered
 from facetra.specs import GAZETTE, CorpusSpec, FacetSpec
 
+#: Lanes in which values are ordered.
+LANES = 256
 #: Base under which a ratio means nothing.
 RATIO_FLOOR = 50
 
@@ -97,15 +100,25 @@ def sum_at(yearly: DataFrame, keys: list[str], year: str) -> DataFrame:
     return yearly.where(match & (F.col("year") == year)).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
 
 
-def quantile_cuts(values: DataFrame, n: str = "n", bands: int = 5) -> DataFrame:
-    """i, cut for i below ``bands``: the positive value at index floor(i * count / bands) of their order."""
+def quantile_cuts(values: DataFrame, n: str = "n", bands: int = 5, lanes: int = LANES) -> DataFrame:
+    """i, cut for i below ``bands``: the positive value at index floor(i * count / bands) of their order.
+
+    Distinct values are counted and dealt to lanes at approximate percentiles, which bound a lane's size but not the result:
+    lanes add up their counts, a row a lane, and each orders its own values.
+    """
     rows = values.where(F.col(n) > 0)
+    bounds = rows.agg(F.percentile_approx(n, [i / lanes for i in range(1, lanes)], F.lit(100 * lanes)).alias("_bounds"))
     order = rows.groupBy(F.col(n).alias("v")).agg(F.count(F.lit(1)).alias("c"))  # equal values together
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = order.select("v", "c", F.sum("c").over(w).alias("end"), F.sum("c").over(Window.partitionBy()).alias("all"))
-    wanted = placed.select("v", "c", "end", "all", F.explode(F.sequence(F.lit(1), F.lit(bands - 1))).alias("i"))
+    lane = F.size(F.filter("_bounds", lambda b: b <= F.col("v")))
+    placed = order.join(F.broadcast(bounds)).select("v", "c", lane.alias("lane"))  # one row
+    sums = placed.groupBy("lane").agg(F.sum("c").alias("s"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("lane", F.coalesce(F.sum("s").over(before(Window.orderBy("lane"))), F.lit(0)).alias("start"), F.sum("s").over(Window.partitionBy()).alias("all"))  # over lanes
+    inner = placed.withColumn("b", F.coalesce(F.sum("c").over(before(Window.partitionBy("lane").orderBy("v"))), F.lit(0)))
+    found = inner.join(starts, "lane").withColumn("begin", F.col("start") + F.col("b"))
+    wanted = found.select("v", "c", "begin", "all", F.explode(F.sequence(F.lit(1), F.lit(bands - 1))).alias("i"))
     at = F.floor(F.col("i") * F.col("all") / bands)
-    return wanted.where((at >= F.col("end") - F.col("c")) & (at < F.col("end"))).select(F.col("i").cast("int").alias("i"), F.col("v").alias("cut"))
+    return wanted.where((at >= F.col("begin")) & (at < F.col("begin") + F.col("c"))).select(F.col("i").cast("int").alias("i"), F.col("v").alias("cut"))
 
 
 def banded(values: DataFrame, cuts: DataFrame, n: str = "n") -> DataFrame:
@@ -116,8 +129,9 @@ def banded(values: DataFrame, cuts: DataFrame, n: str = "n") -> DataFrame:
 
 def ranked_shares(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     """key, n, rank, share of all."""
-    w = Window.orderBy(F.desc(n), key)
-    return counts.select(key, n, F.row_number().over(w).alias("rank"), F.round(F.col(n) / F.sum(n).over(Window.partitionBy()), 6).alias("share"))
+    total = counts.agg(F.sum(n).alias("_all"))
+    ranked = numbered(counts.select(key, n), [F.desc(n), key], "rank").join(F.broadcast(total))  # one row
+    return ranked.select(key, n, F.col("rank").cast("int").alias("rank"), F.round(F.col(n) / F.col("_all"), 6).alias("share"))
 
 
 def coverage(counts: DataFrame, key: str, total: Column | int, n: str = "n") -> DataFrame:

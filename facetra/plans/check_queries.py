@@ -3,12 +3,13 @@ columns derived from the tables, with faults at known places, so that each has s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetra.functions import text
 from facetra.operators import encode, lookup, quality
-from facetra.plans import publish
+from facetra.operators.ordered import with_running
+from facetra.plans import publish, versions
 from facetra.plans.registry import query
 from facetra.sources import jsonl, tables
 from facetra.storage import new_folder
@@ -108,7 +109,7 @@ def months_written(spark: SparkSession, d: str) -> DataFrame:
     """Records written by year and month and read back, a folder a month."""
     path = new_folder(spark, "months")
     publish.write_months(_rec(spark, d).select("id", "year", "month", "date", "title"), path)
-    back = spark.read.parquet(path)
+    back = versions.read_table(spark, path).withColumn("year", F.col("year").cast("int"))
     return back.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("date").alias("last"))
 
 
@@ -260,8 +261,7 @@ def bytes_of_files(spark: SparkSession, d: str) -> DataFrame:
     """A position index of documents by source, in which some lengths leave a byte out: gaps, and files that end later."""
     docs = tables.table(spark, d, "documents").select(F.col("source").alias("file"), "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"))
     docs = docs.where("length > 0").withColumn("taken", F.col("length") + F.when(F.col("doc_id") % 40 == 0, 1).otherwise(0))
-    run = F.sum("taken").over(Window.partitionBy("file").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    index = docs.withColumn("offset", (run - F.col("taken")).cast("long"))
+    index = with_running(docs, ["file"], "doc_id", "taken", "offset")
     return quality.bytes_accounted(index.select("file", "offset", "length"), sizes=docs.groupBy("file").agg(F.sum("taken").cast("long").alias("size")))
 
 

@@ -38,9 +38,7 @@ def _closure(spark: SparkSession, d: str) -> DataFrame:
 
 def topic_agency(spark: SparkSession, d: str) -> DataFrame:
     """year, topic (rolled up), agency, n."""
-    trusted = _rec(spark, d).where("topic_c AND agency IS NOT NULL")
-    counts = trusted.groupBy("year", "topic", "agency").agg(F.count(F.lit(1)).alias("n"))
-    return hierarchy.roll_up(counts, _closure(spark, d), keys=["year", "agency"]).select("year", "topic", "agency", "n")
+    return hierarchy.roll_up(tables.leaf_agencies(spark, d), _closure(spark, d), keys=["year", "agency"]).select("year", "topic", "agency", "n")
 
 
 @query("""

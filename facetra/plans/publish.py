@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetra.functions.text import coordinates, despaced, safe_name
 from facetra.operators.facets import newest_order, top
+from facetra.plans.versions import publish
+
+
+#: Rows of a file of the month sink.
+PER_FILE = 1_000_000
+
+
+def by_month(records: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """Records in tasks of about ``per_file`` rows, in the order of year, month, date and id from task to task and within
+    each: a large month is many tasks, small ones share one. The number of tasks comes from a count, their bounds from
+    Spark's sample of the whole order, so that no month, however large, is one task's."""
+    order = ["year", "month", F.coalesce("date", F.lit("")), "id"]
+    tasks = max(1, -(-records.count() // per_file))
+    return records.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
 
 
-def write_months(records: DataFrame, path: str) -> None:
-    """Records partitioned by year and month, by date and id within a file."""
-    dealt = records.repartition("year", "month").sortWithinPartitions("year", "month", F.coalesce("date", F.lit("")), "id")
-    dealt.write.mode("overwrite").partitionBy("year", "month").parquet(path)
+def write_months(records: DataFrame, path: str, per_file: int = PER_FILE, late: bool = False) -> None:
+    """Records partitioned by year and month, in files that follow each other by date and id. late: only the months that
+    ``records`` has are replaced, each whole, and in one step for readers (``read_table``)."""
+    publish(by_month(records, per_file), path, ("year", "month"), update=late, maxRecordsPerFile=2 * per_file)
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Write beside the folder at ``path`` (a URI) and put the new one in its place when it is whole: readers see the old
-    table or the new one, and a failed write leaves the old."""
-    new, old = (f"{path.rstrip('/')}.{x}-{uuid.uuid4().hex}" for x in ("new", "old"))
-    df.write.format(kind).save(new)
-    store, target = fs.FileSystem.from_uri(path)
-    at = lambda uri: fs.FileSystem.from_uri(uri)[1]
-    if store.get_file_info(target).type != fs.FileType.NotFound:
-        store.move(target, at(old))
-    store.move(at(new), target)
-    if store.get_file_info(at(old)).type != fs.FileType.NotFound:
-        store.delete_dir(at(old))
+    """The table at ``path`` replaced whole: readers (``read_table``) see the old one or the new one, and a failed write leaves
+    the old."""
+    publish(df, path, kind=kind)
 
 
 def with_names(df: DataFrame, names: dict[str, DataFrame]) -> DataFrame:

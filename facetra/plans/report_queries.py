@@ -215,9 +215,8 @@ o AS (SELECT agency, other, sum(least(n, m))::BIGINT AS n, string_agg(DISTINCT t
 SELECT agency, other, n, topics, rank FROM (SELECT *, row_number() OVER (PARTITION BY agency ORDER BY n DESC, other)::INT AS rank FROM o) WHERE rank <= 6
 """)
 def agency_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    rec = _rec(spark, d)
-    leaf = rec.where("topic_c AND agency IS NOT NULL AND topic IS NOT NULL").groupBy("topic", "agency").agg(F.count(F.lit(1)).alias("n"))
-    only = rec.groupBy("agency").count().where("count >= 5")
+    leaf = tables.leaf_agencies(spark, d).groupBy("topic", "agency").agg(F.sum("n").cast("long").alias("n"))
+    only = tables.agency_totals(spark, d).where("n >= 5")
     rolled = hierarchy.roll_up(leaf, tables.topic_closure(spark, d), keys=["agency"])
     return authority.overlaps(leaf, rolled, only)
 
@@ -396,10 +395,15 @@ _DIMS3 = """
 , dm AS (SELECT 'topic' AS kind, 1 AS kind_order, ancestor AS name, count(*)::BIGINT AS n FROM rec JOIN clo ON topic = descendant WHERE topic_c GROUP BY ancestor
   UNION ALL SELECT 'province', 2, province, count(*) FROM rec WHERE province IS NOT NULL GROUP BY province
   UNION ALL SELECT 'agency', 3, agency, count(*) FROM rec WHERE agency IS NOT NULL GROUP BY agency),
-qs AS (SELECT DISTINCT substring(p_brand, 6, 3) AS q FROM part UNION SELECT r_name FROM region UNION SELECT 'NATION _1'),
+qs AS (SELECT DISTINCT substring(p_brand, 6, 3) AS q FROM part UNION SELECT r_name FROM region UNION SELECT 'NATION _1'
+  UNION SELECT strftime(o_orderdate, '%Y-%m-%d') || '-' || lpad(o_orderkey::VARCHAR, 8, '0') FROM orders WHERE o_orderkey % 50 = 0
+  UNION SELECT (100 + n_nationkey) || '/' || (n_nationkey + 1) || ' ก/' || (n_nationkey + 2) FROM nation),
+lead AS (SELECT strftime(o_orderdate, '%Y-%m-%d') || '-' || lpad(o_orderkey::VARCHAR, 8, '0') AS q, 'document' AS kind, strftime(o_orderdate, '%Y-%m-%d') || '-' || lpad(o_orderkey::VARCHAR, 8, '0') AS name FROM orders WHERE o_orderkey % 50 = 0
+  UNION SELECT (100 + n_nationkey) || '/' || (n_nationkey + 1) || ' ก/' || (n_nationkey + 2), 'citation', 'เล่ม ' || (100 + n_nationkey) || ' ตอนที่ ' || (n_nationkey + 1) || ' ก หน้า ' || (n_nationkey + 2) FROM nation),
 h AS (SELECT q, kind, kind_order, name, n, starts_with(replace(name, ' ', ''), replace(q, ' ', '')) AS pre FROM dm JOIN qs ON contains(replace(name, ' ', ''), replace(q, ' ', ''))),
 k AS (SELECT *, row_number() OVER (PARTITION BY q, kind ORDER BY NOT pre, kind_order, n DESC, name) AS i FROM h)
-SELECT q, kind, name, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY NOT pre, kind_order, n DESC, name)::INT AS rank FROM k WHERE i <= 4) WHERE rank <= 8
+SELECT q, kind, name, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY lead DESC, NOT pre, kind_order, n DESC, name)::INT AS rank
+  FROM (SELECT q, kind, kind_order, name, n, pre, false AS lead FROM k WHERE i <= 4 UNION ALL SELECT q, kind, 0, name, NULL, true, true FROM lead)) WHERE rank <= 8
 """
 
 
@@ -410,7 +414,11 @@ def entity_search(spark: SparkSession, d: str) -> DataFrame:
     kind = lambda df, k, i, c: df.select(F.lit(k).alias("kind"), F.lit(i).alias("kind_order"), F.col(c).alias("name"), "n")
     count = lambda c: rec.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
     dims = kind(hierarchy.roll_up(leaf, tables.topic_closure(spark, d)), "topic", 1, "topic").union(kind(count("province"), "province", 2, "province")).union(kind(count("agency"), "agency", 3, "agency"))
+    k, key = F.col("n_nationkey"), F.col("o_orderkey")
+    ids = tables.table(spark, d, "orders").where(key % 50 == 0).select(F.concat_ws("-", F.date_format("o_orderdate", "yyyy-MM-dd"), F.lpad(key.cast("string"), 8, "0")))
+    pages = tables.table(spark, d, "nation").select(F.concat((k + 100).cast("string"), F.lit("/"), (k + 1).cast("string"), F.lit(" ก/"), (k + 2).cast("string")))
     qs = tables.table(spark, d, "part").select(F.substring("p_brand", 6, 3).alias("q")).union(tables.table(spark, d, "region").select("r_name")).union(spark.createDataFrame([("NATION _1",)], "q string"))
+    qs = qs.union(ids).union(pages)
     return search.entities(qs, dims)
 
 
@@ -443,14 +451,36 @@ def substring_search(spark: SparkSession, d: str) -> DataFrame:
 
     The last piece ends with the item and may overlap the one before, so that none but a short item's is short.
     """
-    docs = tables.table(spark, d, "documents")
+    docs, pieces = tables.table(spark, d, "documents"), _pieces(tables.table(spark, d, "benchmark"))
+    stats, bitmaps = tables.trigram_stats(spark, d), tables.gram_bitmaps(spark, d)
+    found = search.substring_search(pieces.select("q"), docs, None, stats=stats, bitmaps=bitmaps)
+    return pieces.join(found, "q").select("item_id", "piece", "q", "doc_id")
+
+
+def _pieces(items: DataFrame) -> DataFrame:
     n = F.length("text")
-    items = tables.table(spark, d, "benchmark").where(n > 0)
-    cut = items.select("item_id", "text", n.alias("n"), F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(PIECE))).alias("piece", "at"))
+    cut = items.where(n > 0).select("item_id", "text", n.alias("n"), F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(PIECE))).alias("piece", "at"))
     start = F.greatest(F.least("at", F.col("n") - PIECE), F.lit(0)) + 1
-    pieces = cut.select("item_id", "piece", F.substring("text", start, F.lit(PIECE)).alias("q"))
-    found = search.substring_search(pieces.select("q"), docs, tables.trigrams(spark, d), stats=tables.trigram_stats(spark, d))
-    return pieces.join(found, "q").select("item_id", "piece", "q", "doc_id")
+    return cut.select("item_id", "piece", F.substring("text", start, F.lit(PIECE)).alias("q"))
+
+
+@query(_GRAMS + """
+, p AS (SELECT text, length(text) AS n, unnest(range(0, length(text), 40)) AS k FROM benchmark WHERE length(text) > 0 AND item_id % 50 = 0),
+q AS (SELECT DISTINCT substring(text, greatest(least(k, n - 40), 0)::INT + 1, 40) AS q FROM p),
+df AS (SELECT gram, count(*) AS df FROM g GROUP BY gram HAVING count(*) > 2),
+qg AS (SELECT DISTINCT q, unnest(list_transform(range(1, length(q) - 1), lambda i: substring(q, i, 3))) AS gram FROM q),
+r AS (SELECT q, gram, row_number() OVER (PARTITION BY q ORDER BY df, gram) AS i, least(count(*) OVER (PARTITION BY q), 8) AS needed FROM qg JOIN df USING (gram)),
+b AS (SELECT q, doc_id // 8 AS block FROM r JOIN g USING (gram) WHERE i <= 8 GROUP BY q, doc_id // 8, needed HAVING count(DISTINCT gram) = needed),
+c AS (SELECT q, doc_id, contains(text, q) AS hit FROM b JOIN documents ON doc_id // 8 = block),
+t AS (SELECT q, count(*)::BIGINT AS there FROM q JOIN documents ON contains(text, q) GROUP BY q),
+s AS (SELECT q, count(*)::BIGINT AS candidates, count_if(hit)::BIGINT AS found FROM c GROUP BY q)
+SELECT q, coalesce(candidates, 0)::BIGINT AS candidates, coalesce(found, 0)::BIGINT AS found, coalesce(there, 0)::BIGINT AS there,
+  coalesce(round(found / there, 6), 1.0) AS recall, round(found / candidates, 6) AS precision FROM q LEFT JOIN s USING (q) LEFT JOIN t USING (q)
+""", base=False)
+def search_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and precision of the bitmaps for the pieces of every item whose id is divisible by 50, against all texts."""
+    docs, items = tables.table(spark, d, "documents"), tables.table(spark, d, "benchmark").where("item_id % 50 = 0")
+    return search.search_report(_pieces(items), docs.select("doc_id", "text"), tables.trigram_stats(spark, d), tables.gram_bitmaps(spark, d))
 
 
 # ---- links

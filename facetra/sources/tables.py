@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from facetra.operators.graph import eligible_label
 from facetra.operators.hierarchy import closure
-from facetra.operators.search import gram_stats, trigram_index
+from facetra.operators.search import bitmap_index, gram_stats, trigram_index
 from facetra.storage import derived
 
 
@@ -49,6 +49,28 @@ def trigram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, "trigram-stats", sf_dir, lambda: gram_stats(trigrams(spark, sf_dir)))
 
 
+def gram_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of documents by gram as bitmaps, from a derived table by gram."""
+    build = lambda: bitmap_index(trigrams(spark, sf_dir)).repartitionByRange("gram", "bucket")
+    return derived(spark, "gram-bitmaps", sf_dir, build)
+
+
+def leaf_agencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """year, topic, agency, n: trusted records by leaf topic, from a derived table that every report on agencies starts from."""
+
+    def build() -> DataFrame:
+        trusted = records(spark, sf_dir).where("topic_c AND agency IS NOT NULL AND topic IS NOT NULL")
+        return trusted.groupBy("topic", "year", "agency").agg(F.count(F.lit(1)).alias("n"))
+
+    return derived(spark, "leaf-agencies", sf_dir, build)
+
+
+def agency_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """agency, n of all records, from a derived table."""
+    build = lambda: records(spark, sf_dir, with_topics=False).where("agency IS NOT NULL").groupBy("agency").agg(F.count(F.lit(1)).alias("n"))
+    return derived(spark, "agency-totals", sf_dir, build)
+
+
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
     leaf = part.select(F.concat_ws("/", "p_type", "p_brand").alias("slug"), F.col("p_brand").alias("name"), F.col("p_type").alias("parent"))

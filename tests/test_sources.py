@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetra.operators import clean, facets, hierarchy
-from facetra.plans import publish
+from facetra.plans import publish, versions
 from facetra.sources import jsonl, synthetic
 
 HOST = "https://ratchakitcha.soc.go.th/documents"
@@ -82,14 +82,14 @@ def test_generated_records_are_the_same_however_dealt(spark):
 def test_publishing(spark, tmp_path):
     recs = synthetic.records(spark, [2024, 2025])
     publish.write_months(recs, f"{tmp_path}/months")
-    back = spark.read.parquet(f"{tmp_path}/months")
+    back = versions.read_table(spark, f"{tmp_path}/months")
     assert back.count() == 160 and back.where("year = 2024").count() == 80
     publish.write_csv(recs.select("id", "topic"), f"{tmp_path}/csv", {"topic": synthetic.topics(spark)})
     assert spark.read.csv(f"{tmp_path}/csv", header=True).where("topic = 'pollution waste'").count() == recs.where("topic = 'pollution_waste'").count()
     publish.write_table(recs.select("id"), f"{tmp_path}/t", "json")
-    assert spark.read.json(f"{tmp_path}/t").count() == 160
+    assert versions.read_table(spark, f"{tmp_path}/t").count() == 160
     publish.write_table(recs.select("id").limit(3), f"{tmp_path}/t", "json")  # in its place, with nothing left beside it
-    assert spark.read.json(f"{tmp_path}/t").count() == 3 and [p.name for p in tmp_path.glob("t*")] == ["t"]
+    assert versions.read_table(spark, f"{tmp_path}/t").count() == 3 and [p.name for p in tmp_path.glob("t*")] == ["t"]
     listed = publish.for_csv(recs.select("id", "topic"), {"topic": synthetic.topics(spark)}, "https://example.org/").first()
     assert listed.link == f"https://example.org/doc/{listed.id}"
     entries = publish.feeds(recs, "topic", ["agency"], least=10, newest=20, k=5)
