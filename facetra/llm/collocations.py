@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: One row in so many is in the sample, and the share of the expected count that a phrase needs there.
 SAMPLE, LOWERED = 8, 0.45
 SLOTS = 1 << 21
-BLOCK = 3_000_000
+BLOCK = 2_000_000
+#: Phrases that are put together as text at once.
+PIECE = 100_000
 #: Lanes that a language's phrases are ranked in before the best of all lanes are.
 LANES = 64
 UND = "und"
@@ -96,9 +99,9 @@ def block_counts(ids: np.ndarray, words: list[bytes], lang: str, levels: range,
     less are met and in ``bloom``; given where it was not met likewise with ``before``."""
     lexicon = pa.array(words, pa.binary())
     word_hash = _hashes(words)
-    at = np.flatnonzero(ids)
+    at = np.flatnonzero(ids).astype(np.int32)
     used, rank = np.unique(ids[at], return_inverse=True)
-    first = np.full(len(used), -1)
+    first = np.zeros(len(used), np.int32)
     first[rank[::-1]] = at[::-1]
     h = _chain(np.broadcast_to(_start(lang), len(used)), word_hash[used])
     old = np.full(len(used), before is not None)  # met with ``before`` too
@@ -110,19 +113,20 @@ def block_counts(ids: np.ndarray, words: list[bytes], lang: str, levels: range,
             held[at[good]] = rank[good]
             starts = at[good]
             starts = starts[held[starts + 1] >= 0]
-            keys = held[starts].astype(np.int64) * len(words) + ids[starts + k - 1]
-            coded = pa.array(keys).dictionary_encode()
-            new_rank, size = coded.indices.to_numpy(), len(coded.dictionary)
-            first = np.full(size, -1)
-            first[new_rank[::-1]] = starts[::-1]
-            h = _chain(h[held[first]], word_hash[ids[first + k - 1]])
+            coded = pa.array(held[starts].astype(np.int64) * len(words) + ids[starts + (k - 1)]).dictionary_encode()
+            at, rank, size = starts, coded.indices.to_numpy(), len(coded.dictionary)
+            first = np.zeros(size, np.int32)
+            first[rank[::-1]] = at[::-1]
+            h = _chain(h[held[first]], word_hash[ids[first + (k - 1)]])
             old = old_inside[held[first]] & old_inside[held[first + 1]]
-            at, rank = starts, new_rank
+            del coded, held, starts, good, inside, old_inside
         if k in levels:
             fresh = np.flatnonzero(~old)
-            counts = np.bincount(rank, minlength=len(h))[fresh]
-            parts = [lexicon.take(pa.array(ids[first[fresh] + i])) for i in range(k)]
-            yield (pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]), counts
+            counts = np.bincount(rank, minlength=len(h))
+            for i in range(0, len(fresh), PIECE):
+                some = fresh[i : i + PIECE]
+                parts = [lexicon.take(pa.array(ids[first[some] + j])) for j in range(k)]
+                yield (pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]), counts[some]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
@@ -161,11 +165,11 @@ def counted(rows: DataFrame, levels: range, least: int, sent: Broadcast, block:
         new, known = map(_unpacked, sent.value)
         for lang, ids, words in _blocks(batches, block):
             tail = pa.scalar(lang.encode("utf-8", "replace"), pa.binary())
-            out = [(pa.array([b""], pa.binary()), np.array([np.count_nonzero(ids)]))] if first == 1 else []
-            for phrases, counts in [*out, *block_counts(ids, words, lang, range(first, end), new, known)]:
+            whole = [(pa.array([b""], pa.binary()), np.array([np.count_nonzero(ids)]))] if first == 1 else []
+            for phrases, counts in chain(whole, block_counts(ids, words, lang, range(first, end), new, known)):
                 keys = pc.binary_join_element_wise(phrases, tail, b"\t").cast(pa.string())
-                table = pa.table({"key": keys, "n": pa.array(counts, pa.int64())})
-                yield from table.to_batches(max_chunksize=100_000)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64())], ["key", "n"])
+            pa.default_memory_pool().release_unused()
 
     sums = rows.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("f"))
     phrase = F.substring_index("key", "\t", 1)  # words hold no tab
