@@ -155,8 +155,22 @@ def _segment(conv: str, part: int, seg: int, rows: list[tuple], opens: bool) ->
     }
 
 
-def _sent(rows: list[dict], schema: StructType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema))
+class _Rows:
+    """Rows that go out together, some hundreds or some MB at a time."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.held, self.size = schema, [], 0
+
+    def add(self, row: dict, size: int = 0) -> Iterator[pa.RecordBatch]:
+        self.held.append(row)
+        self.size += size
+        if len(self.held) >= 500 or self.size >= SEGMENT_CHARS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield pa.RecordBatch.from_pylist(self.held, self.schema)
+        self.held, self.size = [], 0
 
 
 def segments(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
@@ -164,19 +178,22 @@ def segments(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
     ship(rows.sparkSession)
     order = ["conv", "turn", "role"]
     ordered = rows.repartitionByRange(*order, F.substring("text", 1, 64)).sortWithinPartitions(*order, "text")
+    schema = to_arrow_schema(SEGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seg, conv, held, chars, opens = TaskContext.get().partitionId(), 0, None, [], 0, False
+        out = _Rows(schema)
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if held and (row[0] != conv or len(held) >= size or chars >= SEGMENT_CHARS):
-                    yield _sent([_segment(conv, part, seg, held, opens)], SEGMENTS)
+                    yield from out.add(_segment(conv, part, seg, held, opens), chars)
                     seg, held, chars, opens = seg + 1, [], 0, row[0] != conv
                 conv = row[0]
                 held.append(row[1:])
                 chars += len(row[3])
         if held:
-            yield _sent([_segment(conv, part, seg, held, opens)], SEGMENTS)
+            yield from out.add(_segment(conv, part, seg, held, opens), chars)
+        yield from out.rest()
 
     return ordered.select("conv", "turn", "role", "text", "copies", "blank", "seen", "truncated").mapInArrow(run, SEGMENTS)
 
@@ -241,21 +258,20 @@ class _Conversation:
 
 def settled(cut: DataFrame) -> DataFrame:
     """FOUND: a row for each segment with the states where it begins and ends, and one for each conversation (part null)."""
+    schema = to_arrow_schema(FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out = None, []
+        now, out = None, _Rows(schema)
         for batch in batches:
             for s in batch.to_pylist():
                 if now is None or s["conv"] != now.conv:
-                    out += now.rows() if now else ()
+                    for row in now.rows() if now else ():
+                        yield from out.add(row, len(row.get("audit", "")))
                     now = _Conversation(s["conv"])
                 now.add(s)
-                if len(out) >= 1000:
-                    yield _sent(out, FOUND)
-                    out = []
-        out += now.rows() if now else ()
-        if out:
-            yield _sent(out, FOUND)
+        for row in now.rows() if now else ():
+            yield from out.add(row, len(row.get("audit", "")))
+        yield from out.rest()
 
     narrow = cut.select(*[c for c in cut.columns if c != "rows"])
     return narrow.repartition("conv").sortWithinPartitions("conv", "part", "seg").mapInArrow(run, FOUND)
@@ -295,12 +311,16 @@ def rendered(cut: DataFrame, found: DataFrame) -> DataFrame:
     way = F.filter("ways", lambda w: (w["start"] == F.col("start")) & (w["end"] == F.col("end")))[0]["letters"]
     chosen = found.where("part IS NOT NULL").select("part", "seg", "start", "end", "tail")
     ready = cut.join(chosen, ["part", "seg"]).select("conv", "part", "seg", "rows", F.concat(way, "tail").alias("letters"), "start")
+    schema = to_arrow_schema(SAID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows(schema)
         for batch in batches:
             for s in batch.to_pylist():
                 left = lines(s["rows"], s["letters"], s["start"])
-                yield _sent([{"conv": s["conv"], "part": s["part"], "seg": s["seg"], "n": len(left), "said": "\n".join(left)}], SAID)
+                said = "\n".join(left)
+                yield from out.add({"conv": s["conv"], "part": s["part"], "seg": s["seg"], "n": len(left), "said": said}, len(said))
+        yield from out.rest()
 
     return ready.mapInArrow(run, SAID)
 
