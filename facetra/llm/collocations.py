@@ -3,8 +3,9 @@
 A sample of the rows is mined level by level at a lowered threshold; its frequent phrases go into a filter. A full pass
 then counts, exactly, every phrase whose two parts of one word less are in the filter: these are the proposed phrases
 and their negative border, and all single words. Where a phrase of the border is frequent, the sample has failed there:
-such phrases join the filter, and a further pass counts what they make countable, until no frequent phrase is outside
-the filter. Then every frequent phrase has been counted, as its parts are frequent too and so were in the filter.
+such phrases join the filter, and an expansion pass counts all that they make countable, and all that this makes
+countable in turn. That closes the search: the parts of a frequent phrase are frequent, so each has been counted in the
+first pass and is in the filter, or was counted in the expansion, which then counts what it is a part of as well.
 
 The filter is a blocked Bloom filter of fixed size (``SLOTS`` words of 64 bits, 16 MB), the only thing that goes to all
 tasks, whatever the input's size. A phrase that it holds by chance is merely counted too. Tasks number words and phrases
@@ -37,9 +38,9 @@ from facetra.storage import stored
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: One row in so many is in the sample, and the share of the expected count that a phrase needs there.
-SAMPLE, LOWERED = 8, 0.45
+SAMPLE, LOWERED = 8, 0.7
 SLOTS = 1 << 21
-BLOCK = 2_000_000
+BLOCK = 1_500_000
 #: Phrases that are put together as text at once.
 PIECE = 100_000
 #: Lanes that a language's phrases are ranked in before the best of all lanes are.
@@ -96,7 +97,8 @@ def _holds(bloom: np.ndarray | None, h: np.ndarray) -> np.ndarray:
 
 def block_counts(ids: np.ndarray, words: list[bytes], lang: str, levels: range, bloom, before) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Phrases and counts of a block of word numbers (0: break), level by level. A phrase is met where its parts of one word
-    less are met and in ``bloom``; given where it was not met likewise with ``before``."""
+    less are met and in ``bloom``. In an expansion, where ``before`` is the filter of the first pass, those are given that were
+    not met then, and they are parts of further ones without being in the filter."""
     lexicon = pa.array(words, pa.binary())
     word_hash = _hashes(words)
     at = np.flatnonzero(ids).astype(np.int32)
@@ -104,10 +106,12 @@ def block_counts(ids: np.ndarray, words: list[bytes], lang: str, levels: range,
     first = np.zeros(len(used), np.int32)
     first[rank[::-1]] = at[::-1]
     h = _chain(np.broadcast_to(_start(lang), len(used)), word_hash[used])
-    old = np.full(len(used), before is not None)  # met with ``before`` too
+    old = np.full(len(used), before is not None)  # met in the first pass
     for k in range(1, levels.stop):
         if k > 1:
             inside, old_inside = _holds(bloom, h), old & _holds(before, h)
+            if before is not None:
+                inside |= ~old
             held = np.full(len(ids) + 1, -1, np.int32)
             good = inside[rank]
             held[at[good]] = rank[good]
@@ -215,19 +219,16 @@ def frequent(
         sent = sc.broadcast(packed(bloom, None))
         bloom = joined(bloom, counted(some, range(k, k + 1), max(1, round(least / sample * lowered)), sent, block))
         sent.destroy()
-    parts, before, levels = [], None, range(1, LONGEST + 1)
-    while True:
-        sent = sc.broadcast(packed(bloom, before))
-        parts.append(stored(counted(rows, levels, least, sent, block), "phrases"))
-        sent.destroy()
-        before, bloom = bloom, joined(bloom, parts[-1])
-        if np.array_equal(before, bloom):
-            break
-        levels = range(2, LONGEST + 1)
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    sent = sc.broadcast(packed(bloom, None))
+    found = stored(counted(rows, range(1, LONGEST + 1), least, sent, block), "phrases")
+    sent.destroy()
+    wider = joined(bloom, found)
+    if np.array_equal(bloom, wider):  # nothing frequent is outside the filter
+        return found
+    sent = sc.broadcast(packed(wider, bloom))
+    more = stored(counted(rows, range(2, LONGEST + 1), least, sent, block), "phrases")
+    sent.destroy()
+    return found.unionByName(more)
 
 
 def ranked(found: DataFrame, top: int = TOP, lanes: int = LANES) -> DataFrame:
