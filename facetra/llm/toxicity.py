@@ -12,7 +12,8 @@ that only features that pass reach the driver, however many others are more freq
 share of toxic labels, one without any gets the share of toxic ones among such texts, both learned.
 
 Time and memory grow in proportion to a passage's length: where a lattice has one state left, its reading so far is
-settled, and a stretch that stays ambiguous for ``STRETCH`` signs is settled there.
+settled, and every ``STRETCH`` signs what all paths that are still alive have in common. Readings are exact however long a
+passage stays ambiguous.
 
 Defined results: null, empty and wordless texts get the model's base score; labels other than 0 and 1 and null labels
 are not learned from, and without both classes nothing is toxic; of rows that share an id one is learned from; repeated
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from facetra.llm.common import crc_mod, fresh, ship
+from facetra.llm.common import crc_mod, fresh, mapped, ship
 from facetra.llm.quality_model import training_rows
 from facetra.storage import clean, mark, stored
 
@@ -57,7 +58,7 @@ BASE = 0.04
 MODULUS, HELD = 3, 1
 #: Passages that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 200_000, 256
-#: Ambiguous signs in a row that one lattice holds.
+#: Ambiguous signs after which paths are looked through for what they share.
 STRETCH = 4096
 
 #: Signs and the letters that they stand for.
@@ -159,19 +160,19 @@ def readings(passage: str) -> Iterator[list[tuple[str, float]]]:
 
 
 def restore(passage: str, model) -> str:
-    """The likeliest reading of a passage (Viterbi over the last two symbols). Paths are chains of back pointers, which
-    end where a single state is left."""
+    """The likeliest reading of a passage (Viterbi over the last two symbols). Paths are chains of back pointers, which end
+    where a single state is left or where all paths have been the same so far."""
     out: list[str] = []
-    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    best: dict[tuple[int, int], tuple[float, list | None]] = {(0, 0): (0.0, None)}
     depth = 0
     for ways in itertools.chain(readings(passage), [[(" ", 0.0)]]):
         if len(best) == 1 and len(ways) == 1:  # nothing to choose
             (x, y), (_, path) = next(iter(best.items()))
             for c in ways[0][0][-2:]:
                 x, y = y, _code(c)
-            best = {(x, y): (0.0, (path, ways[0][0]))}
+            best = {(x, y): (0.0, [path, ways[0][0]])}
         else:
-            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            new: dict[tuple[int, int], tuple[float, list | None]] = {}
             for (a, b), (cost, path) in best.items():
                 for text, extra in ways:
                     x, y, total = a, b, cost + extra
@@ -181,17 +182,41 @@ def restore(passage: str, model) -> str:
                             total -= model[x][y][z]
                         x, y = y, z
                     if (x, y) not in new or total < new[x, y][0]:
-                        new[x, y] = (total, (path, text))
+                        new[x, y] = (total, [path, text])
             best = new
         depth += 1
-        if len(best) == 1 or depth == STRETCH:
-            state = min(best, key=lambda s: (best[s][0], s))
-            out.append(_said(best[state][1]))
+        if len(best) == 1:
+            ((state, (_, path)),) = best.items()
+            out.append(_said(path))
             best, depth = {state: (0.0, None)}, 0
+        elif depth % STRETCH == 0:
+            out.append(_shared([path for _, path in best.values()]))
     return ("".join(out) + _said(min(best.values(), key=lambda v: v[0])[1])).strip()
 
 
-def _said(path: tuple | None) -> str:
+def _shared(paths: list[list | None]) -> str:
+    """What the paths have in common from their beginning, which is cut off them."""
+    trunk, node = [], paths[0]
+    while node is not None:
+        trunk.append(node)
+        node = node[0]
+    place = {id(n): i for i, n in enumerate(trunk)}
+    cut = 0
+    for path in paths[1:]:
+        branch, node = [], path
+        while node is not None and id(node) not in place:
+            branch.append(node)
+            node = node[0]
+        at = len(trunk) if node is None else place[id(node)]
+        place |= {id(n): at for n in branch}  # seen: where it leaves the first path
+        cut = max(cut, at)
+    said = "".join(n[1] for n in reversed(trunk[cut:]))
+    if cut < len(trunk):
+        trunk[cut][:] = [None, ""]
+    return said
+
+
+def _said(path: list | None) -> str:
     parts = []
     while path is not None:
         path, text = path
@@ -364,7 +389,7 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns in keep) with held_out, score and predicted."""
     ship(docs.sparkSession)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "score", "predicted")]
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("held_out", "score", "predicted")]
     held = (crc_mod(f"`{doc_id}`", MODULUS) == HELD).alias("held_out")
     rows = docs.select(*[F.col(f"`{c}`") for c in names], held, F.col(f"`{text}`").cast("string").alias(fresh(docs.columns, "body")))
     schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("score double")])
@@ -378,4 +403,4 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             scores = [known.score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], schema.names)
 
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return mapped(rows, run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
