@@ -1,7 +1,8 @@
 """Chat formatting with cumulative-snapshot collapse.
 
-Logs often hold a conversation many times, once after each turn. A turn's hash covers its place, role and text, and the
-running sum of the hashes up to a turn names the prefix that ends there. A conversation whose whole name is the name of
+Logs often hold a conversation many times, once after each turn. A turn's hash covers its turn number, role and text, and
+the running sum of the hashes up to a turn names the prefix that ends there: logs of one system number their turns alike,
+and a log with other numbers is another conversation. A conversation whose whole name is the name of
 a proper prefix of another is dropped by an anti-join, equal conversations keep the one with the smallest id, and what
 stays is rendered. Sums run in chunks of turn numbers, so one very long conversation is spread over tasks, and its text
 meets only when it is rendered.

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Lanes that a large group is dealt into before its rows are numbered.
 LANES = 256
@@ -40,6 +42,19 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """rows.mapInArrow(run, schema), whatever the columns are called, dots and doubles included: they travel under the names
+    of their places."""
+    places = [f"c{i}" for i in range(len(schema))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, places)
+
+    neutral = StructType([StructField(c, f.dataType, f.nullable) for c, f in zip(places, schema, strict=True)])
+    return rows.toDF(*[f"r{i}" for i in range(len(rows.columns))]).mapInArrow(renamed, neutral).toDF(*schema.names)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

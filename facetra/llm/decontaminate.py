@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from facetra.llm.common import fresh, ship
+from facetra.llm.common import fresh, mapped, ship
 from facetra.storage import stored
 
 WINDOW = 10
@@ -134,7 +134,7 @@ def _scan_block(docs: DataFrame, text: str, block: dict[str, list[str]], names:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *new], [*[batch.schema.names[i] for i in kept], *names])
 
     fields = [StructField(n, f.dataType) for n, f in zip(names, StructType.fromDDL(OUT), strict=True)]
-    return docs.mapInArrow(run, StructType([*[docs.schema[i] for i in kept], *fields]))
+    return mapped(docs, run, StructType([*[docs.schema[i] for i in kept], *fields]))
 
 
 RESULTS = ("n_words", "hit_ranges", "hit_items", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -147,8 +147,8 @@ def decontaminate(
     """docs (or its columns in keep) with n_words, hit_ranges (merged word ranges), hit_items (ids, sorted as strings), n_hit, n_items,
     items_sha256, contaminated. An input column with such a name is replaced; keep cannot name one."""
     ship(docs.sparkSession)
-    columns = [c for c in docs.columns if c not in RESULTS or c == text]
-    wanted = [c for c in (columns if keep is None else keep) if c not in RESULTS]
+    columns = [c for c in docs.columns if c.lower() not in RESULTS or c == text]
+    wanted = [c for c in (columns if keep is None else keep) if c.lower() not in RESULTS]
     found = docs.select(*[F.col(f"`{c}`") for c in columns])
     dealt = patterns(items, item_id, item_text)
     cost = F.length("pattern") + F.length("item") + 8

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from facetra.llm.common import crc_mod, fresh, ship
+from facetra.llm.common import crc_mod, fresh, mapped, ship
 
 HIDDEN = 8
 #: Labelled texts of each language that the network is trained on, about and at most.
@@ -256,7 +256,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def identify(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns in keep) with held_out, lang_pred and score."""
     ship(docs.sparkSession)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "lang_pred", "score")]
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("held_out", "lang_pred", "score")]
     body = F.when(F.col(f"`{text}`").rlike(r"\p{L}"), F.col(f"`{text}`").cast("string"))
     rows = docs.select(*[F.col(f"`{c}`") for c in names], (crc_mod(f"`{doc_id}`", HELD_MODULUS) == 0).alias("held_out"), body.alias(fresh(docs.columns, "body")))
     schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL("lang_pred string, score double")])
@@ -277,4 +277,4 @@ def identify(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str =
                             langs[i], scores[i] = net.langs[k], min(1.0, float(p[i, k]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)

@@ -158,6 +158,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = STATISTICS, seed:
         for path, value in leaves:
             f += 0.3 * np.clip(value, -4, 4) * _holds(path, x)
     rules = list(dict.fromkeys(rules))
+    if not rules:  # too few rows to tell any apart
+        return Model(names, (), (), float(np.log(y.mean() / (1 - y.mean()))))
     z = np.stack([_holds(rule, x) for rule in rules], 1).astype(float)
     some = np.flatnonzero((z.mean(0) > 0.002) & (z.mean(0) < 0.998))
     _, first = np.unique(z[:, some], axis=1, return_index=True)  # rules that hold for the same rows count once

@@ -44,7 +44,7 @@ FROM rules, bits GROUP BY rule
 
 OP3 = r"""
 WITH t AS (
-  SELECT conv_id, coalesce(role, '<null>') || chr(1) || turn || chr(1) || coalesce(text, '<null>') || chr(2) AS k,
+  SELECT conv_id, coalesce(role, '<null>') || chr(1) || coalesce(turn::VARCHAR, '<null>') || chr(1) || coalesce(text, '<null>') || chr(2) AS k,
          '<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS s,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
   FROM conversations WHERE conv_id IS NOT NULL),
