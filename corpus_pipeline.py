@@ -50,13 +50,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
     if repeated.isEmpty():
         kept = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
-        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+        return docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     row, group = fresh(docs.columns, "row"), fresh(docs.columns, "group")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     found = near_dedup.near_duplicates(rows.select(row, "text"), doc_id=row).select(F.col("doc_id").alias(row), F.col("component_id").alias(group))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row)
     first = rows.join(found, row).groupBy(group).agg(F.min_by(row, order).alias(row)).select(row)
-    return rows.join(first, row, "left_semi").select(*docs.columns)
+    return rows.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
