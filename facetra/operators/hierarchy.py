@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parents are followed so many steps at most; a longer chain is an error, as is a cycle.
+#: Parents are followed so many steps at most; a longer chain is an error, as is a cycle. The engine also stops a recursive
+#: query at spark.sql.cteRecursionRowLimit rows (a million by default): a tree has nodes times depth of them.
 MAX_DEPTH = 12
 
 

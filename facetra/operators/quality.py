@@ -107,22 +107,45 @@ def corroboration(labels: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("rate", F.round(F.col("corroborated") / F.col("n"), 6))
 
 
-def dates_valid(df: DataFrame, date: str = "date", key: str = "id", sentinel: str = "1970-01-01") -> DataFrame:
-    bad = df.where(F.col(date).isNotNull() & (F.try_to_date(F.col(date), "yyyy-MM-dd").isNull() | (F.col(date) == sentinel)))
-    return _rows(bad, "date", F.col(key), F.lit("a date"), F.col(date))
+def _entry(check: str, key: str, expected: Column, actual: Column, bad: Column) -> Column:
+    """What a check of single rows says of one: a row of COLUMNS where it is bad, else null."""
+    s = lambda c: c.cast("string")
+    return F.when(bad, F.struct(F.lit(check).alias("check"), s(F.col(key)).alias("key"), s(expected).alias("expected"), s(actual).alias("actual")))
 
 
-def year_matches(df: DataFrame, offset: int, slack: int = 1, since: int = 0, year: str = "year", volume: str = "volume", key: str = "id") -> DataFrame:
+def by_row(df: DataFrame, *entries: Column) -> DataFrame:
+    """Several checks of single rows in one pass over them."""
+    return df.select(F.inline(F.array_compact(F.array(*entries))))
+
+
+def date_entry(date: str = "date", key: str = "id", sentinel: str = "1970-01-01") -> Column:
+    """A date that is there is one."""
+    bad = F.col(date).isNotNull() & (F.try_to_date(F.col(date), "yyyy-MM-dd").isNull() | (F.col(date) == sentinel))
+    return _entry("date", key, F.lit("a date"), F.col(date), bad)
+
+
+def year_entry(offset: int, slack: int = 1, since: int = 0, year: str = "year", volume: str = "volume", key: str = "id") -> Column:
     """year = volume + offset, within a slack."""
     y = F.col(year).cast("int")
-    bad = df.where((y >= since) & (F.abs(y - F.col(volume) - offset) > slack))
-    return _rows(bad, "year", F.col(key), F.col(volume) + offset, y)
+    return _entry("year", key, F.col(volume) + offset, y, (y >= since) & (F.abs(y - F.col(volume) - offset) > slack))
+
+
+def id_year_entry(key: str = "id", year: str = "year") -> Column:
+    """An id begins with the year of its file."""
+    own = F.substring(F.col(key).cast("string"), 1, 4)
+    return _entry("id_year", key, F.col(year), own, own != F.col(year))
+
+
+def dates_valid(df: DataFrame, date: str = "date", key: str = "id", sentinel: str = "1970-01-01") -> DataFrame:
+    return by_row(df, date_entry(date, key, sentinel))
+
+
+def year_matches(df: DataFrame, offset: int, slack: int = 1, since: int = 0, year: str = "year", volume: str = "volume", key: str = "id") -> DataFrame:
+    return by_row(df, year_entry(offset, slack, since, year, volume, key))
 
 
 def id_year(df: DataFrame, key: str = "id", year: str = "year") -> DataFrame:
-    """Ids begin with the year of their file."""
-    bad = df.where(F.substring(F.col(key).cast("string"), 1, 4) != F.col(year))
-    return _rows(bad, "id_year", F.col(key), F.col(year), F.substring(F.col(key).cast("string"), 1, 4))
+    return by_row(df, id_year_entry(key, year))
 
 
 def one_date_per_issue(df: DataFrame, by: tuple[str, ...] = ("volume", "part")) -> DataFrame:

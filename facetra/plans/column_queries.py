@@ -153,9 +153,20 @@ def title_spans(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.col("s")[0]["start"].alias("start"), F.col("s")[0]["end"].alias("end"), F.size("s").alias("found"), F.size("t").alias("twins"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, E' \t\n\r\f\x0b')), lambda x: x <> '') AS ps FROM documents),
+s AS (
+  SELECT doc_id, text, list_reduce(ps, lambda a, p: CASE
+    WHEN a.done THEN a
+    WHEN length(p) <= 400 - a.used THEN {'shown': list_append(a.shown, p), 'used': a.used + length(p), 'done': false}
+    WHEN 400 - a.used > 50 THEN {'shown': list_append(a.shown,
+      CASE WHEN length(regexp_extract(p[1:401 - a.used], '(?s)^(.*)\n', 1)) > 50 THEN p[1:length(regexp_extract(p[1:401 - a.used], '(?s)^(.*)\n', 1))] ELSE p[1:400 - a.used] END),
+      'used': a.used, 'done': true}
+    ELSE {'shown': a.shown, 'used': a.used, 'done': true} END, {'shown': []::VARCHAR[], 'used': 0::BIGINT, 'done': false}).shown AS shown FROM p)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(shown, chr(10) || chr(10)) END AS shown, len(shown)::INT AS n FROM s
+""", base=False)
 def text_previews(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's paragraphs within a budget of 400 characters; held against brute force in tests."""
+    """Each document's paragraphs within a budget of 400 characters."""
     shown = text.preview(text.paragraphs(F.col("text")), 400, 50)
     return tables.table(spark, d, "documents").select("doc_id", F.array_join(shown, "\n\n").alias("shown"), F.size(shown).alias("n"))
 

@@ -581,8 +581,8 @@ def check_report(spark: SparkSession, d: str) -> DataFrame:
     lines = tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     return quality.together(
         quality.duplicates(rec, ["volume", "part", "page"], "coordinates"), quality.one_date_per_issue(rec),
-        quality.duplicates(lines, ["l_orderkey", "l_linenumber"]), quality.id_year(rec),
-        quality.sorted_within(encode.positions(rec)), quality.dates_valid(rec), quality.year_matches(rec, 1994, 0),
+        quality.duplicates(lines, ["l_orderkey", "l_linenumber"]), quality.by_row(rec, quality.id_year_entry(), quality.date_entry(), quality.year_entry(1994, 0)),
+        quality.sorted_within(encode.positions(rec)),
         quality.directory_contiguous(encode.month_directory(rec), rec), quality.series_complete(trends.series(rec, GAZETTE.dim("action")), rec.select("year").distinct()),
     )
 

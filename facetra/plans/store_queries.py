@@ -13,7 +13,7 @@ from facetra.plans.check_queries import _write_layers
 from facetra.plans.registry import query
 from facetra.sources import contract, jsonl, tables
 from facetra.specs import GAZETTE
-from facetra.storage import derived, new_folder
+from facetra.storage import new_folder
 
 
 def _rec(spark: SparkSession, d: str) -> DataFrame:
@@ -192,12 +192,6 @@ def records_of_ids(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- counts from a cuboid
 
-CUBE = cuboid.Cuboid(("action", "govlevel", "province"))
-
-
-def _cube(spark: SparkSession, d: str) -> DataFrame:
-    return derived(spark, "cuboid", d, lambda: CUBE.build(tables.records(spark, d, with_topics=False)).coalesce(1))  # at most months times the dimensions' values
-
 
 @query("""
 SELECT facet, value, count(*)::BIGINT AS n FROM (
@@ -211,15 +205,15 @@ WHERE value IS NOT NULL GROUP BY ALL
 """)
 def crossfilter_from_cuboid(spark: SparkSession, d: str) -> DataFrame:
     """Five facets, each with its own filter lifted, from stored counts."""
-    f, dims = cf.Filters(equal={"action": "2-HIGH", "year": "1996"}), ("year", "month", *CUBE.dims)
-    rows, spec, weight = cuboid.source(CUBE, _cube(spark, d), _rec(spark, d), f, dims)
+    f, dims = cf.Filters(equal={"action": "2-HIGH", "year": "1996"}), ("year", "month", *tables.CUBE.dims)
+    rows, spec, weight = cuboid.source(tables.CUBE, tables.cube(spark, d), _rec(spark, d), f, dims)
     return cf.cross_filter(rows, f, spec, dims, weight)
 
 
 @query("SELECT province, action, count(*)::BIGINT AS n FROM rec WHERE govlevel_c AND govlevel = 'O' AND action_c AND action IS NOT NULL AND province IS NOT NULL GROUP BY ALL")
 def groupby_from_cuboid(spark: SparkSession, d: str) -> DataFrame:
     f, by = cf.Filters(equal={"govlevel": "O"}), ["province", "action"]
-    rows, spec, weight = cuboid.source(CUBE, _cube(spark, d), _rec(spark, d), f, by)
+    rows, spec, weight = cuboid.source(tables.CUBE, tables.cube(spark, d), _rec(spark, d), f, by)
     return cf.grouped(rows, f, by, spec, weight)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetra.operators.cuboid import Cuboid
 from facetra.operators.graph import eligible_label
 from facetra.operators.hierarchy import closure
 from facetra.operators.search import bitmap_index, gram_stats, trigram_index
@@ -71,6 +72,15 @@ def agency_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, "agency-totals", sf_dir, build)
 
 
+#: Dimensions of the stored counts.
+CUBE = Cuboid(("action", "govlevel", "province"))
+
+
+def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by month and CUBE's dimensions, from a derived table of at most months times their values."""
+    return derived(spark, "cuboid", sf_dir, lambda: CUBE.build(records(spark, sf_dir, with_topics=False)).coalesce(1))
+
+
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
     leaf = part.select(F.concat_ws("/", "p_type", "p_brand").alias("slug"), F.col("p_brand").alias("name"), F.col("p_type").alias("parent"))
