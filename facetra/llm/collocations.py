@@ -38,7 +38,7 @@ from facetra.storage import stored
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: One row in so many is in the sample, and the share of the expected count that a phrase needs there.
-SAMPLE, LOWERED = 8, 0.7
+SAMPLE, LOWERED = 8, 0.9
 SLOTS = 1 << 21
 BLOCK = 1_500_000
 #: Phrases that are put together as text at once.
@@ -107,6 +107,7 @@ def block_counts(ids: np.ndarray, words: list[bytes], lang: str, levels: range,
     first[rank[::-1]] = at[::-1]
     h = _chain(np.broadcast_to(_start(lang), len(used)), word_hash[used])
     old = np.full(len(used), before is not None)  # met in the first pass
+    order = np.arange(len(used))
     for k in range(1, levels.stop):
         if k > 1:
             inside, old_inside = _holds(bloom, h), old & _holds(before, h)
@@ -119,13 +120,14 @@ def block_counts(ids: np.ndarray, words: list[bytes], lang: str, levels: range,
             starts = starts[held[starts + 1] >= 0]
             coded = pa.array(held[starts].astype(np.int64) * len(words) + ids[starts + (k - 1)]).dictionary_encode()
             at, rank, size = starts, coded.indices.to_numpy(), len(coded.dictionary)
+            order = np.argsort(coded.dictionary.to_numpy())  # by what comes before the last word: neighbours share it, which packs well
             first = np.zeros(size, np.int32)
             first[rank[::-1]] = at[::-1]
             h = _chain(h[held[first]], word_hash[ids[first + (k - 1)]])
             old = old_inside[held[first]] & old_inside[held[first + 1]]
             del coded, held, starts, good, inside, old_inside
         if k in levels:
-            fresh = np.flatnonzero(~old)
+            fresh = order[~old[order]]
             counts = np.bincount(rank, minlength=len(h))
             for i in range(0, len(fresh), PIECE):
                 some = fresh[i : i + PIECE]
