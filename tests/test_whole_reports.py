@@ -2,6 +2,9 @@
 
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
+from facetra.operators import lookup
 from facetra.plans import report_queries as rq
 from facetra.sources import tables
 
@@ -47,3 +50,17 @@ def test_whole_items_are_searched(spark, sf_dir, tmp_path):
             want += [(i, k, q, j) for j, text in docs if q in (text or "")]
     got = pairs(rq.substring_search(spark, str(tmp_path)))
     assert got == sorted(want) and (1, 2, item[-40:], 10) in got
+
+
+def test_siblings_are_ranked_without_sorting_pairs(spark, monkeypatch, capsys):
+    monkeypatch.setattr(lookup, "LISTED", 3)  # several lists an issue
+    rows = [(i, i % 3 or None, "ab"[i % 2], i * 7 % 5 or None) for i in range(60)]
+    recs = spark.createDataFrame(rows, "id int, volume int, part string, page int")
+    found = lookup.siblings(recs, recs.where("id % 4 = 0").select("id"))
+    want = []
+    for of, volume, part, _ in rows[::4]:
+        others = sorted((r[3] or 0, r[0], r[3]) for r in rows if volume is not None and r[1:3] == (volume, part) and r[0] != of)
+        want += [(of, i, page, rank) for rank, (_, i, page) in enumerate(others, 1)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    found.agg(F.count("rank")).explain()
+    assert "row_number" not in capsys.readouterr().out
