@@ -117,3 +117,21 @@ def test_checks_find_what_is_wrong(spark):
     other = recs.select("id", "date").limit(1).withColumn("date", F.lit("2020-01-04"))
     assert [r.days for r in quality.layers_differ(recs.select("id", "date").limit(1), other, "id", "date").collect()] == [-3]
     assert quality.marker_share(recs, "volume", F.col("page") > 1).count() == 2
+
+
+def test_counts_of_texts_are_those_of_postings(spark):
+    texts = ["the quick brown fox", "quick \x00thinking 😀 quick", "", None, "ab", "quick brown 😀 foxes"]
+    docs = spark.createDataFrame([(i * 100_000, texts[i % len(texts)]) for i in range(30)], "doc_id long, text string")
+    index, rows = search.trigram_index(docs), lambda df: sorted(map(tuple, df.collect()))
+    assert rows(search.document_stats(docs)) == rows(search.gram_stats(index)) != []
+    assert rows(search.document_bitmaps(docs)) == rows(search.bitmap_index(index)) != []
+
+
+def test_long_queries_meet_texts_by_anchors(spark, capsys):
+    passage = "a passage 😀 of many signs that goes on, ends here"
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([passage, "x" + passage[3:], passage[:23], passage[:24], None, "y" * 60, passage * 3])], "doc_id long, text string")
+    qs = [passage, passage[3:30], passage[:24], passage[:23], passage[5:], "y" * 24, passage[20:] + passage[:5]]
+    found = search.substring_search(spark.createDataFrame([(q,) for q in qs], "q string"), docs, search.trigram_index(docs), drop_df=0)
+    assert sorted(map(tuple, found.collect())) == sorted((q, r.doc_id) for r in docs.collect() for q in qs if q in (r.text or ""))
+    found.explain()
+    assert "anchor" in capsys.readouterr().out
