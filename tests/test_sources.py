@@ -101,3 +101,15 @@ def test_publishing(spark, tmp_path):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
     assert [tuple(r) for r in publish.upsert(old, spark.createDataFrame([("b", 9), ("c", 3)], "id string, n int")).collect()] == [("a", 1), ("b", 9), ("c", 3)]
     assert publish.build_meta(recs, {"source": "generated"}).collect()[0].total == 160
+
+
+def test_records_move_codes_of_labels(spark, sf_dir, capsys):
+    from facetra.sources import tables
+
+    want = tables.headlines(tables.labels(spark, sf_dir)).collect()
+    rows = {r.id: r for r in tables.records(spark, sf_dir).collect()}
+    assert all((rows[w.id].topic, rows[w.id].topic_c, rows[w.id].slugs) == (w.topic, w.topic_c, w.slugs) for w in want if w.id in rows)
+    assert sum(r.topic is not None for r in rows.values()) == len({w.id for w in want} & set(rows)) > 0
+    tables._records(spark, sf_dir).explain()
+    shuffled = capsys.readouterr().out.split("Exchange hashpartitioning", 1)[1]
+    assert "concat_ws( , Order" not in shuffled
