@@ -10,6 +10,8 @@ from facetra.specs import GAZETTE, CorpusSpec, FacetSpec
 
 #: Rows of a newest list, entries of a ranked list, and the least size of a page.
 RECENT, TOP, MIN_PAGE = 30, 50, 5
+#: Rows that one task counts where keys are many.
+PER_TASK = 500_000
 
 
 def newest_order(spec: CorpusSpec = GAZETTE) -> list[Column]:
@@ -20,12 +22,18 @@ def _pairs(dims: tuple[FacetSpec, ...]) -> Column:
     return F.array(*[F.struct(F.lit(d.dim).alias("dim"), d.value().cast("string").alias("value")) for d in dims])
 
 
-def facet_counts(df: DataFrame, key: str | None = None, spec: CorpusSpec = GAZETTE, dims: tuple[FacetSpec, ...] | None = None) -> DataFrame:
-    """(key,) dim, value, n over all dimensions in one pass: each row is exploded, and counts combine before the shuffle."""
+def facet_counts(df: DataFrame, key: str | None = None, spec: CorpusSpec = GAZETTE, dims: tuple[FacetSpec, ...] | None = None, many: bool = False) -> DataFrame:
+    """(key,) dim, value, n over all dimensions in one pass: each row is exploded, and counts combine before the shuffle.
+
+    many: keys are so many that hardly any counts combine. Rows are then dealt by key and year in tasks of about ``PER_TASK``
+    rows, so that a task's memory does not follow the size of a file's split."""
     dims = dims or spec.dims
     total = F.array(F.struct(F.lit("total").alias("dim"), F.lit("").alias("value")))
     keys = [F.col(key).alias("key")] if key else []
     rows = df.where(F.col(key).isNotNull()) if key else df
+    if key and many:
+        used = dict.fromkeys([key, spec.year, *[c for d in dims for c in (d.column, d.flag) if c]])
+        rows = rows.select(*used).repartition(-(-rows.count() // PER_TASK) or 1, key, spec.year)
     each = rows.select(*keys, F.inline(F.concat(total, _pairs(dims)))).where(F.col("value").isNotNull())
     return each.groupBy(*["key"] * bool(key), "dim", "value").agg(F.count(F.lit(1)).alias("n"))
 

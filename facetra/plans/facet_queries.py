@@ -65,7 +65,7 @@ def facet_topic(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT agency AS key, dv.dim AS dim, dv.value AS value, count(*)::BIGINT AS n FROM ({DIMS}) WHERE agency IS NOT NULL AND dv.value IS NOT NULL GROUP BY ALL")
 def facet_agency(spark: SparkSession, d: str) -> DataFrame:
-    return facets.facet_counts(_rec(spark, d), "agency")
+    return facets.facet_counts(_rec(spark, d), "agency", many=True)
 
 
 @query(f"SELECT province AS key, dv.dim AS dim, dv.value AS value, count(*)::BIGINT AS n FROM ({DIMS}) WHERE province IS NOT NULL AND dv.value IS NOT NULL GROUP BY ALL")

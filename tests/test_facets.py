@@ -103,3 +103,14 @@ def test_specs_check_columns(spark):
     with pytest.raises(ValueError):
         spec.check(six(spark))
     assert GAZETTE.check(six(spark)) is not None
+
+
+def test_rows_of_many_keys_are_dealt_to_tasks(spark, sf_dir, monkeypatch):
+    from facetra.operators import facets
+    from facetra.sources import tables
+
+    monkeypatch.setattr(facets, "PER_TASK", 200)
+    rec = tables.records(spark, sf_dir)
+    dealt, plain = facets.facet_counts(rec, "agency", many=True), facets.facet_counts(rec, "agency")
+    assert "RepartitionByExpression" in dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
