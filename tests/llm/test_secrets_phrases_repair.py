@@ -142,6 +142,39 @@ def test_filter_holds_all_it_was_given_and_little_else(spark):
     assert np.array_equal(bloom, co.joined(bloom, found)) and co.joined(None, found.limit(0)).sum() == 0
 
 
+def test_places_of_blocks_add_up(spark):
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 1 << 63, 40_000, np.int64).astype(np.uint64)
+    counts = rng.integers(1, 4, len(h))
+    counts[:9], counts[9:30] = 1000, 300
+    cells = list(co._cells([(1, h[:100], counts[:100], None, None), (2, h[100:], counts[100:], None, None), (3, h[9:30], counts[9:30], None, None)], 1000))
+    opened = [((part << co.WITHIN) + at, n) for part, cell in cells for at, n in [co._opened(cell)]]
+    place, n = map(np.concatenate, zip(*opened))
+    assert sorted(place) == list(place) and set(place) == set(co._place(h)) and n.sum() == counts.sum() + counts[9:30].sum()
+    assert sum(len(cell) for _, cell in cells) < 8 * len(h)  # below a hash each
+    cells = spark.createDataFrame(cells * 2, "part int, cell binary").repartition(3)
+    for least, many in ((1201, 9), (1200, 30)):
+        bloom = co._added(None, co._reached(cells, least))
+        assert co._holds(bloom, h[:many]).all() and co._holds(bloom, h[many:]).sum() < 3
+
+
+def test_last_pass_gives_frequent_phrases_as_text_and_what_the_sample_missed():
+    words = [b".", *[b"w%d" % i for i in range(300)]]
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.concatenate([[1, 2], rng.integers(3, 301, 3), [0]]) for _ in range(2000)]).astype(np.int32)
+    every = np.full(co.SLOTS, np.uint64(2**64 - 1))
+    met = list(co.block_counts(ids, words, "en", range(1, 6), every, None))
+    bloom = np.zeros(co.SLOTS, np.uint64)
+    for _, h, counts, _, _ in met:
+        slot, bits = co._bits(co._place(h[counts >= 1000]))
+        bloom[slot] |= bits
+    last = list(co.block_counts(ids, words, "en", range(1, 6), every, bloom))
+    texts = [(p.as_py(), n) for phrases, counts in co._texts(ids, words, last) for p, n in zip(phrases, counts)]
+    assert sorted(texts) == [(b"w0", 2000), (b"w0 w1", 2000), (b"w1", 2000)] and sum(len(h) for _, h, *_ in met) > 9000
+    none = np.zeros(co.SLOTS, np.uint64)  # the sample proposed nothing: pairs were not met before
+    assert sum(k == 2 for k, h, *_ in co.block_counts(ids, words, "en", range(1, 6), none, bloom) for _ in h) == 1
+
+
 def test_no_phrases_of_nothing(spark):
     assert co.collocations(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
     assert co.collocations(spark.createDataFrame([(1, None, None), (2, "a b", "en")], "doc_id long, text string, lang string")).count() == 0
