@@ -11,7 +11,7 @@ from facetra.functions import text as tx
 def claims(rows: DataFrame, doc_id: str = "id", url: str = "source_url") -> DataFrame:
     """ref, claimants, owner: links that more than one record claims; the owner is the one claimant that derives the
     link's number from its id, null if none or several do."""
-    ref = F.coalesce(tx.url_number(F.col(url)).cast("string"), tx.url_raw(F.col(url)))
+    ref = tx.url_ref(F.col(url))
     own = tx.derives(F.col(doc_id), tx.url_number(F.col(url)))
     found = rows.select(F.col(doc_id).cast("string").alias("_id"), ref.alias("ref"), own.alias("_own")).where("ref IS NOT NULL").distinct()
     sums = found.groupBy("ref").agg(F.count(F.lit(1)).alias("claimants"), F.count_if("_own").alias("_n"), F.min(F.when(F.col("_own"), F.col("_id"))).alias("_o"))
@@ -19,12 +19,14 @@ def claims(rows: DataFrame, doc_id: str = "id", url: str = "source_url") -> Data
 
 
 def settle_links(rows: DataFrame, disputed: DataFrame, doc_id: str = "id", url: str = "source_url") -> DataFrame:
-    """rows with link (null where withheld) and withheld."""
-    ref = F.coalesce(tx.url_number(F.col(url)).cast("string"), tx.url_raw(F.col(url)))
-    joined = rows.withColumn("_ref", ref).join(disputed.select(F.col("ref").alias("_ref"), "owner", F.lit(True).alias("_d")), "_ref", "left")
+    """rows with link (null where withheld) and withheld. Rows without a link meet nothing; they are dealt by id, under a key
+    that no trimmed link is."""
+    ref = tx.url_ref(F.col(url))
+    key = F.coalesce("_ref", F.concat(F.lit(" "), F.col(doc_id).cast("string")))
+    joined = rows.withColumn("_ref", ref).withColumn("_key", key).join(disputed.select(F.col("ref").alias("_key"), "owner", F.lit(True).alias("_d")), "_key", "left")
     lost = F.coalesce(F.col("_d"), F.lit(False)) & ~F.col("owner").eqNullSafe(F.col(doc_id).cast("string"))
     kept = F.when(~lost, F.nullif(F.trim(url), F.lit("")))
-    return joined.withColumns({"link": kept, "withheld": lost & F.col("_ref").isNotNull()}).drop("_ref", "owner", "_d")
+    return joined.withColumns({"link": kept, "withheld": lost & F.col("_ref").isNotNull()}).drop("_ref", "_key", "owner", "_d")
 
 
 def link_accounting(settled: DataFrame, disputed: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from facetra.functions.text import record_id
 from facetra.operators.clean import claims, join_layers, settle_links
+from facetra.storage import stored
 
 META = "pdf_file STRING, doctitle STRING, bookNo STRING, section STRING, category STRING, publishDate STRING, pageNo STRING, source_url STRING"
 LABELS = (
@@ -101,18 +102,14 @@ def limited(df: DataFrame, k: int | None) -> DataFrame:
 
 
 def load(spark: SparkSession, root: str, years_spec: str | None = None, limit: int | None = None, with_index: bool = True) -> DataFrame:
-    """Unified records of a corpus folder. Disputed links are settled over all years, then years are chosen."""
-    m, found = meta(spark, root), labels(spark, root)
+    """Unified records of a corpus folder. Disputed links are settled over all years, then years are chosen. The metadata are
+    parsed once and stored, as years and claims are read from them too."""
+    m, found = stored(meta(spark, root), "meta"), labels(spark, root)
     index = text_index(spark, root) if with_index else None
     out = join_layers(found, m, index)
     out = settle_links(out, claims(m))
-    there = years(found, m)
-    if years_spec:
-        wanted = chosen_years(years_spec, [r[0] for r in there.collect()])  # a row per year
-        out = out.where(F.col("year").isin(wanted))
-    else:
-        out = out.join(there, "year", "left_semi")
-    return limited(out, limit)
+    there = [r[0] for r in years(*([found, m] if years_spec else [m])).collect()]  # a row per year; records have the labels' years
+    return limited(out.where(F.col("year").isin(chosen_years(years_spec, there) if years_spec else there)), limit)
 
 
 def with_text(records: DataFrame, layer: DataFrame) -> DataFrame:

@@ -38,6 +38,29 @@ def corpus(tmp_path):
     return tmp_path
 
 
+def test_records_without_a_link_are_dealt_to_many_tasks(spark):
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") < 8, F.concat(F.lit(f"{HOST}/"), F.col("id").cast("string"), F.lit(".pdf"))).alias("source_url"))
+    disputed = spark.createDataFrame([("7", 2, None), (" 9", 2, None)], "ref string, claimants long, owner string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        settled = clean.settle_links(rows, disputed)
+        tasks = settled.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) == 4 and max(r["count"] for r in tasks) < 1500  # all of them were one task's
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert [r.id for r in settled.where("withheld").collect()] == ["7"] and settled.where("link IS NOT NULL").count() == 7
+
+
+def test_metadata_are_parsed_once(spark, corpus, monkeypatch):
+    read, of = [], jsonl._layer
+    monkeypatch.setattr(jsonl, "_layer", lambda s, root, layer, schema: read.append(layer) or of(s, root, layer, schema))
+    out = jsonl.load(spark, str(corpus))
+    assert sorted(read) == ["meta", "taxonomy", "textindex"]
+    assert not any("/meta/2" in f for f in out.inputFiles()) and out.count() == 3  # from the stored table
+
+
 def test_layers_become_records(spark, corpus):
     got = {r.id: r for r in jsonl.load(spark, str(corpus)).collect()}
     a, b, c = got["2024-000001"], got["2024-01-05-00087513"], got["2024-000003"]
