@@ -64,3 +64,14 @@ def test_siblings_are_ranked_without_sorting_pairs(spark, monkeypatch, capsys):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
     found.agg(F.count("rank")).explain()
     assert "row_number" not in capsys.readouterr().out
+
+
+def test_pairs_of_siblings_take_little_room(spark, tmp_path):
+    n, every = 8_004, 4  # 2,001 wanted ones: an odd number of bits, however many each of them takes
+    recs = spark.range(n).selectExpr("cast(id AS int) AS id", "1 AS volume", "'a' AS part", "cast(id % 500 AS int) AS page")
+    lookup.siblings(recs, recs.where(f"id % {every} = 0").select("id")).write.parquet(f"{tmp_path}/pairs")
+    rows, pairs = spark.read.parquet(f"{tmp_path}/pairs"), n // every * (n - 1)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * pairs
+    ranks = rows.groupBy("of").agg(F.count("id").alias("n"), F.sum("rank").alias("s"), F.min("rank").alias("a"), F.max("rank").alias("z"))
+    assert [tuple(r) for r in ranks.select("n", "s", "a", "z").distinct().collect()] == [(n - 1, n * (n - 1) // 2, 1, n - 1)]
+    assert rows.count() == pairs
